@@ -66,12 +66,17 @@ def rule_flags(df: DataFrame, id_key: str, order: str, factor: float = 2.0,
 RULES = ("dup_national_id", "past_retirement", "no_attendance", "off_scale_salary")
 
 
-def record_matching(df: DataFrame, person_keys: list[str], id_key: str, order: str,
-                    out: str = "matched") -> DataFrame:
-    """Later registration of the same person: same name, birth date and sex, or the same national id."""
+def record_matching(df: DataFrame, person_keys: list[str], id_key: str, order: str, out: str = "matched",
+                    id_flag: str | None = None) -> DataFrame:
+    """Later registration of the same person: same name, birth date and sex, or the same national id.
+
+    ``id_flag`` names a column that already holds the national-id result, so it is not computed twice.
+    """
     df = later_duplicates(df, person_keys, order, "_same_person")
-    df = later_duplicates(df, [id_key], order, "_same_id")
-    return df.withColumn(out, F.col("_same_person") | F.col("_same_id")).drop("_same_person", "_same_id")
+    if id_flag is None:
+        df = later_duplicates(df, [id_key], order, "_same_id")
+    return (df.withColumn(out, F.col("_same_person") | F.col(id_flag or "_same_id"))
+            .drop("_same_person", "_same_id"))
 
 
 def flag_and_split(df: DataFrame, rules: list[str], model_rules: list[str], detectors: list[str]) -> DataFrame:

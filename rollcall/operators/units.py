@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = ("sector", "ministry", "province")
@@ -36,8 +36,8 @@ def allocate_by_share(base: DataFrame, totals: DataFrame, level: str, group: str
     ``totals`` has one row per (group, year).
     """
     unit = base.groupBy(group, level).agg(F.sum("wage_bill").alias("_pay"))
-    whole = base.groupBy(group).agg(F.sum("wage_bill").alias("_all"))
-    share = unit.join(whole, group).withColumn("_share", F.try_divide(F.col("_pay"), F.col("_all")))
+    # one row per unit is left, so the window holds a group's units, not its records
+    share = unit.withColumn("_share", F.try_divide(F.col("_pay"), F.sum("_pay").over(Window.partitionBy(group))))
     return (share.join(totals, group).groupBy(level, "year")
             .agg(F.sum(F.col("_share") * F.col(total)).alias("projected")))
 

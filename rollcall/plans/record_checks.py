@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.keys import ensure_checkpoint_dir
 from ..operators import quality as Q
 from ..operators import units as U
 from . import settings as S
@@ -44,7 +45,7 @@ totals AS (
 
 def flagged(spark, d):
     df = Q.rule_flags(V.records(spark, d), "national_id", "record_id", FACTOR)
-    df = Q.record_matching(df, ["full_name", "birth_date", "sex"], "national_id", "record_id")
+    df = Q.record_matching(df, ["full_name", "birth_date", "sex"], "national_id", "record_id", id_flag="dup_national_id")
     return Q.flag_and_split(df, list(Q.RULES), ["past_retirement", "no_attendance", "off_scale_salary"], ["matched"])
 
 
@@ -52,6 +53,12 @@ def base(spark, d):
     return U.unit_base(flagged(spark, d), PAY())
 
 
+def base_table(spark, d):
+    """The unit table written once (a few hundred rows), for queries that read it several times."""
+    ensure_checkpoint_dir(spark)
+    return base(spark, d).checkpoint()
+
+
 def totals(b):
     """Projected group totals: base-year pay growing 3% a year, ten years ahead."""
     return (b.groupBy("sector").agg(F.sum("wage_bill").alias("_w"))
@@ -185,10 +192,10 @@ def rollup(spark, d):
 
 @query("c03_allocate_by_share", sql("records", FLAGS_SQL + TOTALS_SQL + """,
 share AS (SELECT sector, ministry, SUM(wage_bill) / SUM(SUM(wage_bill)) OVER (PARTITION BY sector) AS s FROM base GROUP BY 1, 2)
-SELECT ministry, year, ROUND(SUM(s * total), 2) AS projected FROM share JOIN totals USING (sector) GROUP BY 1, 2"""))
+SELECT ministry, year, ROUND(SUM(s * total), 0) AS projected FROM share JOIN totals USING (sector) GROUP BY 1, 2"""))
 def allocate(spark, d):
-    b = base(spark, d)
-    return U.allocate_by_share(b, totals(b), "ministry").withColumn("projected", F.round("projected", 2))
+    b = base_table(spark, d)
+    return U.allocate_by_share(b, totals(b), "ministry").withColumn("projected", F.round("projected", 0))
 
 
 @query("c04_unit_comparison", sql("records", FLAGS_SQL + TOTALS_SQL + """,
@@ -198,10 +205,10 @@ proj AS (SELECT ministry, SUM(s * total) FILTER (WHERE year = 2026) AS pay_first
 roll AS (SELECT ministry, CAST(SUM(headcount) AS BIGINT) AS headcount, SUM(wage_bill) AS wage_bill,
   SUM(flagged_payroll) / (SUM(wage_bill) + SUM(flagged_payroll)) AS fs FROM base GROUP BY 1)
 SELECT ministry, headcount, ROUND(wage_bill, 2) AS wage_bill, ROUND(fs, 6) AS flagged_share_of_payroll,
-  ROUND(pay_first, 2) AS pay_first, ROUND(pay_last, 2) AS pay_last, ROUND(pay_last / pay_first - 1, 6) AS growth
+  ROUND(pay_first, 0) AS pay_first, ROUND(pay_last, 0) AS pay_last, ROUND(pay_last / pay_first - 1, 6) AS growth
 FROM roll JOIN proj USING (ministry) ORDER BY fs DESC, ministry LIMIT 15"""))
 def comparison(spark, d):
-    b = base(spark, d)
+    b = base_table(spark, d)
     out = U.unit_comparison(b, totals(b), "ministry", 2026, 2036)
     return out.select("ministry", "headcount", *[F.round(c, n).alias(c) for c, n in (
-        ("wage_bill", 2), ("flagged_share_of_payroll", 6), ("pay_first", 2), ("pay_last", 2), ("growth", 6))])
+        ("wage_bill", 2), ("flagged_share_of_payroll", 6), ("pay_first", 0), ("pay_last", 0), ("growth", 6))])
