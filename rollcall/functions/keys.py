@@ -56,3 +56,14 @@ def with_parameters(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     items = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
     return (df.select("*", F.explode(F.array(*items)).alias("_p"))
             .select(*df.columns, *[F.col(f"_p.{n}").alias(n) for n, _ in fields]))
+
+
+def with_small_table(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Repeat every row for each row of a table whose size is bounded by its key domain (ages, grades).
+
+    The small table travels as one array value; no join on a constant key, which would meet in one task.
+    """
+    names = small.columns
+    packed = small.agg(F.collect_list(F.struct(*names))).scalar()
+    return (df.withColumn("_rows", packed).select(*df.columns, F.explode("_rows").alias("_r"))
+            .select(*df.columns, *[F.col(f"_r.{n}").alias(n) for n in names]))

@@ -24,13 +24,23 @@ def _attach(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumns({c: other.select(c).scalar() for c in other.columns})
 
 
+SMALL_GROUP = 100_000
+
+
 def with_buckets(df: DataFrame, by: list[str], order: str, buckets: int) -> DataFrame:
-    """Add ``_b``: a bucket number that never decreases with ``order`` inside each group."""
+    """Add ``_b``: a bucket number that never decreases with ``order`` inside each group.
+
+    Groups of at most ``SMALL_GROUP`` rows stay in one bucket; only larger ones are sketched and cut.
+    """
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, probs, max(1000, 8 * buckets)).alias("_cuts"))
-    return (_attach(df, cuts, by)
-            .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-            .drop("_cuts"))
+    sketch = F.percentile_approx(order, probs, max(1000, 8 * buckets)).alias("_cuts")
+    if not by:
+        cut = _attach(df, df.agg(sketch), by)
+    else:
+        large = df.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > SMALL_GROUP)
+        cut = df.join(df.join(large, by, "left_semi").groupBy(*by).agg(sketch), by, "left")
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return cut.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
 def ordered_scan(df: DataFrame, by: list[str], order: str, sums: dict[str, str] | None = None,

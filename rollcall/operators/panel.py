@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import hash_unit, inline_table
+from ..functions.keys import hash_unit, inline_table, with_small_table
 from .metrics import auc, diebold_mariano, mape, rmse
 
 RULE_EXITS = ("retirement", "death")
@@ -282,8 +282,8 @@ def stock_flow_step(flows: DataFrame, scenarios: DataFrame, hires: DataFrame, pr
         .join(scenarios.select("scenario", "hiring_growth", "restrain"), "scenario")
         .select("scenario", "sector", F.greatest(F.col("_before") * (1 + growth) - F.col("_after"), F.lit(0.0)).alias("_gap")))
     # the profile has at most one row per framework and age
-    profile = hires.select(F.lit(1).alias("_one"), "framework", "age", (F.col("framework_share") * F.col("age_share")).alias("_w"))
-    new = (gaps.withColumn("_one", F.lit(1)).join(profile, "_one")
+    profile = hires.select("framework", "age", (F.col("framework_share") * F.col("age_share")).alias("_w"))
+    new = (with_small_table(gaps, profile)
            .select("scenario", "sector", "framework", "age", F.explode(F.array(
                F.struct(F.lit(False).alias("e"), F.lit(1 - eligible_share).alias("w")),
                F.struct(F.lit(True).alias("e"), F.lit(eligible_share).alias("w")))).alias("_e"),

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import checks, panels, record_checks, scores  # noqa: F401
+from . import checks, funds, panels, record_checks, reforms, scores  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

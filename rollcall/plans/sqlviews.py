@@ -122,6 +122,51 @@ flagged_docs AS (
 register AS (
   SELECT c_custkey AS pensioner_id, CAST(40 + c_custkey % 60 AS INT) AS age, c_acctbal AS monthly_pension
   FROM customer)"""),
+    "index": (["level_paths", "scenarios"], f"""
+sectors AS (SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in S.ALLOWANCE)}) AS v(sector)),
+index AS (
+  SELECT s.*, run, t, year, inflation, real_return, revenue_share, mortality_mult, cpi, gdp, sector,
+    CASE salary_rule WHEN 'inflation' THEN cpi
+      WHEN 'targeted' THEN pow(1 + CASE WHEN sector IN {S.PRIORITY} THEN raise_priority ELSE raise_other END, t)
+      ELSE pow(1 + recent_raise, t) END AS idx
+  FROM level_paths CROSS JOIN scenarios s CROSS JOIN sectors)"""),
+    "units": (["stocks"], f"""
+units AS (
+  SELECT t, sector, SUM(n * {SALARY} * pow({1 + S.STEP}, service) * 12) AS basic_units,
+    SUM(n * {SALARY} * pow({1 + S.STEP}, service) * 12) * (1 + {ALLOW}) AS total_units FROM stocks GROUP BY t, sector),
+units0 AS (SELECT * FROM units WHERE t = 0),
+unit_scale AS (SELECT SUM(basic_units) AS u FROM units0)"""),
+    "flows": (["index", "units"], """
+bill AS (
+  SELECT scenario, run, index.t, SUM(total_units * idx) / MAX(u) AS wage_bill, SUM(basic_units * idx) / MAX(u) AS basic_payroll
+  FROM index JOIN units0 USING (sector) CROSS JOIN unit_scale GROUP BY 1, 2, 3),
+rate_table AS (
+  SELECT scenario, CAST(t AS INT) AS t, CASE WHEN contribution_step > 0 THEN
+    LEAST(floor(t / contribution_every) * contribution_step, contribution_cap) ELSE 0 END AS extra,
+    employee_rate + extra AS employee, employer_rate + extra AS employer
+  FROM scenarios CROSS JOIN range(30) AS r(t)),
+flows AS (
+  SELECT b.*, employee, employer, basic_payroll * employee AS contrib_employee, basic_payroll * employer AS contrib_employer,
+    0.16 * pow(1.05, b.t) * (2 - mortality_mult) AS pension_spending, inflation, real_return, revenue_share,
+    20 * gdp AS gdp, mortality_mult
+  FROM bill b JOIN level_paths p ON b.run = p.run AND b.t = p.t JOIN rate_table r ON r.scenario = b.scenario AND r.t = b.t)"""),
+    "ledger": (["flows"], """
+ledger AS (
+  SELECT scenario, run, t, GREATEST(1.0 * ((1 + real_return) * (1 + inflation)) + contrib_employee + contrib_employer - pension_spending, 0) AS fund_balance,
+    GREATEST(-(1.0 * ((1 + real_return) * (1 + inflation)) + contrib_employee + contrib_employer - pension_spending), 0) AS gov_topup
+  FROM flows WHERE t = 0
+  UNION ALL
+  SELECT f.scenario, f.run, f.t, GREATEST(l.fund_balance * ((1 + real_return) * (1 + inflation)) + contrib_employee + contrib_employer - pension_spending, 0),
+    GREATEST(-(l.fund_balance * ((1 + real_return) * (1 + inflation)) + contrib_employee + contrib_employer - pension_spending), 0)
+  FROM ledger l JOIN flows f ON f.scenario = l.scenario AND f.run = l.run AND f.t = l.t + 1),
+depletion AS (
+  SELECT scenario, run, COALESCE(MIN(CASE WHEN gov_topup > 0 THEN 2026 + t END), 0) AS depletion_year FROM ledger GROUP BY 1, 2)"""),
+    "outcomes": (["ledger"], """
+outcomes AS (
+  SELECT scenario, run, t, wage_bill / gdp * 100 AS wage_bill_gdp, wage_bill / (gdp * revenue_share) * 100 AS wage_bill_revenue,
+    pension_spending / gdp * 100 AS pension_spending_gdp, (contrib_employer + gov_topup) / gdp * 100 AS gov_pension_cost_gdp,
+    (wage_bill + contrib_employer + gov_topup) / gdp * 100 AS total_cost_gdp, fund_balance / gdp * 100 AS fund_balance_gdp
+  FROM flows JOIN ledger USING (scenario, run, t))"""),
     "life": ([], f"""
 life AS (SELECT CAST(a AS INT) AS age, {Q_AGE} AS qx FROM range({S.LIFE['last_age'] + 1}) AS s(a))"""),
 }
