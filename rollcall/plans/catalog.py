@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import checks, exits, funds, panels, record_checks, reforms, scores  # noqa: F401
+from . import checks, exits, funds, hierarchies, panels, record_checks, reforms, scores, series  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
