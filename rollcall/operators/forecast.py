@@ -118,7 +118,8 @@ def ar_candidates(df: DataFrame) -> DataFrame:
 
 def ar_select(tasks: DataFrame) -> DataFrame:
     """Forecast with the lowest-AIC small autoregression and its 80% interval (columns q10, q50, q90 as arrays)."""
-    df = ar_candidates(tasks.where(F.size("y") >= 6)).withColumn("_f", F.array_min("fits"))
+    # the generator keeps the optimizer from repeating the fits for each use of the best one
+    df = ar_candidates(tasks.where(F.size("y") >= 6)).select("*", F.explode(F.array(F.array_min("fits"))).alias("_f"))
     f, y = F.col("_f"), F.col("y")
     last, prev = F.element_at(y, -1), F.element_at(y, -2)
     level = f["d"] == 1
@@ -171,7 +172,7 @@ def ma_grid(tasks: DataFrame, grid: list[float] | None = None) -> DataFrame:
     arma = F.flatten(F.transform(g, lambda p: F.transform(g, lambda t: cand(
         "arma11", 4, fold(rest, p, t, F.element_at("_x", 1)), p, t))))
     ima = F.transform(g, lambda t: cand("ima011", 2, fold(F.col("_d"), F.lit(0.0), t, F.lit(0.0)), F.lit(0.0), t))
-    df = df.withColumn("_b", F.array_min(F.concat(arma, ima)))
+    df = df.select("*", F.explode(F.array(F.array_min(F.concat(arma, ima)))).alias("_b"))
     b = F.col("_b")
     one = F.when(b["model"] == "arma11", b["phi"] * F.element_at("_x", -1) + b["theta"] * b["e"])
     path = F.transform(_steps(F.col("h")), lambda k: F.when(

@@ -18,8 +18,8 @@ CUM = "(SELECT h.age, SUM(-ln(1 - LEAST(l.qx, 0.999999))) AS cumhaz FROM range(1
 CUMHAZ = f"cum AS (SELECT age, COALESCE(cumhaz, 0) AS cumhaz FROM {CUM})"
 
 
-def index(spark, d):
-    return E.salary_index(with_parameters(V.level_paths(spark, d), S.SCENARIOS, S.SCENARIO_SCHEMA), SECTORS, S.PRIORITY)
+def index(spark, d, rows=None):
+    return E.salary_index(with_parameters(V.level_paths(spark, d), rows or S.SCENARIOS, S.SCENARIO_SCHEMA), SECTORS, S.PRIORITY)
 
 
 def units(spark, d):
@@ -34,9 +34,9 @@ def start_units(spark, d):
     return u.select("sector", (F.col("basic_units") / whole).alias("basic_units"), (F.col("total_units") / whole).alias("total_units"))
 
 
-def flows(spark, d):
+def flows(spark, d, rows=None):
     """Pay, contributions and pension spending per scenario, run and year, relative to base-year basic pay."""
-    idx = index(spark, d)
+    idx = index(spark, d, rows)
     # run-level columns ride through the aggregation instead of being joined back
     keep = ["inflation", "real_return", "revenue_share", "gdp", "mortality_mult", "employee_rate", "employer_rate",
             "contribution_step", "contribution_every", "contribution_cap"]
@@ -47,14 +47,14 @@ def flows(spark, d):
         "pension_spending": 0.16 * F.pow(F.lit(1.05), F.col("t")) * (2 - F.col("mortality_mult")), "gdp": 20 * F.col("gdp")})
 
 
-def flow_table(spark, d):
+def flow_table(spark, d, rows=None):
     """The flows, written out because ledger and outcome tables both read them."""
     ensure_checkpoint_dir(spark)
-    return flows(spark, d).checkpoint()
+    return flows(spark, d, rows).checkpoint()
 
 
-def ledger(spark, d):
-    f = flow_table(spark, d)
+def ledger(spark, d, rows=None):
+    f = flow_table(spark, d, rows)
     return f, E.fund_ledger(f, 1.0)
 
 
