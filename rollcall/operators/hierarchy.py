@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import with_small_table
+
 CELL = ("sector", "ministry", "province")
 LEVELS = ("national", "sector", "ministry", "province", "cell")
 
@@ -129,7 +131,7 @@ def top_down(base: DataFrame, history: DataFrame, keys: tuple[str, ...], origin:
     share = (history.join(total, [*origin, "year"]).groupBy(*origin, *CELL)
              .agg(F.avg(F.try_divide(F.col("value"), F.col("_all"))).alias("_share")))
     nat = base.where(F.col("level") == "national").select(*keys, "value")
-    cells = (share.join(nat, origin) if origin else share.crossJoin(F.broadcast(nat))).withColumn("value", F.col("_share") * F.col("value"))
+    cells = (share.join(nat, origin) if origin else with_small_table(share, nat)).withColumn("value", F.col("_share") * F.col("value"))
     return all_series(cells, keys)
 
 
@@ -137,39 +139,40 @@ DENSE_LIMIT = 3000
 
 
 def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Solve K x = g for one (method, origin): K over the totals, one right-hand side per horizon."""
-    mat, rhs = pdf[pdf.kind == "k"], pdf[pdf.kind == "g"]
-    ids = pd.Index(sorted(set(rhs["a"])))
-    hs = sorted(set(rhs["h"]))
+    """Solve (K + Z Z') x = g for one (method, origin): K over the totals, one right-hand side per horizon."""
+    mat, rhs, low = (pdf[pdf.kind == k] for k in ("k", "g", "z"))
+    ids, hs = pd.Index(sorted(set(rhs["a"]))), sorted(set(rhs["h"]))
+    n = len(ids)
     i, j, v = ids.get_indexer(mat["a"]), ids.get_indexer(mat["b"]), mat["v"].to_numpy()
-    g = np.zeros((len(ids), len(hs)))
+    g = np.zeros((n, len(hs)))
     g[ids.get_indexer(rhs["a"]), pd.Index(hs).get_indexer(rhs["h"])] = rhs["v"]
-    if len(ids) <= DENSE_LIMIT:
-        k = np.zeros((len(ids), len(ids)))
+    years = sorted(set(low["h"]))
+    z = np.zeros((n, len(years)))
+    z[ids.get_indexer(low["a"]), pd.Index(years).get_indexer(low["h"])] = low["v"]
+    if n <= DENSE_LIMIT:
+        k = z @ z.T
         np.add.at(k, (i, j), v)
         x = np.linalg.solve(k, g)
     else:  # conjugate gradient on the non-zero entries only
-        x = np.column_stack([_cg(i, j, v, g[:, c]) for c in range(g.shape[1])])
-    n = len(ids) * len(hs)
-    return pd.DataFrame({"method": [pdf["method"].iloc[0]] * n, "origin": [int(pdf["origin"].iloc[0])] * n,
-                         "series": np.repeat(np.array(ids, dtype=object), len(hs)), "h": np.tile(hs, len(ids)), "mult": x.ravel()})
+        x = np.column_stack([_cg(i, j, v, z, g[:, c]) for c in range(g.shape[1])])
+    return pd.DataFrame({"method": [pdf["method"].iloc[0]] * (n * len(hs)), "origin": [int(pdf["origin"].iloc[0])] * (n * len(hs)),
+                         "series": np.repeat(np.array(ids, dtype=object), len(hs)), "h": np.tile(hs, n), "mult": x.ravel()})
 
 
-def _cg(i, j, v, g, tol: float = 1e-10):
+def _cg(i, j, v, z, g, tol: float = 1e-10):
     n = len(g)
-    diag = np.bincount(i[i == j], weights=v[i == j], minlength=n)
+    diag = np.bincount(i[i == j], weights=v[i == j], minlength=n) + (z * z).sum(axis=1)
     x, r = np.zeros(n), g.astype(float).copy()
-    z = r / diag
-    p, rz = z.copy(), float(r @ z)
+    p = r / diag
+    rz = float(r @ p)
     for _ in range(10 * n):
         if np.linalg.norm(r) <= tol * max(np.linalg.norm(g), 1e-300):
             break
-        q = np.bincount(i, weights=v * p[j], minlength=n)
+        q = np.bincount(i, weights=v * p[j], minlength=n) + z @ (z.T @ p)
         step = rz / float(p @ q)
         x, r = x + step * p, r - step * q
-        z = r / diag
-        new = float(r @ z)
-        p, rz = z + new / rz * p, new
+        new = float(r @ (r / diag))
+        p, rz = r / diag + new / rz * p, new
     return x
 
 
@@ -239,11 +242,11 @@ def reconcile(base: DataFrame, methods: tuple[str, ...] = ("ols", "wls_struct",
     pairs = one.select("method", "origin", "a", F.explode("_tot").alias("b"), "w").groupBy("method", "origin", "a", "b").agg(F.sum("w").alias("v"))
     own = total.select("method", "origin", F.col("series").alias("a"), F.col("series").alias("b"), F.col("w").alias("v"))
     z = gaps("residual").where("c > 0")
-    rank = (z.alias("l").join(z.alias("r"), ["method", "origin", "i"])
-            .groupBy("method", "origin", F.col("l.a").alias("a"), F.col("r.a").alias("b"))
-            .agg(F.sum(F.col("l.c") * F.col("l.x") * F.col("r.x")).alias("v")))
-    k = pairs.unionByName(own).unionByName(rank).groupBy("method", "origin", "a", "b").agg(F.sum("v").alias("v"))
-    system = k.select("method", "origin", F.lit("k").alias("kind"), "a", "b", F.lit(0).alias("h"), "v").unionByName(g)
+    low = z.select("method", "origin", F.lit("z").alias("kind"), "a", F.lit("").alias("b"), F.col("i").alias("h"),
+                   (F.sqrt("c") * F.col("x")).alias("v"))
+    k = pairs.unionByName(own).groupBy("method", "origin", "a", "b").agg(F.sum("v").alias("v"))
+    system = (k.select("method", "origin", F.lit("k").alias("kind"), "a", "b", F.lit(0).alias("h"), "v")
+              .unionByName(g).unionByName(low))
     # one group per (method, origin); its size is the number of totals squared, not the number of cells
     mult = system.groupBy("method", "origin").applyInPandas(
         _solve_group, "method string, origin int, series string, h int, mult double")
