@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keys import ensure_checkpoint_dir
+from ..operators.anomaly import isolation_forest
 from ..operators import quality as Q
 from ..operators import units as U
 from . import settings as S
@@ -212,3 +213,21 @@ def comparison(spark, d):
     out = U.unit_comparison(b, totals(b), "ministry", 2026, 2036)
     return out.select("ministry", "headcount", *[F.round(c, n).alias(c) for c, n in (
         ("wage_bill", 2), ("flagged_share_of_payroll", 6), ("pay_first", 0), ("pay_last", 0), ("growth", 6))])
+
+
+def forest(spark, d):
+    f = Q.quality_features(Q.shared_key_flag(V.records(spark, d), "bank_account"))
+    return isolation_forest(f, "record_id", list(Q.FEATURES))
+
+
+@query("b07_isolation_forest")
+def iforest(spark, d):
+    s = forest(spark, d)
+    return s.groupBy("iforest_flag").agg(F.count("*").alias("n"), F.min("anomaly_score").alias("lowest"), F.max("anomaly_score").alias("highest"))
+
+
+@query("b08_flag_with_forest")
+def flag_with_forest(spark, d):
+    f = flagged(spark, d).join(forest(spark, d), "record_id")
+    f = Q.flag_and_split(f, list(Q.RULES), ["past_retirement", "no_attendance", "off_scale_salary"], ["matched", "iforest_flag"])
+    return f.groupBy("flag", "iforest_flag").agg(F.count("*").alias("n"), F.sum(PAY()).alias("pay"))
