@@ -67,3 +67,13 @@ def with_small_table(df: DataFrame, small: DataFrame) -> DataFrame:
     packed = small.agg(F.collect_list(F.struct(*names))).scalar()
     return (df.withColumn("_rows", packed).select(*df.columns, F.explode("_rows").alias("_r"))
             .select(*df.columns, *[F.col(f"_r.{n}").alias(n) for n in names]))
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a cohort, rate or code table once; broadcast it if its counted size allows, else join it by key."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    return F.broadcast(df) if df.count() <= max_rows else df

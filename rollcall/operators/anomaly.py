@@ -79,6 +79,7 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     x = df.select(key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    x = x.checkpoint()  # read for the count, the samples and the scores
     n = x.count()
     grow, depth = _grower(features, sample)
     picked = tree_samples(x, key, n, trees, sample)
@@ -89,22 +90,23 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
     shape = (len(ids), int(k.max()) + 1)
     feat, cut, child, length = (np.zeros(shape, dtype=d) for d in (np.int32, np.float64, np.int32, np.float64))
     feat[t, k], cut[t, k], child[t, k], length[t, k] = (nodes[c].to_numpy() for c in ("feature", "threshold", "child", "length"))
+    # a leaf sends every value to itself, so scoring needs no test for it
+    leaf = feat < 0
+    cut[leaf], feat[leaf] = np.inf, 0
     forest = spark.sparkContext.broadcast((feat, cut, child, length))
     scale = mean_path(min(sample, n)) or 1.0
 
     @F.pandas_udf("double")
     def score(rows: pd.DataFrame) -> pd.Series:
         feat, cut, child, length = forest.value
-        values = rows.to_numpy(dtype=float)
+        values = np.ascontiguousarray(rows.to_numpy(dtype=float))
+        flat, start = values.ravel(), np.arange(len(values)) * values.shape[1]
         total = np.zeros(len(values))
-        who = np.arange(len(values))
-        for i in range(len(feat)):
-            at = np.zeros(len(values), dtype=np.int32)
+        for f, c, nxt, size in zip(feat, cut, child, length):
+            at = np.zeros(len(values), dtype=np.int64)
             for _ in range(depth):
-                f = feat[i, at]
-                right = values[who, np.maximum(f, 0)] > cut[i, at]
-                at = np.where(f >= 0, child[i, at] + right, at)
-            total += length[i, at]
+                at = nxt.take(at) + (flat.take(start + f.take(at)) > c.take(at))
+            total += size.take(at)
         return pd.Series(2.0 ** (-total / len(feat) / scale))
 
     scored = x.select(key, F.round(score(F.struct(*features)), 9).alias("anomaly_score")).checkpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.keys import bounded
 
 # ---- fixed values: routing patterns, setting ranges, label years ----
 STOP_WORDS = ("a", "about", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "how", "in",
@@ -230,38 +231,40 @@ def score_summary(scored: DataFrame) -> DataFrame:
 
 
 def text_terms(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """Term counts of whole texts: words of two or more characters and their pairs, stop words removed first."""
+    """Terms of whole texts: words of two or more characters and their pairs, stop words removed first."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
     kept = F.filter(words, lambda w: ~w.isin(*stop_words))
-    df = df.select(key, kept.alias("_w"))
+    # the generator keeps the optimizer from repeating the tokenising for each use of the words
+    df = df.select(key, F.explode(F.array(kept)).alias("_w"))
     n = F.size("_w")
     pairs = F.when(n > 1, F.zip_with(F.slice("_w", F.lit(1), n - 1), F.slice("_w", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    terms = F.explode(F.concat("_w", F.coalesce(pairs, F.array().cast("array<string>"))))
-    return df.select(key, terms.alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return df.select(key, F.explode(F.concat("_w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("term"))
 
 
 def tfidf_search(corpus: DataFrame, queries: DataFrame, corpus_key: str, query_key: str, text: str, k: int = 3,
                  min_score: float = 0.05, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """The k entries of a knowledge corpus most similar to each query text (cosine of sublinear tf-idf).
 
-    The corpus is a curated collection: entries per term are packed into one row, so queries meet each term
-    once and the work is linear in the query text. Scores add up per (query, entry) before the ranking,
-    which sees at most one row per entry.
+    The corpus is a curated collection: the entries of a term are packed into one row, so the work is linear
+    in the query text. Terms the corpus does not know are dropped before anything is counted or shuffled.
+    One aggregation gives both the scores and, as the entry without a key, the query's norm.
     """
-    c = text_terms(corpus, corpus_key, text, stop_words)
+    c = text_terms(corpus, corpus_key, text, stop_words).groupBy(corpus_key, "term").agg(F.count("*").alias("n"))
     size = corpus.agg(F.count("*")).scalar()
     df = c.groupBy("term").agg(F.count("*").alias("_df")).withColumn("idf", F.log((1 + size) / (1 + F.col("_df"))) + 1).drop("_df")
     weigh = (1 + F.log("n")) * F.col("idf")
     cw = c.join(df, "term").withColumn("w", weigh)
     norm = cw.groupBy(corpus_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    lists = (cw.join(norm, corpus_key).groupBy("term", "idf")
-             .agg(F.collect_list(F.struct(F.col(corpus_key), (F.col("w") / F.col("_norm")).alias("w"))).alias("_list")))
-    q = text_terms(queries, query_key, text, stop_words).join(lists, "term").withColumn("_q", weigh)
-    # the query norm counts each known term once; scores come from the same rows
-    parts = q.select(query_key, (F.col("_q") * F.col("_q")).alias("_q2"), "_q", "_list")
-    qn = parts.groupBy(query_key).agg(F.sqrt(F.sum("_q2")).alias("_qn"))
-    hits = (parts.select(query_key, "_q", F.explode("_list").alias("_e"))
+    entry = F.struct(F.col(corpus_key), (F.col("w") / F.col("_norm")).alias("w"))
+    lists = bounded(cw.join(norm, corpus_key).groupBy("term", "idf").agg(F.collect_list(entry).alias("_list")))
+    q = (text_terms(queries, query_key, text, stop_words).join(lists.select("term"), "term", "left_semi")
+         .groupBy(query_key, "term").agg(F.count("*").alias("n")).join(lists, "term").withColumn("_q", weigh))
+    none = F.struct(F.lit(None).cast(dict(corpus.dtypes)[corpus_key]).alias(corpus_key), F.col("_q").alias("w"))
+    dots = (q.select(query_key, "_q", F.explode(F.concat("_list", F.array(none))).alias("_e"))
             .groupBy(query_key, F.col(f"_e.{corpus_key}").alias(corpus_key)).agg(F.sum(F.col("_q") * F.col("_e.w")).alias("_dot")))
-    scored = hits.join(qn, query_key).select(query_key, corpus_key, F.round(F.col("_dot") / F.col("_qn"), 9).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), corpus_key)
+    one = Window.partitionBy(query_key)  # at most one row per entry, and the norm
+    scored = dots.withColumn("_qn", F.sqrt(F.max(F.when(F.col(corpus_key).isNull(), F.col("_dot"))).over(one)))
+    scored = scored.where(F.col(corpus_key).isNotNull()).select(
+        query_key, corpus_key, F.round(F.col("_dot") / F.col("_qn"), 9).alias("score"))
+    w = one.orderBy(F.col("score").desc(), corpus_key)
     return scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -77,8 +77,10 @@ def average_salary_factor(index: DataFrame, step: float, revalue: bool) -> DataF
     """
     n = F.col("accrual_years")
     if revalue:
-        steps = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.pow(F.lit(1 + step), -j))
-        return index.withColumn("factor", F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / n)
+        if step == 0:
+            return index.withColumn("factor", F.lit(1.0))
+        r = 1 / (1 + step)  # the steps form a geometric series
+        return index.withColumn("factor", (1 - F.pow(F.lit(r), n)) / (1 - r) / n)
     keys = ["scenario", "run", "sector"]
     packed = index.groupBy(*keys, "accrual_years", "recent_raise").agg(
         F.map_from_entries(F.collect_list(F.struct("t", "idx"))).alias("_idx"))

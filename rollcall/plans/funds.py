@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import ensure_checkpoint_dir, with_parameters
+from ..functions.keys import bounded, ensure_checkpoint_dir, with_parameters
 from ..operators import pay as E
 from ..operators.panel import life_table
 from . import settings as S
@@ -28,10 +29,10 @@ def units(spark, d):
 
 def start_units(spark, d):
     """Base-year units, one row per sector, as shares of total basic pay."""
-    ensure_checkpoint_dir(spark)
-    u = units(spark, d).where("t = 0").checkpoint()
-    whole = u.agg(F.sum("basic_units")).scalar()
-    return u.select("sector", (F.col("basic_units") / whole).alias("basic_units"), (F.col("total_units") / whole).alias("total_units"))
+    w = Window.partitionBy()  # one row per sector
+    u = units(spark, d).where("t = 0").withColumn("_all", F.sum("basic_units").over(w))
+    return bounded(u.select("sector", (F.col("basic_units") / F.col("_all")).alias("basic_units"),
+                            (F.col("total_units") / F.col("_all")).alias("total_units")))
 
 
 def flows(spark, d, rows=None):
@@ -79,7 +80,7 @@ def salary_index(spark, d):
 SELECT scenario, run, t, ROUND(SUM(total_units * idx) / 1e9, 6) AS wage_bill, ROUND(SUM(basic_units * idx) / 1e9, 6) AS basic_payroll
 FROM index JOIN units USING (t, sector) GROUP BY 1, 2, 3"""))
 def wage_bill(spark, d):
-    b = E.wage_bill(units(spark, d), index(spark, d), ["t", "sector"])
+    b = E.wage_bill(bounded(units(spark, d)), index(spark, d), ["t", "sector"])
     return b.select("scenario", "run", "t", *[F.round(F.col(c) / 1e9, 6).alias(c) for c in ("wage_bill", "basic_payroll")])
 
 
@@ -143,7 +144,7 @@ BENEFIT = f"""ben AS (
 
 def benefits(spark, d):
     idx = E.average_salary_factor(index(spark, d), S.STEP, revalue=True).withColumn("pidx", F.col("idx"))
-    return E.initial_benefit(V.retirees(spark, d), idx, S.BASE_SALARY, S.STEP, MIN_SERVICE, S.RULES["replacement"],
+    return E.initial_benefit(bounded(V.retirees(spark, d)), idx, S.BASE_SALARY, S.STEP, MIN_SERVICE, S.RULES["replacement"],
                              S.RULES["min_pension"], S.RULES["cap"])
 
 
@@ -232,5 +233,5 @@ def outcome(spark, d):
 @query("e15_median_by_group", sql("index units", """
 SELECT scenario, t, sector, ROUND(median(total_units * idx) / 1e9, 6) AS median FROM index JOIN units USING (t, sector) GROUP BY 1, 2, 3"""))
 def medians(spark, d):
-    bill = index(spark, d).join(units(spark, d), ["t", "sector"]).withColumn("bill", F.col("total_units") * F.col("idx"))
+    bill = index(spark, d).join(bounded(units(spark, d)), ["t", "sector"]).withColumn("bill", F.col("total_units") * F.col("idx"))
     return E.median_by_group(bill, ["scenario", "t", "sector"], "bill").withColumn("median", F.round(F.col("median") / 1e9, 6))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import ensure_checkpoint_dir, with_parameters
+from ..functions.keys import bounded, ensure_checkpoint_dir, with_parameters
 from ..operators import panel as P
 from . import settings as S
 from . import views as V
@@ -204,7 +204,7 @@ def roll(spark, d, years):
     hz = P.hazard_lookup(P.cohort_ratio(train, grid), "cohort_ratio")
     promo, hires_, sc = P.transition_matrix(p, S.FRAMEWORKS), P.hire_profile(p), V.scenarios(spark)
     ensure_checkpoint_dir(spark)
-    hz, promo, hires_ = hz.checkpoint(), promo.checkpoint(), hires_.checkpoint()
+    hz, promo, hires_ = bounded(hz), bounded(promo), bounded(hires_)
     stock_, out = start_stock(spark, d), None
     for k in range(years):
         fl = P.step_flows(stock_, sc, hz, list(P.COHORT), life(spark), promo, S.BASE_YEAR + k, S.BASE_YEAR)

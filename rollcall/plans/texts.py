@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers as A
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 from .sqlviews import sql
 
@@ -43,7 +43,7 @@ Q_SQL = f"qs AS (SELECT o_orderkey AS id, {QUESTION} AS q FROM orders)"
 
 
 def questions(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(QUESTION).alias("q"))
+    return spread(table(spark, d, "orders")).select(F.col("o_orderkey").alias("id"), F.expr(QUESTION).alias("q"))
 
 
 def rx(text: str, pattern: str) -> str:
@@ -112,7 +112,7 @@ CLEANED = ("tool", "retirement_age", "accrual_rate_percent", "pension_formula",
 
 
 def calls(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(CALL).alias("answer"))
+    o = spread(table(spark, d, "orders")).select(F.col("o_orderkey").alias("id"), F.expr(CALL).alias("answer"))
     return A.clean_settings(A.parse_tool_calls(o, "answer"))
 
 
@@ -141,7 +141,7 @@ TEMPLATE = """CASE o_orderkey % 5 WHEN 0 THEN 'The cost is {cost} of GDP by {yea
 def facts(spark, d):
     items = [F.struct(F.lit(k).alias("key"), F.expr(v).cast("double").alias("value"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"))
              for k, (v, kind) in FACTS.items()]
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         F.col("o_orderkey").alias("id"), F.expr(QUESTION).alias("q"), F.expr(TEMPLATE).alias("template"), F.array(*items).alias("facts"),
         F.array(F.lit("A6"), F.lit("P10"), F.lit("S0")).alias("sources")).withColumn("shown", A.format_facts(F.col("facts")))
 
@@ -271,5 +271,5 @@ rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY score DESC, ite
 SELECT doc_id, item_id, ROUND(score, 6) AS score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 3"""))
 def search(spark, d):
     corpus = table(spark, d, "benchmark")
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return A.tfidf_search(corpus, docs, "item_id", "doc_id", "text").withColumn("score", F.round("score", 6))

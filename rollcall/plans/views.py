@@ -77,7 +77,9 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     daily = (ev.groupBy(F.col("user_id").alias("run"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).alias("t"))
              .agg(F.avg("value").alias("x")))
-    by_run = daily.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("days"))
+    # partitioned by run once: paths, flows and ledgers of a run all stay where this puts them
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by_run = daily.repartition(parts, "run").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("days"))
     x = F.coalesce(F.element_at("days", F.col("t")), F.lit(0.0))
     return (by_run.select("run", "days", F.explode(F.sequence(F.lit(0), F.lit(S.PATH_YEARS - 1))).alias("t"))
             .select("run", "t", (S.BASE_YEAR + F.col("t")).alias("year"), x.alias("x"))

@@ -67,3 +67,12 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: lis
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load_table(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy per-row work on a table scan with fewer splits than cores.
+
+    Only small inputs are shuffled: a scan that already has a split per core is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
