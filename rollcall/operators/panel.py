@@ -81,7 +81,7 @@ def spline_columns(col: str, lo: float, hi: float, knots: int = 6, degree: int =
     last = knots + degree - 2  # the interval that ends at `hi` also owns it
     basis = []
     for i in range(len(grid) - 1):
-        inside = (x >= grid[i]) & ((x < grid[i + 1]) | (F.lit(i == last) & (x <= grid[i + 1])))
+        inside = F.lit(False) if i > last else x >= grid[i] if i == last else (x >= grid[i]) & (x < grid[i + 1])
         basis.append(F.when(inside, 1.0).otherwise(0.0))
     for p in range(1, degree + 1):
         basis = [(x - grid[i]) / (p * step) * basis[i] + (grid[i + p + 1] - x) / (p * step) * basis[i + 1]

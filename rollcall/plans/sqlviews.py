@@ -48,7 +48,7 @@ panel AS (
     exit_type <> '' AS "exit", promoted FROM panel_typed)"""),
     "records": ([], """
 records AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS record_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), CAST(l_shipdate AS DATE)) AS record_id,
     l_orderkey * 10000 + l_partkey % 50 AS national_id, l_suppkey * 100000 + l_orderkey AS bank_account,
     concat_ws('/', p_name, l_suppkey) AS full_name, CAST(l_shipdate AS DATE) AS birth_date,
     l_linestatus AS sex, l_linestatus AS sector, l_returnflag AS framework, n_name AS ministry, r_name AS province,

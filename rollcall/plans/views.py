@@ -57,7 +57,9 @@ def records(spark: SparkSession, d: str) -> DataFrame:
             .join(supp, li.l_suppkey == supp.s_suppkey)
             .join(_units(spark, d), F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
-                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("record_id"),
+                # every column that tells two lines apart: the first four repeat once in the smallest test set
+                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"),
+                            F.col("l_shipdate").cast("date")).alias("record_id"),
                 (F.col("l_orderkey") * 10000 + F.col("l_partkey") % 50).alias("national_id"),
                 (F.col("l_suppkey") * 100000 + F.col("l_orderkey")).alias("bank_account"),
                 F.concat_ws("/", "p_name", "l_suppkey").alias("full_name"),
