@@ -126,17 +126,24 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str, buckets: int | None =
 
 
 def top_share_hit_rate(df: DataFrame, unit: str, predicted: str, actual: str, top: float = 0.2) -> DataFrame:
-    """Share of the units in the actual top that the prediction also puts in its top."""
+    """Share of the units in the actual top that the prediction also puts in its top.
+
+    One row per unit. Ties at the edge go by unit number, or by the hash of a unit name.
+    """
     n = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * top, 0)).cast("bigint")).scalar()
 
+    key = unit if dict(df.dtypes)[unit] in ("int", "bigint", "double") else None
+
     def first_k(col: str, mark: str) -> DataFrame:
-        # rank among equals by unit name, so exactly k units qualify
         groups = df.groupBy(col).agg(F.count("*").alias("_n")).withColumn("_neg", -F.col(col))
-        scan = ordered_scan(groups, [], "_neg", {"_before": "_n"}).select(col, "_before")
-        scan = scan.where(F.col("_before") < n)
-        w = Window.partitionBy(col).orderBy(unit)
-        return (df.select(unit, col).join(scan, col).withColumn("_rank", F.col("_before") + F.row_number().over(w))
-                .where(F.col("_rank") <= n).select(unit, F.lit(True).alias(mark)))
+        scan = ordered_scan(groups, [], "_neg", {"_before": "_n"}).where(F.col("_before") < n).select(col, "_before", "_n")
+        rows = df.select(unit, col).join(scan, col)
+        # values wholly inside need no order; only the one tied value at the edge is scanned unit by unit
+        whole = rows.where(F.col("_before") + F.col("_n") <= n).select(unit)
+        edge = (rows.where(F.col("_before") + F.col("_n") > n)
+                .withColumns({"_key": F.col(key) if key else F.xxhash64(unit), "_one": F.lit(1)}))
+        edge = ordered_scan(edge, [], "_key", {"_rank": "_one"}).where(F.col("_before") + F.col("_rank") < n).select(unit)
+        return whole.unionByName(edge).withColumn(mark, F.lit(True))
 
     hits = first_k(actual, "_a").join(first_k(predicted, "_p"), unit, "left")
     return hits.agg(F.count("*").alias("k"), F.count_if(F.col("_p")).alias("hits"),
