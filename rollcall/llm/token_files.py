@@ -26,6 +26,7 @@ from . import tokens
 from .common import arrow_map, groups, ids_and_text, partitions, rows
 
 NO_ID = -(1 << 63)
+READ_DOCS = 256
 MANIFEST = "shard int, n_docs bigint, n_tokens bigint, width int"
 
 
@@ -52,17 +53,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, path = _open_fs(folder)
         store.create_dir(path, recursive=True)
-        ends, ids, total, end = [0], [], 0, np.array([end_id], "<u4")
+        ends, ids, total, end = [0], [], 0, np.array([end_id], "<u4").tobytes()
         part = f"{path}/.{shard}-{attempt}"
         with store.open_output_stream(f"{part}.bin") as out:
             for held in groups(rows(batches), lambda r: len(r[1]) + 16, 1 << 21):
-                made = []
-                for (doc, _), data in zip(held, enc.many([t for _, t in held])):
-                    made += [np.frombuffer(data, "<u4"), end]
+                made = enc.many([t for _, t in held])
+                for (doc, _), data in zip(held, made):
                     total += len(data) // 4 + 1
                     ends.append(total)
                     ids.append(NO_ID if doc is None else doc)
-                out.write(np.concatenate(made).astype(dtype).tobytes())
+                out.write(np.frombuffer(end.join([*made, b""]), "<u4").astype(dtype).tobytes())
         for ext, values in (("off", np.array(ends, "<u8")), ("doc", np.array(ids, "<i8"))):
             with store.open_output_stream(f"{part}.{ext}") as out:
                 out.write(values.tobytes())
@@ -90,19 +90,21 @@ class Shard:
     def __init__(self, folder: str, shard: int, n_docs: int, width: int):
         self.store, path = _open_fs(folder)
         self.name, self.dtype = f"{path}/{shard:06d}", np.dtype(f"<u{width}")
-        self.mapped = self.store.type_name == "local"
-        self.offsets = self._array("off", "<u8", 0, n_docs + 1)
-        self.docs = self._array("doc", "<i8", 0, n_docs)
+        self.mapped = None
+        if self.store.type_name == "local":
+            self.mapped = np.memmap(f"{self.name}.bin", self.dtype, "r")
+        self.offsets = self._read("off", "<u8", 0, n_docs + 1)
+        self.docs = self._read("doc", "<i8", 0, n_docs)
 
-    def _array(self, ext: str, dtype, start: int, stop: int) -> np.ndarray:
+    def _read(self, ext: str, dtype, start: int, stop: int) -> np.ndarray:
         kind = np.dtype(dtype)
-        if self.mapped:
-            return np.memmap(f"{self.name}.{ext}", kind, "r")[start:stop] if stop > start else np.empty(0, kind)
         with self.store.open_input_file(f"{self.name}.{ext}") as f:
             return np.frombuffer(f.read_at((stop - start) * kind.itemsize, start * kind.itemsize), kind)
 
-    def ids(self, k: int) -> np.ndarray:
-        return self._array("bin", self.dtype, int(self.offsets[k]), int(self.offsets[k + 1]))
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """Ids of some documents in a row."""
+        a, b = int(self.offsets[first]), int(self.offsets[last])
+        return self.mapped[a:b] if self.mapped is not None else self._read("bin", self.dtype, a, b)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,11 +112,12 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def task(batches) -> Iterator[tuple]:
         for shard, n_docs, _, width, base, _ in rows(batches):
             part = Shard(folder, shard, n_docs, width)
-            for k in range(n_docs):
-                ids = part.ids(k)
-                doc = int(part.docs[k])
-                yield (None if doc == NO_ID else doc, base + int(part.offsets[k]), len(ids),
-                       zlib.crc32(ids.astype("<u4").tobytes()))
+            for at in range(0, n_docs, READ_DOCS):
+                to = min(at + READ_DOCS, n_docs)
+                data, edge = memoryview(part.ids(at, to).astype("<u4").tobytes()), part.offsets[at:to + 1].tolist()
+                for doc, a, b in zip(part.docs[at:to].tolist(), edge, edge[1:]):
+                    yield (None if doc == NO_ID else doc, base + a, b - a,
+                           zlib.crc32(data[(a - edge[0]) * 4:(b - edge[0]) * 4]))
 
     table = manifest(spark, folder)
     shards = table.repartition(partitions(spark), "shard")

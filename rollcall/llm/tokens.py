@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -31,43 +32,42 @@ class WordEncoder:
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.tail = re.compile(r"[.,;:!?]+\Z")
         self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> None:
-        """Distinct parts: plain lower-case words in one text, each ending in one closing id; others one by one."""
-        plain = [w for w in words if w.isascii() and w.isalpha()]
+        """Distinct parts: words of letters in one text, each ending in one closing id; others one by one."""
+        rest = [w for w in words if not w.isalpha()]
+        plain = [w for w in words if w.isalpha()]
         for at in range(0, len(plain), 4096):
             some = plain[at:at + 4096]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some) or (len(ids) and ends[-1] != len(ids)):
-                words = plain = words           # not a vocabulary with word ends: all one by one
-                break
-            data, stops = ids.tobytes(), (ends * 4).tolist()
-            self.cores.update(zip(some, (data[a:b] for a, b in zip([0, *stops], stops))))
-        rest = [w for w in words if w not in self.cores]
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                data, stops = ids.tobytes(), (ends * 4).tolist()
+                self.cores.update(zip(some, [data[a:b] for a, b in zip([0, *stops], stops)]))
+            else:                                   # a vocabulary without word ends
+                rest += some
         for at in range(0, len(rest), 4096):
             some = rest[at:at + 4096]
-            for w, e in zip(some, self.lib.encode_batch(some, add_special_tokens=False)):
-                self.cores[w] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                self.cores[w] = array("I", e.ids).tobytes()
 
     def _learn(self, parts: set[str]) -> None:
-        split = {}
+        cores, split, new = self.cores, [], set()
         for p in parts:
-            if p.isascii():                      # ASCII case and closing marks never change a neighbour's ids
-                low = p.lower()
-                m = self.tail.search(low)
-                if m and m.start() and low[m.start() - 1].isalnum():
-                    split[p] = low[:m.start()], m[0]
-                else:
-                    split[p] = (low,)
+            low = p.lower() if p.isascii() else p   # ASCII case and closing marks never change a neighbour's ids
+            core = low.rstrip(".,;:!?")
+            if core is low or len(core) == len(low) or not core or not core[-1].isalpha():
+                split.append((p, low, ""))
+                new.add(low)
             else:
-                split[p] = (p,)
-        self._encode(list({c for s in split.values() for c in s if c not in self.cores}))
-        for p, s in split.items():
-            self.known[p] = b"".join([self.cores[c] for c in s])
+                tail = low[len(core):]
+                split.append((p, core, tail))
+                new.add(core)
+                new.add(tail)
+        self._encode([c for c in new if c not in cores])
+        self.known.update([(p, cores[c] + cores[t] if t else cores[c]) for p, c, t in split])
 
     def many(self, some: list[str]) -> list[bytes]:
         """Ids of each text; call it with some megabytes of text at a time."""
@@ -82,10 +82,10 @@ class WordEncoder:
         if new:
             self._learn(new)
         known = self.known
-        return [b"".join([known[w] for w in p]) if p is not None else self.whole(t) for t, p in zip(some, parts)]
+        return [b"".join(map(known.__getitem__, p)) if p is not None else self.whole(t) for t, p in zip(some, parts)]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
