@@ -74,8 +74,8 @@ def groups(records: Iterable[tuple], size: Callable[[tuple], int], most: int) ->
         yield held
 
 
-def texts(batches: Iterable[pa.RecordBatch], most: int = 1 << 20, lower: bool = False) -> Iterator[tuple[list, list[bytes]]]:
-    """Keys and UTF-8 texts (last column) of about a megabyte of documents at a time; whole texts, however long."""
+def texts(batches: Iterable[pa.RecordBatch], most: int = 1 << 19, lower: bool = False) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and UTF-8 texts (last column) of about half a megabyte of documents at a time; whole texts, however long."""
     def encoded():
         for r in rows(batches):
             t = (r[-1] or "").encode("utf-8", "replace")
@@ -94,7 +94,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[t
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
     def weight(r):
-        return batch_bytes // batch_rows + sum(len(v) for v in r if isinstance(v, (bytes, str, list)))
+        return batch_bytes // batch_rows + sum(v.nbytes if isinstance(v, np.ndarray) else len(v)
+                                               for v in r if isinstance(v, (bytes, str, list, np.ndarray)))
 
     def task(batches):
         for held in groups(fn(batches), weight, batch_bytes):
@@ -109,7 +110,7 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], np.n
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 parts = [(t or "").encode("utf-8", "replace") for t in part.column(place).to_pylist()]
-                mask = np.concatenate([keep(held) for held in groups(parts, lambda t: len(t) + 16, 1 << 20)])
+                mask = np.concatenate([keep(held) for held in groups(parts, lambda t: len(t) + 16, 1 << 19)])
                 yield part.filter(pa.array(mask))
     place = docs.columns.index(text_col)
     return docs.mapInArrow(task, docs.schema)
@@ -136,7 +137,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64, kept for the worker."""
     held = worker_state().setdefault("powers", {})
     if base not in held or len(held[base][0]) < n:
-        size = max(1 << 21, 1 << n.bit_length())
+        size = max(1 << 17, 1 << n.bit_length())
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         held[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)

@@ -119,7 +119,7 @@ def _pairs(chain: list[tuple], prints: list[str]):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row, where the rows lie."""
     def task(batches):
-        for held in groups(rows(batches), lambda r: len(r[1]) + 16, 1 << 20):
+        for held in groups(rows(batches), lambda r: len(r[1]) + 16, 1 << 19):
             yield from zip([d for d, _ in held], fingerprint_many([t for _, t in held]))
     return arrow_map(ids_and_text(docs, id_col, text_col), task, "doc_id bigint, fingerprint string")
 
@@ -137,7 +137,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         from pyspark import TaskContext
         worker, last, last_print = TaskContext.get().partitionId(), None, None
         blank = (None,) * 6
-        for held in groups(rows(batches), lambda r: len(r[1]) + 16, 1 << 20):
+        for held in groups(rows(batches), lambda r: len(r[1]) + 16, 1 << 19):
             prints = fingerprint_many([t for _, t in held])
             if last is None:
                 yield held[0][0], *blank, worker, "first", held[0][1]

@@ -40,7 +40,7 @@ HEAVY_BITS, HEAVY_LEAST, HEAVIEST = 28, 16, 1 << 18
 PICK_BITS = 26
 FEW = 6
 BLOCK = 2048
-FLUSH_POSTS = 3_000_000
+FLUSH_POSTS, KNOWN_PAIRS = 1_000_000, 200_000
 
 
 def token_sets(parts: list[bytes], n: int) -> list[np.ndarray]:
@@ -184,7 +184,7 @@ def _first_pass(source: DataFrame, n: int, heavy: tuple, share) -> DataFrame:
                 for p, q in found:
                     pair = (p, q) if p < q else (q, p)
                     if pair not in pairs:
-                        if len(pairs) > 2_000_000:
+                        if len(pairs) > KNOWN_PAIRS:        # the rest of equal pairs is removed after the shuffle
                             pairs.clear()
                         pairs.add(pair)
                         yield "pair", pair[0], pair[1], None, None

@@ -27,7 +27,7 @@ from .common import WORD_BASE_2, Words, arrow_map, ids_and_text, mix2, partition
 
 WINDOW, ANCHOR_SPAN, BITS = 20, 13, 28
 PLACE_BITS = 24
-FLUSH_WINDOWS, CHUNK = 3_000_000, 1 << 22
+FLUSH_WINDOWS, CHUNK = 1_000_000, 1 << 22
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from .common import arrow_map, partitions, rows
 
 SLICE_BITS = 16
 SLICE = "slice int, lows binary"
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 
 
 def counters(values: np.ndarray, bits: int) -> np.ndarray:
