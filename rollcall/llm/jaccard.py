@@ -174,20 +174,19 @@ def _first_pass(source: DataFrame, n: int, heavy: tuple, share) -> DataFrame:
                 if b - a <= FEW:
                     first, second = np.triu_indices(b - a, 1)
                     ok = _possible(c[first], i[first], c[second], i[second], share)
-                    found = zip(x[first[ok]].tolist(), x[second[ok]].tolist())
+                    kind, found = "pair", zip(x[first[ok]].tolist(), x[second[ok]].tolist())
                 else:
-                    found = _stars(x.tolist(), c.tolist(), i.tolist(), share)
+                    kind, found = "star", _stars(x.tolist(), c.tolist(), i.tolist(), share)
                     for at in range(0, b - a, BLOCK):
                         cut = slice(at, at + BLOCK)
                         yield ("many", int(token[a].astype(np.int64)), None, None, x[cut].astype("<i8").tobytes()
                                + c[cut].astype("<i8").tobytes() + i[cut].astype("<i8").tobytes())
                 for p, q in found:
-                    pair = (p, q) if p < q else (q, p)
-                    if pair not in pairs:
+                    if (p, q) not in pairs:
                         if len(pairs) > KNOWN_PAIRS:        # the rest of equal pairs is removed after the shuffle
                             pairs.clear()
-                        pairs.add(pair)
-                        yield "pair", pair[0], pair[1], None, None
+                        pairs.add((p, q))
+                        yield kind, p, q, None, None
         for s, doc, size, node, token, place, nodes in rows(batches, 64):
             if node is not None:
                 yield "node", doc, node, size, None
@@ -323,7 +322,12 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int] =
         sets = _sets(source, nodes.join(ends, "node"), n, heavy, share)
         return _verified(pairs, sets.dropDuplicates(["node"]), share)
 
-    pairs = stored(found.where("kind = 'pair'").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    # a member of stars keeps two centres, the one met most often and the smallest; left-over pairs come later
+    stars = (found.where("kind = 'star'").groupBy("x", "y").agg(F.count("*").alias("met")).groupBy(F.col("y").alias("member"))
+             .agg(F.max(F.struct("met", "x"))["x"].alias("most"), F.min("x").alias("least"))
+             .select("member", F.explode(F.array("most", "least")).alias("centre")))
+    either = found.where("kind = 'pair'").select("x", "y").unionAll(stars.select(F.col("centre").alias("x"), F.col("member").alias("y")))
+    pairs = stored(either.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = stored(forest(linked(pairs)))
     labels = components(links)
     more = stored(_left_over(many, labels, share).join(pairs, ["a", "b"], "left_anti"))
