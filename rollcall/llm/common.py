@@ -84,6 +84,16 @@ def texts(batches: Iterable[pa.RecordBatch], most: int = 1 << 19, lower: bool =
         yield [k for k, _ in held], [t for _, t in held]
 
 
+BATCH_ROWS, DEFAULT_BATCH_ROWS = "1000", "10000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long: unless the session has its own number, a thousand rows go to a Python worker at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, DEFAULT_BATCH_ROWS) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str | StructType,
               batch_rows: int = 1024, batch_bytes: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` for a function that yields tuples; batches are bounded in rows and bytes."""
@@ -100,6 +110,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[t
     def task(batches):
         for held in groups(fn(batches), weight, batch_bytes):
             yield pack(held)
+    short_batches(df.sparkSession)
     return df.mapInArrow(task, out)
 
 
@@ -113,6 +124,7 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], np.n
                 mask = np.concatenate([keep(held) for held in groups(parts, lambda t: len(t) + 16, 1 << 19)])
                 yield part.filter(pa.array(mask))
     place = docs.columns.index(text_col)
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(task, docs.schema)
 
 

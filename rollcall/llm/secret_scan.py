@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ids_and_text, rows
+from .common import arrow_map, ids_and_text, rows, short_batches
 
 # fixed values: patterns and least lengths of the kinds
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -185,4 +185,5 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
                     sizes = [n if a == b else len(b) for n, a, b in zip(columns[k].to_pylist(), old, new)]
                     columns[k] = pa.array(sizes, part.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(task, docs.schema)

@@ -85,14 +85,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .select("h", "y", "text").repartition(1).sortWithinPartitions("h", "text"))
 
     def task(batches):
-        ys, per_doc = [], []
+        ys, per_doc, met = [], [], np.zeros(1 << 24, np.uint8)
         for keys, parts in texts(batches):
             doc, key = features(parts)
             order = np.argsort(doc, kind="stable")
-            per_doc += [np.unique(k) for k in np.split(key[order], np.searchsorted(doc[order], np.arange(1, len(parts))))]
+            for k in np.split(key[order], np.searchsorted(doc[order], np.arange(1, len(parts)))):
+                per_doc.append(np.unique(k))
+                at = np.unique(per_doc[-1] >> np.uint64(40))
+                met[at] = np.minimum(met[at], MIN_DOCS) + 1            # never below the number of texts, up to MIN_DOCS
             ys += [y for _, y in keys]
         if not ys:
             return
+        for i, k in enumerate(per_doc):
+            per_doc[i] = k[met[k >> np.uint64(40)] >= MIN_DOCS]
         names, count = np.unique(np.concatenate(per_doc), return_counts=True)
         names = names[count >= MIN_DOCS]
         found = []
