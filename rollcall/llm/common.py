@@ -94,9 +94,19 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def release(keeps: str | None) -> None:
+    """Drop what earlier tasks left in this worker, but for small tables and what the next task goes on with."""
+    state = worker_state()
+    for name in [n for n in state if n not in ("powers", "codes", keeps) and not n.startswith("__")]:
+        del state[name]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: str | StructType,
-              batch_rows: int = 1024, batch_bytes: int = 4 << 20) -> DataFrame:
-    """``mapInArrow`` for a function that yields tuples; batches are bounded in rows and bytes."""
+              batch_rows: int = 1024, batch_bytes: int = 4 << 20, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` for a function that yields tuples; batches are bounded in rows and bytes.
+
+    ``keeps`` names the worker state (a loaded model, a cache) that tasks of this kind share.
+    """
     out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
@@ -108,8 +118,10 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[t
                                                for v in r if isinstance(v, (bytes, str, list, np.ndarray)))
 
     def task(batches):
+        release(keeps)
         for held in groups(fn(batches), weight, batch_bytes):
             yield pack(held)
+        pa.default_memory_pool().release_unused()
     short_batches(df.sparkSession)
     return df.mapInArrow(task, out)
 
@@ -117,6 +129,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[t
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows whose UTF-8 texts (null: empty) a function keeps, with all columns, filtered where they lie."""
     def task(batches):
+        release("matcher")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

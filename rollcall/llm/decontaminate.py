@@ -114,7 +114,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 for (doc,), hits in zip(ids, _matcher(shared, ratio).find([folded(p) for p in parts])):
                     for item, d in hits.items():
                         yield doc, item, d
-        return arrow_map(ids_and_text(docs, id_col, text_col), task, "doc_id bigint, item_id bigint, distance int")
+        return arrow_map(ids_and_text(docs, id_col, text_col), task, "doc_id bigint, item_id bigint, distance int", keeps="matcher")
     empty = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, distance int")
     parts = [one(b) for b in _blocks(items, item_col, item_text_col)]
     return reduce(DataFrame.unionAll, parts) if parts else empty

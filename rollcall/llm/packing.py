@@ -72,7 +72,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             for p in own:
                 yield *p, worker, None, None
 
-    packed = stored(arrow_map(ids_and_text(docs, id_col, text_col), task, schema))
+    packed = stored(arrow_map(ids_and_text(docs, id_col, text_col), task, schema, keeps="encoders"))
     loose = stored(_pack_loose(packed.where(F.col("bin").isNull()), capacity))
     full = packed.where(F.col("bin").isNotNull())
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ids_and_text, rows, short_batches
+from .common import arrow_map, ids_and_text, release, rows, short_batches
 
 # fixed values: patterns and least lengths of the kinds
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -173,6 +173,7 @@ def redacted(text: str) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows and columns, with secrets replaced in the text, and a column of lengths set anew where it changed."""
     def task(batches):
+        release(None)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

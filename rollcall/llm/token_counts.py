@@ -84,7 +84,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield from zip([k for k, _ in held], [n for _, n in held], piece_counts(path, [k for k, _ in held]))
 
     total = arrow_map(source, tally, "key string, n bigint", batch_rows=32768).groupBy("key").agg(F.sum("n").alias("n"))
-    vocabulary = stored(arrow_map(total, counted, "key string, n bigint, pieces int", batch_rows=32768))
+    vocabulary = stored(arrow_map(total, counted, "key string, n bigint, pieces int", batch_rows=32768, keeps="piece_models"))
     known = vocabulary.where(F.length("key") <= HOT_CHARS).orderBy(F.desc("n"), "key").limit(hot).select("key", "pieces")
     frequent = spark.sparkContext.broadcast(dict(_collected(known)))
 

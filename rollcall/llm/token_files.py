@@ -72,7 +72,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             yield shard, len(ids), total, dtype.itemsize
 
     ordered = ids_and_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    arrow_map(ordered, task, MANIFEST).write.parquet(f"{folder}/counts")
+    arrow_map(ordered, task, MANIFEST, keeps="encoders").write.parquet(f"{folder}/counts")
     return manifest(spark, folder)
 
 

@@ -15,7 +15,7 @@ import numpy as np
 
 from .common import worker_state
 
-CACHE_WORDS = 700_000
+CACHE_WORDS, CACHE_CORES = 350_000, 150_000
 
 
 class WordEncoder:
@@ -72,8 +72,10 @@ class WordEncoder:
     def many(self, some: list[str]) -> list[bytes]:
         """Ids of each text; call it with some megabytes of text at a time."""
         parts = [None if self.special.search(t) else t.replace("\n", " ").split(" ") for t in some]
-        if max(len(self.known), len(self.cores)) > CACHE_WORDS:
-            self.known, self.cores = {"": b""}, {}
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        if len(self.cores) > CACHE_CORES:
+            self.cores = {}
         new = set()
         for p in parts:
             if p:
