@@ -22,7 +22,12 @@ def normalise_columns(df: DataFrame) -> DataFrame:
 
 
 def check_required(df: DataFrame, required: list[str]) -> DataFrame:
-    """One row per required column: is it there, and how many rows have it filled."""
+    """One row per required column: is it there. Reads the schema only, no data."""
+    return inline_table(df.sparkSession, [(c, c in df.columns) for c in required], "column string, present boolean")
+
+
+def filled_counts(df: DataFrame, required: list[str]) -> DataFrame:
+    """One row per required column: is it there, and how many rows have it filled (one scan)."""
     wide = df.agg(*[(F.count(c) if c in df.columns else F.lit(0).cast("bigint")).alias(f"n{i}")
                     for i, c in enumerate(required)])
     rows = [F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(f"n{i}").alias("filled"))
@@ -198,13 +203,20 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def tables_match(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tol: float) -> DataFrame:
-    """Are two tables equal within a tolerance: rows on one side only, rows that differ, the verdict."""
-    left = a.select(*keys, *[F.col(v).alias(f"_a_{v}") for v in values], F.lit(True).alias("_in_a"))
-    right = b.select(*keys, *[F.col(v).alias(f"_b_{v}") for v in values], F.lit(True).alias("_in_b"))
-    both = left.join(right, keys, "full_outer")
+    """Are two tables equal within a tolerance: rows on one side only, rows that differ, the verdict.
+
+    A null key meets a null key; a null value equals only a null value.
+    """
+    left = a.select(*[F.col(k).alias(f"_a_key_{k}") for k in keys], *[F.col(v).alias(f"_a_{v}") for v in values], F.lit(True).alias("_in_a"))
+    right = b.select(*[F.col(k).alias(f"_b_key_{k}") for k in keys], *[F.col(v).alias(f"_b_{v}") for v in values], F.lit(True).alias("_in_b"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_a_key_{k}").eqNullSafe(F.col(f"_b_key_{k}"))
+    both = left.join(right, same, "full_outer")
     off = F.lit(False)
     for v in values:
-        off = off | (F.abs(F.col(f"_a_{v}") - F.col(f"_b_{v}")) > tol)
+        x, y = F.col(f"_a_{v}"), F.col(f"_b_{v}")
+        off = off | F.coalesce(F.abs(x - y) > tol, x.isNull() != y.isNull())
     paired = F.col("_in_a") & F.col("_in_b")
     return both.agg(
         F.count_if(F.col("_in_b").isNull()).alias("only_first"), F.count_if(F.col("_in_a").isNull()).alias("only_second"),

@@ -89,19 +89,19 @@ def flag_and_split(df: DataFrame, rules: list[str], model_rules: list[str], dete
     return df.withColumns({"rule_flag": any_of(rules), "flag": any_of([*detectors, *model_rules])})
 
 
-def clean_records(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("flag"))
-
-
 def detector_metrics(df: DataFrame, detectors: dict[str, str], truth: str = "anomaly", none: str = "none") -> DataFrame:
-    """Flagged, hits, misses, precision, recall and F1 of each detector against known anomalies."""
+    """Flagged, hits, misses, precision, recall and F1 of each detector against known anomalies.
+
+    Records of unknown truth (null) are kept and counted; they are neither hits nor false alarms.
+    """
     rows = [F.struct(F.lit(name).alias("detector"), F.col(c).alias("pred")) for name, c in detectors.items()]
     long = unpivot_structs(df.select((F.col(truth) != none).alias("_y"), *detectors.values()), ["_y"], rows,
                            ["detector", "pred"])
     y, p = F.col("_y"), F.col("pred")
     counts = long.groupBy("detector").agg(
         F.count_if(p).alias("flagged"), F.count_if(p & y).alias("true_positive"),
-        F.count_if(p & ~y).alias("false_positive"), F.count_if(~p & y).alias("missed"))
+        F.count_if(p & ~y).alias("false_positive"), F.count_if(~p & y).alias("missed"),
+        F.count_if(y.isNull()).alias("unlabelled"))
     tp, fp, fn = F.col("true_positive"), F.col("false_positive"), F.col("missed")
     pr, rc = tp / F.greatest(tp + fp, F.lit(1)), tp / F.greatest(tp + fn, F.lit(1))
     return counts.withColumns({
@@ -110,7 +110,9 @@ def detector_metrics(df: DataFrame, detectors: dict[str, str], truth: str = "ano
 
 
 def recall_by_type(df: DataFrame, flags: list[str], truth: str = "anomaly", none: str = "none") -> DataFrame:
-    return (df.where(F.col(truth) != none).groupBy(truth)
+    """Share flagged of each type of anomaly; records of unknown truth are a type of their own."""
+    known = df.withColumn(truth, F.coalesce(truth, F.lit("unlabelled")))
+    return (known.where(F.col(truth) != none).groupBy(truth)
             .agg(*[F.round(F.avg(F.col(c).cast("double")), 3).alias(c) for c in flags]))
 
 

@@ -75,8 +75,8 @@ UNION ALL SELECT 'eligible60', TRUE, COUNT(eligible60) FROM upload
 UNION ALL SELECT 'basic_salary', TRUE, COUNT(basic_salary) FROM upload
 UNION ALL SELECT 'allowance', FALSE, 0"""))
 def required(spark, d):
-    return I.check_required(I.normalise_columns(raw_upload(spark, d)),
-                            ["person_id", "eligible60", "basic_salary", "allowance"])
+    upload, required = I.normalise_columns(raw_upload(spark, d)), ["person_id", "eligible60", "basic_salary", "allowance"]
+    return I.check_required(upload, required).join(F.broadcast(I.filled_counts(upload, required).drop("present")), "column")
 
 
 @query("a04_canonicalise_codes", sql("", UPLOAD + f""",
@@ -140,13 +140,12 @@ def duplicates(spark, d):
 
 
 @query("a09_period_coverage", sql("", """
-WITH p AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS p, COUNT(*) AS rows FROM orders
-  WHERE month(o_orderdate) <> 2 GROUP BY 1),
+WITH p AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS p, COUNT(*) AS rows FROM orders GROUP BY 1),
 s AS (SELECT *, LEAD(p) OVER (ORDER BY p) - p AS step FROM p)
 SELECT COUNT(*) AS periods, MIN(p) AS "first", MAX(p) AS "last", COUNT(*) FILTER (WHERE step <> 1) AS gaps,
   CAST(SUM(rows - 1) AS BIGINT) AS repeated, COUNT(*) < 6 AS too_few FROM s"""))
 def coverage(spark, d):
-    o = table(spark, d, "orders").where(F.month("o_orderdate") != 2)
+    o = table(spark, d, "orders")
     return I.period_coverage(o.select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("p")), "p", 6)
 
 

@@ -192,18 +192,19 @@ def run_off(spark, d):
     return out.withColumn("payments", F.round(F.col("payments") / 1e9, 6))
 
 
-@query("e10_register_payments", sql("index register units life", f"""
+@query("e10_register_payments", sql("index register stocks life", f"""
 WITH {CUMHAZ},
-pa AS (SELECT scenario, run, index.t, mortality_mult, SUM(idx * basic_units) / SUM(basic_units) AS pidx_all FROM index JOIN units0 USING (sector) GROUP BY 1, 2, 3, 4),
-am AS (SELECT age, SUM(monthly_pension) * 12 AS amount FROM register WHERE monthly_pension > 0 GROUP BY 1),
+heads AS (SELECT sector, SUM(n) AS n FROM stocks WHERE t = 0 GROUP BY 1),
+pa AS (SELECT scenario, run, index.t, mortality_mult, SUM(idx * n) / SUM(n) AS pidx_all FROM index JOIN heads USING (sector) GROUP BY 1, 2, 3, 4),
+am AS (SELECT age, SUM(monthly_pension) * 12 AS amount FROM register GROUP BY 1),
 du AS (SELECT mortality_mult, t, SUM(amount * exp(-mortality_mult * (b.cumhaz - a.cumhaz))) AS due
   FROM (SELECT DISTINCT mortality_mult, t FROM pa) CROSS JOIN am JOIN cum a ON a.age = am.age JOIN cum b ON b.age = LEAST(am.age + t, 111) GROUP BY 1, 2)
 SELECT scenario, run, t, ROUND(due * pidx_all / 1e6, 6) AS payments FROM pa JOIN du USING (mortality_mult, t)"""))
 def register(spark, d):
-    w = start_units(spark, d)
-    runs = (index(spark, d).join(w, "sector").groupBy("scenario", "run", "t", "mortality_mult")
-            .agg((F.sum(F.col("idx") * F.col("basic_units")) / F.sum("basic_units")).alias("pidx_all")))
-    by_age = V.register(spark, d).where("monthly_pension > 0").groupBy("age").agg((F.sum("monthly_pension") * 12).alias("amount"))
+    heads = bounded(V.stocks(spark, d).where("t = 0").groupBy("sector").agg(F.sum("n").alias("n")))      # one row per sector
+    runs = (index(spark, d).join(heads, "sector").groupBy("scenario", "run", "t", "mortality_mult")
+            .agg((F.sum(F.col("idx") * F.col("n")) / F.sum("n")).alias("pidx_all")))
+    by_age = V.register(spark, d).groupBy("age").agg((F.sum("monthly_pension") * 12).alias("amount"))
     return E.register_payments(by_age, runs, life(spark)).withColumn("payments", F.round(F.col("payments") / 1e6, 6))
 
 

@@ -212,12 +212,11 @@ def forecast(spark, d):
 
 @query("i13_win_rates", sql("cells", BACK + """,
 w AS (SELECT origin, h, series, MAX(abs(forecast - actual)) FILTER (WHERE method = 'bottom_up') AS m, MAX(abs(forecast - actual)) FILTER (WHERE method = 'base') AS b,
-  MAX(abs(forecast - actual)) FILTER (WHERE method = 'top_down') AS t FROM err WHERE level <> 'cell' GROUP BY 1, 2, 3)
+  MAX(abs(forecast - actual)) FILTER (WHERE method = 'top_down') AS t FROM err GROUP BY 1, 2, 3)
 SELECT 'base' AS against, ROUND(AVG(CASE WHEN m < b THEN 1.0 ELSE 0.0 END), 8) AS win_rate FROM w
 UNION ALL SELECT 'top_down', ROUND(AVG(CASE WHEN m < t THEN 1.0 ELSE 0.0 END), 8) FROM w"""))
 def wins(spark, d):
-    e = errors(spark, d).where("level <> 'cell'")
-    return H.win_rates(e, "bottom_up", ("base", "top_down")).withColumn("win_rate", F.round("win_rate", 8))
+    return H.win_rates(errors(spark, d), "bottom_up", ("base", "top_down")).withColumn("win_rate", F.round("win_rate", 8))
 
 
 @query("i14_saved_base", sql("cells", f"""

@@ -127,18 +127,19 @@ WITH l AS (SELECT 'rules' AS detector, rule_flag AS p, anomaly <> 'none' AS y FR
   UNION ALL SELECT 'copies', copy_flag, anomaly <> 'none' FROM flagged_docs
   UNION ALL SELECT 'all', flag, anomaly <> 'none' FROM flagged_docs),
 c AS (SELECT detector, COUNT(*) FILTER (WHERE p) AS flagged, COUNT(*) FILTER (WHERE p AND y) AS true_positive,
-  COUNT(*) FILTER (WHERE p AND NOT y) AS false_positive, COUNT(*) FILTER (WHERE NOT p AND y) AS missed FROM l GROUP BY 1),
+  COUNT(*) FILTER (WHERE p AND NOT y) AS false_positive, COUNT(*) FILTER (WHERE NOT p AND y) AS missed,
+  COUNT(*) FILTER (WHERE y IS NULL) AS unlabelled FROM l GROUP BY 1),
 r AS (SELECT *, true_positive / GREATEST(true_positive + false_positive, 1) AS pr,
   true_positive / GREATEST(true_positive + missed, 1) AS rc FROM c)
-SELECT detector, flagged, true_positive, false_positive, missed, ROUND(pr, 3) AS "precision", ROUND(rc, 3) AS recall,
+SELECT detector, flagged, true_positive, false_positive, missed, unlabelled, ROUND(pr, 3) AS "precision", ROUND(rc, 3) AS recall,
   ROUND(2 * pr * rc / GREATEST(pr + rc, 1e-9), 3) AS f1 FROM r"""))
 def metrics(spark, d):
     return Q.detector_metrics(V.flagged_docs(spark, d), {"rules": "rule_flag", "copies": "copy_flag", "all": "flag"})
 
 
 @query("b10_recall_by_type", sql("flagged_docs", """
-SELECT anomaly, ROUND(AVG(CASE WHEN rule_flag THEN 1.0 ELSE 0.0 END), 3) AS rule_flag,
-  ROUND(AVG(CASE WHEN flag THEN 1.0 ELSE 0.0 END), 3) AS flag FROM flagged_docs WHERE anomaly <> 'none' GROUP BY 1"""))
+SELECT COALESCE(anomaly, 'unlabelled') AS anomaly, ROUND(AVG(CASE WHEN rule_flag THEN 1.0 ELSE 0.0 END), 3) AS rule_flag,
+  ROUND(AVG(CASE WHEN flag THEN 1.0 ELSE 0.0 END), 3) AS flag FROM flagged_docs WHERE anomaly IS DISTINCT FROM 'none' GROUP BY 1"""))
 def recall(spark, d):
     return Q.recall_by_type(V.flagged_docs(spark, d), ["rule_flag", "flag"])
 

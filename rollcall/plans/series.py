@@ -78,9 +78,9 @@ def recent_mean(spark, d):
 
 @query("h03_linear_trend", sql("cells", f"""
 WITH {YEARLY}, f AS (SELECT series, regr_slope(value, year) AS s, regr_intercept(value, year) AS i, MAX(year) AS y FROM alls GROUP BY 1)
-SELECT series, CAST(k AS INT) AS h, ROUND(i + s * (y + k), 9) AS q50 FROM f CROSS JOIN range(1, 4) AS r(k)"""))
+SELECT series, CAST(k AS INT) AS h, ROUND(i + s * (y + k), 6) AS q50 FROM f CROSS JOIN range(1, 4) AS r(k)"""))
 def trend(spark, d):
-    return one_model(yearly(spark, d), FC.linear_trend, 3)
+    return one_model(yearly(spark, d), FC.linear_trend, 3).withColumn("q50", F.round("q50", 6))
 
 
 @query("h04_ar_select")

@@ -85,7 +85,7 @@ cells AS (
     SUM(o_totalprice) / 1e6 AS value
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
-  WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2, 3, 4)"""),
+  GROUP BY 1, 2, 3, 4)"""),
     "macro": ([], f"""
 macro_months AS (
   SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) - {S.PANEL_START * 12 + 1} AS INT) AS t,
@@ -115,9 +115,9 @@ docs_flagged AS (
     ROW_NUMBER() OVER (PARTITION BY text, lang ORDER BY doc_id) > 1 AS copy_flag
   FROM documents),
 flagged_docs AS (
-  SELECT f.*, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' ELSE 'none' END AS anomaly,
+  SELECT f.*, CASE WHEN labels.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' ELSE 'none' END AS anomaly,
     length_rule OR digit_rule AS rule_flag, length_rule OR digit_rule OR copy_flag AS flag
-  FROM docs_flagged f JOIN labels ON record_id = doc_id)"""),
+  FROM docs_flagged f LEFT JOIN labels ON record_id = labels.doc_id)"""),
     "register": ([], """
 register AS (
   SELECT c_custkey AS pensioner_id, CAST(40 + c_custkey % 60 AS INT) AS age, c_acctbal AS monthly_pension

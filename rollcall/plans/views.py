@@ -79,6 +79,9 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     daily = (ev.groupBy(F.col("user_id").alias("run"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).alias("t"))
              .agg(F.avg("value").alias("x")))
+    # a longer history than the model's horizon is an error, not a shorter result
+    daily = daily.withColumn("t", F.when(F.col("t").between(0, S.PATH_YEARS - 1), F.col("t"))
+                             .otherwise(F.raise_error(F.concat(F.lit("event outside the path years: "), F.col("t").cast("string"))).cast("int")))
     # partitioned by run once: paths, flows and ledgers of a run all stay where this puts them
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by_run = daily.repartition(parts, "run").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("days"))
@@ -101,8 +104,8 @@ def scenarios(spark: SparkSession) -> DataFrame:
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """Value per (sector, ministry, province, year) over the complete years."""
-    orders = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
+    """Value per (sector, ministry, province, year), every year of the orders."""
+    orders = table(spark, d, "orders")
     per = (orders.groupBy("o_custkey", F.year("o_orderdate").alias("year"))
            .agg(F.sum("o_totalprice").alias("spend")))
     cust = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -146,7 +149,7 @@ def stocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagged_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with rule, matching and truth columns: the detector-scoring input."""
+    """All documents with rule, matching and truth columns (null without a label): the detector-scoring input."""
     from ..operators.quality import later_duplicates
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("record_id"), F.sha2("text", 256).alias("text_key"), "lang",
@@ -158,7 +161,7 @@ def flagged_docs(spark: SparkSession, d: str) -> DataFrame:
     truth = labels.select(F.col("doc_id").alias("record_id"),
                           F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality")
                           .otherwise("none").alias("anomaly"))
-    return (docs.join(truth, "record_id").withColumns({
+    return (docs.join(truth, "record_id", "left").withColumns({
         "rule_flag": F.col("length_rule") | F.col("digit_rule"),
         "flag": F.col("length_rule") | F.col("digit_rule") | F.col("copy_flag")}))
 

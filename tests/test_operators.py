@@ -166,11 +166,65 @@ def test_ledger_never_negative_and_first_topup_is_depletion(spark):
 
 
 def test_pareto_and_hypervolume(spark):
-    df = spark.createDataFrame([(1.0, 0.4), (2.0, 0.6), (1.5, 0.4), (2.5, 0.5), (2.0, 0.6)], "cost double, adequacy double")
+    df = spark.createDataFrame([(4.0, 7.0), (6.0, 9.0), (5.0, 6.5), (6.0, 9.0), (9.0, 8.0), (4.0, 3.0)], "cost double, adequacy double")
     front = R.pareto_front(df, "cost", "adequacy").where("on_front").collect()
-    assert sorted((r.cost, r.adequacy) for r in front) == [(1.0, 0.4), (2.0, 0.6), (2.0, 0.6)]
-    hv = R.hypervolume(df, "cost", "adequacy", F.lit(3.0), F.lit(0.3)).first().hypervolume
-    assert hv == pytest.approx(1.0 * 0.1 + 1.0 * 0.3)
+    assert sorted((r.cost, r.adequacy) for r in front) == [(4.0, 7.0), (6.0, 9.0), (6.0, 9.0)]
+    hv = R.hypervolume(df, "cost", "adequacy", F.lit(10.0), F.lit(2.0)).first().hypervolume
+    assert hv == pytest.approx(2.0 * 5.0 + 4.0 * 7.0)
+
+
+def test_tables_with_nulls_do_not_match(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, None), (None, 3.0)], "k int, v double")
+    b = spark.createDataFrame([(1, 1.0), (2, 5.0), (None, 3.0)], "k int, v double")
+    r = I.tables_match(a, b, ["k"], ["v"], 1e-9).first()
+    assert (r.only_first, r.only_second, r.different, r.match) == (0, 0, 1, False)
+    assert I.tables_match(a, a, ["k"], ["v"], 1e-9).first().match
+
+
+def test_unlabelled_records_are_kept(spark):
+    df = spark.createDataFrame([(True, "x"), (True, None), (False, "none"), (False, None)], "flag boolean, anomaly string")
+    r = Q.detector_metrics(df, {"f": "flag"}).first()
+    assert (r.flagged, r.true_positive, r.false_positive, r.missed, r.unlabelled) == (2, 1, 0, 0, 2)
+    assert {x.anomaly: x.flag for x in Q.recall_by_type(df, ["flag"]).collect()} == {"x": 1.0, "unlabelled": 0.5}
+
+
+def test_later_history_is_read_or_refused(spark, tmp_path):
+    import shutil
+    from rollcall.plans import views
+    for t in ("customer", "nation", "region", "orders", "events"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    late = o.limit(1).withColumn("o_orderdate", F.expr("timestamp_ntz'2011-05-05 00:00:00'"))
+    o.unionAll(late).coalesce(1).write.parquet(str(tmp_path / "more"))
+    (tmp_path / "orders.parquet").unlink()
+    (tmp_path / "more").rename(tmp_path / "orders.parquet")
+    assert views.cells(spark, str(tmp_path)).agg(F.max("year")).first()[0] == 2011
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.limit(1).withColumn("ts", F.expr("timestamp_ntz'2024-03-05 00:00:00'")).coalesce(1).write.parquet(str(tmp_path / "late"))
+    (tmp_path / "events.parquet").unlink()
+    (tmp_path / "late").rename(tmp_path / "events.parquet")
+    with pytest.raises(Exception, match="outside the path years"):
+        views.paths(spark, str(tmp_path)).collect()
+
+
+def test_worker_code_runs_from_another_folder(tmp_path):
+    """Executors have no copy of the package: its functions travel with the job."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("__spark_entry__", {root + "/__spark_entry__.py"!r})
+e = importlib.util.module_from_spec(spec); spec.loader.exec_module(e)
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+for n in ("b07_isolation_forest", "i06_reconcile"):
+    assert e.queries()[n](s, "/root/testdata/sf0.001").count() > 0, n
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_pareto_equals_brute_force(spark):
