@@ -34,6 +34,7 @@ def pre_tokens(text: str) -> list[str]:
     """Keys of a text's pre-tokens: without their first blank, or with their line end."""
     if not text:
         return []
+    text = text.replace("▁", " ")               # the model's own sign for a blank
     if "  " in text or " \n" in text or text[0] == " " or text[-1] == " ":
         return [t[1:] if t[0] == " " else t for t in PART.findall(" " + text)]
     return (" " + text).replace("\n", " \n").split(" ")[1:]

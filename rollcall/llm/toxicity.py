@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, arrow_map, ids_and_text, keep_rows, mix, texts
 
-SAMPLE, MIN_DOCS, EPOCHS = 3000, 3, 6
+SAMPLE, MIN_DOCS, EPOCHS = 3000, 4, 6
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 1.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 1.0
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
