@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -94,6 +95,15 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def trim() -> None:
+    """Return freed memory of a finished task to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def release(keeps: str | None) -> None:
     """Drop what earlier tasks left in this worker, but for small tables and what the next task goes on with."""
     state = worker_state()
@@ -121,7 +131,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[t
         release(keeps)
         for held in groups(fn(batches), weight, batch_bytes):
             yield pack(held)
-        pa.default_memory_pool().release_unused()
+        trim()
     short_batches(df.sparkSession)
     return df.mapInArrow(task, out)
 

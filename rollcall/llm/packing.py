@@ -68,6 +68,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                             at += p[2]
                         bins += 1
                         del open_bins[k]
+        enc.forget()
         for own in open_bins.values():
             for p in own:
                 yield *p, worker, None, None

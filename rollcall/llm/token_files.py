@@ -63,6 +63,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     ends.append(total)
                     ids.append(NO_ID if doc is None else doc)
                 out.write(np.frombuffer(end.join([*made, b""]), "<u4").astype(dtype).tobytes())
+        enc.forget()
         for ext, values in (("off", np.array(ends, "<u8")), ("doc", np.array(ids, "<i8"))):
             with store.open_output_stream(f"{part}.{ext}") as out:
                 out.write(values.tobytes())

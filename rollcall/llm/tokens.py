@@ -86,6 +86,10 @@ class WordEncoder:
         known = self.known
         return [b"".join(map(known.__getitem__, p)) if p is not None else self.whole(t) for t, p in zip(some, parts)]
 
+    def forget(self) -> None:
+        """Give the caches' memory back; the next task may be another operator's."""
+        self.known, self.cores = {"": b""}, {}
+
     def whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
