@@ -72,7 +72,7 @@ def test_validation_finds_each_problem(spark):
     df = I.normalise_columns(spark.createDataFrame([("1", "2020", " Health "), ("1", "2020", "police"), ("2", "x", "health")],
                                                    " Person ID string, Year string, `Sec Tor` string".strip().replace("Person ID", "`Person ID`")))
     assert df.columns == ["person_id", "year", "sec_tor"]
-    need = {r.column: r for r in I.check_required(df, ["year", "age"]).collect()}
+    need = {r.column: r for r in I.filled_counts(df, ["year", "age"]).collect()}
     assert need["year"].present and need["year"].filled == 3 and not need["age"].present
     assert I.numeric_failures(df, ["year"]).first().failed == 1
     assert I.duplicate_keys(df, ["person_id", "year"]).first().repeated_rows == 1
@@ -173,6 +173,11 @@ def test_pareto_and_hypervolume(spark):
     assert hv == pytest.approx(2.0 * 5.0 + 4.0 * 7.0)
 
 
+def test_required_columns_need_no_scan(spark):
+    df = spark.range(1).select(F.raise_error(F.lit("scanned")).cast("int").alias("a"))
+    assert [(r.column, r.present) for r in I.check_required(df, ["a", "b"]).collect()] == [("a", True), ("b", False)]
+
+
 def test_tables_with_nulls_do_not_match(spark):
     a = spark.createDataFrame([(1, 1.0), (2, None), (None, 3.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0), (2, 5.0), (None, 3.0)], "k int, v double")
