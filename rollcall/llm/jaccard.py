@@ -12,9 +12,10 @@ any one order of all tokens. Three orders are used:
 
 A token with few nodes gives all its pairs. One with many gives a star each: a node is paired with the smallest
 earlier node that it may be similar to. Links of stars join nodes to components; then only pairs of nodes that share
-such a token and lie in *different* components are left, and all of these are verified as well. So a group of
-thousands of near copies costs about one pair per member, no link between different groups is missed, and the
-components are those of all links.
+such a token and lie in *different* components are left. A token with a linear number of these gives them all; one
+with more gives stars between components again, with other centres in each round, as long as rounds join many nodes;
+then all that is left is verified. So a group of thousands of near copies costs a few pairs per member, no link
+between different groups is missed, and the components are those of all links.
 
 Whole sets are read again for candidates only: documents of candidate nodes are picked by a bitmap of fixed size
 (some more may pass, none is missed).
@@ -39,6 +40,8 @@ WORDS, SHARE = 5, (75, 100)
 HEAVY_BITS, HEAVY_LEAST, HEAVIEST = 28, 16, 1 << 18
 PICK_BITS = 26
 FEW = 6
+LINEAR = 4                  # pairs a member up to which a token gives all its pairs between components
+PAYING = 32                 # stars between components go on while one in so many of their pairs joins a node
 BLOCK = 2048
 FLUSH_POSTS, KNOWN_PAIRS = 1_000_000, 200_000
 
@@ -113,6 +116,31 @@ def _stars(node, n, i, share):
             heads = [*heads[-3:], k]
 
 
+def _stars_across(node, n, i, component, share):
+    """Each node of a token with one of the last few centres of other components it may be similar to; linear."""
+    heads: dict[int, int] = {}                          # by component, the latest last
+    for k in range(len(node)):
+        for c, h in reversed(heads.items()):
+            if c != component[k] and _may_be(n[h], i[h], n[k], i[k], share):
+                yield node[h], node[k]
+                break
+        heads.pop(component[k], None)
+        heads[component[k]] = k
+        if len(heads) > 4:
+            del heads[next(iter(heads))]
+
+
+def _two_centres(stars: DataFrame) -> DataFrame:
+    """Of the stars (x, y), two centres of each member y: the one met most often and the smallest."""
+    return (stars.groupBy("x", "y").agg(F.count("*").alias("met")).groupBy("y")
+            .agg(F.max(F.struct("met", "x"))["x"].alias("most"), F.min("x").alias("least"))
+            .select(F.explode(F.array("most", "least")).alias("x"), "y"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _may_be(n: int, i: int, m: int, j: int, share) -> bool:
     return share[1] * min(n, m) >= share[0] * max(n, m) and min(n - i, m - j) >= overlap_needed(n, m, share)
 
@@ -258,8 +286,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, share) -> DataFrame:
     return whole.where(similar(F.size(F.array_intersect("x", "y")), F.col("na"), F.col("nb"), share)).select("a", "b")
 
 
-def _left_over(many: DataFrame, labels: DataFrame, share) -> DataFrame:
-    """Possible pairs of nodes that share a token of many nodes and lie in different components."""
+def _left_over(many: DataFrame, labels: DataFrame, share, turn: int, whole: bool) -> DataFrame:
+    """(x, y, star): possible pairs of nodes that share a token of many nodes and lie in different components.
+
+    Unless ``whole``, a token with more than a linear number of them gives stars, in an order that ``turn`` changes.
+    """
     spark = many.sparkSession
 
     def members(batches):
@@ -277,8 +308,7 @@ def _left_over(many: DataFrame, labels: DataFrame, share) -> DataFrame:
             .sortWithinPartitions("token", "n", "node"))
 
     def cross(batches):
-        def done(token_rows):
-            x, n, i, c = (np.array(v, np.int64) for v in zip(*token_rows))
+        def every(x, n, i, c):
             for at in range(0, len(x), BLOCK):
                 for to in range(at, len(x), BLOCK):
                     if share[1] * n[at:at + BLOCK][-1] < share[0] * n[to]:
@@ -286,8 +316,24 @@ def _left_over(many: DataFrame, labels: DataFrame, share) -> DataFrame:
                     r, s = slice(at, at + BLOCK), slice(to, to + BLOCK)
                     ok = (c[r, None] != c[None, s]) & _possible(n[r, None], i[r, None], n[None, s], i[None, s], share)
                     p, q = np.nonzero(np.triu(ok, 1) if at == to else ok)
-                    for a, b in zip(x[r][p].tolist(), x[s][q].tolist()):
-                        yield (a, b) if a < b else (b, a)
+                    yield x[r][p], x[s][q]
+
+        def done(token_rows):
+            x, n, i, c = (np.array(v, np.int64) for v in zip(*token_rows))
+            held, total = [], 0
+            for p, q in every(x, n, i, c):
+                if whole:
+                    yield from ((a, b, False) for a, b in zip(p.tolist(), q.tolist()))
+                    continue
+                held.append((p, q))
+                total += len(p)
+                if total > LINEAR * len(x):
+                    by = np.argsort(mix(x.astype(np.uint64) + np.uint64(turn)))
+                    for a, b in _stars_across(*(v[by].tolist() for v in (x, n, i, c)), share):
+                        yield a, b, True
+                    return
+            for p, q in held:
+                yield from ((a, b, False) for a, b in zip(p.tolist(), q.tolist()))
         now, held = None, []
         for token, node, n, place, component in rows(batches, 8192):
             if token != now and held:
@@ -297,7 +343,7 @@ def _left_over(many: DataFrame, labels: DataFrame, share) -> DataFrame:
             held.append((node, n, place, component))
         if held:
             yield from done(held)
-    return arrow_map(rest, cross, "a bigint, b bigint", batch_rows=16384).distinct()
+    return stored(arrow_map(rest, cross, "x bigint, y bigint, star boolean", batch_rows=16384))
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE, id_col: str = "doc_id",
@@ -322,17 +368,25 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int] =
         sets = _sets(source, nodes.join(ends, "node"), n, heavy, share)
         return _verified(pairs, sets.dropDuplicates(["node"]), share)
 
-    # a member of stars keeps two centres, the one met most often and the smallest; left-over pairs come later
-    stars = (found.where("kind = 'star'").groupBy("x", "y").agg(F.count("*").alias("met")).groupBy(F.col("y").alias("member"))
-             .agg(F.max(F.struct("met", "x"))["x"].alias("most"), F.min("x").alias("least"))
-             .select("member", F.explode(F.array("most", "least")).alias("centre")))
-    either = found.where("kind = 'pair'").select("x", "y").unionAll(stars.select(F.col("centre").alias("x"), F.col("member").alias("y")))
-    pairs = stored(either.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links = stored(forest(linked(pairs)))
-    labels = components(links)
-    more = stored(_left_over(many, labels, share).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(links.unionAll(forest(linked(more))))
+    # a member of stars keeps two centres; left-over pairs come later
+    stars = _two_centres(found.where("kind = 'star'").select("x", "y"))
+    tried = stored(_ordered(found.where("kind = 'pair'").select("x", "y").unionAll(stars)))
+    links = stored(forest(linked(tried)))
+    labels, turn, whole, left = components(links), 0, False, True
+    while left:
+        across = _left_over(many, labels, share, turn, whole)
+        left = not across.where("star").isEmpty()                       # some pairs wait for a later round
+        both = across.where("not star").select("x", "y").unionAll(_two_centres(across.where("star").select("x", "y")))
+        more = stored(_ordered(both).join(tried, ["a", "b"], "left_anti"))
+        checked, joined = more.count(), 0
+        if checked:
+            new = stored(forest(linked(more)))
+            joined = new.count()
+            tried = tried.unionAll(more)
+        if joined:
+            links = links.unionAll(new)
+            labels = components(links)
+        turn, whole = turn + 1, joined * PAYING <= checked
     least = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = least.join(smallest, "component").select("node", "component_id")
