@@ -41,7 +41,7 @@ HEAVY_BITS, HEAVY_LEAST, HEAVIEST = 28, 16, 1 << 18
 PICK_BITS = 26
 FEW = 6
 LINEAR = 4                  # pairs a member up to which a token gives all its pairs between components
-PAYING = 32                 # stars between components go on while one in so many of their pairs joins a node
+PAYING = 8                  # stars between components go on while one in so many of their pairs joins a node
 BLOCK = 2048
 FLUSH_POSTS, KNOWN_PAIRS = 1_000_000, 200_000
 
