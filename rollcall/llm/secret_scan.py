@@ -6,6 +6,12 @@ A layer that was seen at the same place is not decoded again, so the list ends w
 included. Each character of a layer knows the part of the text it came from, and a secret found in a layer is
 reported as that part.
 
+Base64 is a run of 16 characters or more of the plain or the URL-safe alphabet; where a run of both mixes them, the
+longest parts in either are tried. A run at a line's end goes on in the next line, after blanks, if that line holds a
+run that is not longer and no other word; an equally long one goes on too. Wrapped lines are one part, unless each of
+them has the secret alone; a last line that may be a word of its own counts if a kind is found only with it.
+Below base64 all places are the same, so those layers are bytes, and only the kinds found in them matter.
+
 ``KINDS`` are found in the text itself at depth 0 exactly as stated; deeper layers add spans, and never remove one.
 Decoded data are limited to ``MOST_DECODED`` characters a part, a guard against decompression bombs: base64 can't
 reach it from texts below 5 MB, and compressed parts beyond it are scanned up to it.
@@ -16,8 +22,8 @@ gives no rows. Spans count code points; ends are exclusive. Other columns are ig
 
 from __future__ import annotations
 
-import base64
 import binascii
+import hashlib
 import re
 import zlib
 
@@ -40,7 +46,18 @@ _URL = re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}\S*")
 _URL_CODES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
+_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}")
+# a run of one alphabet, and the run of it that a next line begins with
+_ALPHABETS = [(re.compile(rb"[%b]{16,}" % c), re.compile(rb"[ \t]*(?:\r\n|\n|\r)[ \t]*([%b]+)" % c)) for c in (rb"A-Za-z0-9+/", rb"A-Za-z0-9_-")]
+_PAD = re.compile(rb"={0,2}")
+_FILLED = re.compile(rb"={0,2}(?![ \t]+[^ \t\r\n])")     # nothing but marks after the run in its line
+_SAFE = bytes.maketrans(b"-_", b"+/")
+# the patterns on bytes, for layers below base64
+_IN_BYTES = {"assign": re.compile(ASSIGN.encode(), re.I), "access": re.compile(ACCESS.encode()), "hex": re.compile(rb"[0-9a-f]{24,}")}
+_CODES = re.compile(rb"(?:%[0-9A-Fa-f]{2}){1,65536}")
+_ESCAPE_BYTES = re.compile(_ESCAPE.pattern.encode())
+_SPACE = re.compile(rb"\s")
+PART = 1 << 20
 SPANS = "array<struct<kind: string, start: int, stop: int, depth: int>>"
 
 
@@ -91,26 +108,147 @@ def _escape_decoded(m: re.Match):
     yield ("�" if 0xD800 <= code < 0xE000 else chr(code)), 0, len(m[0])
 
 
-def _base64_decoded(part: str) -> str | None:
-    body = part.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except ValueError:
-        return None
+def _runs(data):
+    """(start, end, wrapped, before) of the base64 parts of a layer, line ends included and padding not.
+
+    before is the end without a last line that may be a word of its own, or 0.
+    """
+    done = [0] * len(_ALPHABETS)
+    for run in _RUN.finditer(data):
+        found = {}
+        for i, (piece, following) in enumerate(_ALPHABETS):
+            for m in piece.finditer(data, *run.span()):
+                start, end = m.span()
+                if start < done[i]:
+                    continue
+                full, size, lines, before = end - start, end - start, 1, 0
+                while (n := following.match(data, end)) and n.end(1) - n.start(1) <= full and _FILLED.match(data, n.end(1)):
+                    size, lines = size + n.end(1) - n.start(1), lines + 1
+                    padded = _PAD.match(data, n.end(1)).end() > n.end(1)
+                    before = 0 if padded or lines > 2 and size % 4 == 0 else end
+                    end = n.end(1)
+                    if n.end(1) - n.start(1) < full:
+                        break
+                done[i] = end
+                found[start, end] = lines > 1, before
+        for (start, end), (wrapped, before) in found.items():
+            yield start, end, wrapped, before
+
+
+def _lines(data, start: int, end: int):
+    return (m.span() for m in _RUN.finditer(data, start, end))
+
+
+def _bytes(data, start: int, end: int):
+    """What base64 characters stand for, a part at a time; line ends are skipped."""
+    rest = b""
+    for at in range(start, end, PART):
+        rest += data[at:min(end, at + PART)].translate(_SAFE, b" \t\r\n")
+        whole = len(rest) // 4 * 4
+        yield binascii.a2b_base64(rest[:whole])
+        rest = rest[whole:]
+    if len(rest) > 1:
+        yield binascii.a2b_base64(rest + b"=" * (4 - len(rest)))
+
+
+def _opened(data, start: int, end: int):
+    """The layers in a base64 part."""
+    raw = b"".join(_bytes(data, start, end))
     for head, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
-        if data.startswith(head):
+        if raw.startswith(head):
             try:
-                data = zlib.decompressobj(bits).decompress(data, MOST_DECODED)
+                raw = zlib.decompressobj(bits).decompress(raw, MOST_DECODED)
                 break
             except zlib.error:
                 pass
     try:
-        text = data.decode()
+        text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c in "\t\r\n" for c in text[:256]) >= 0.9 * min(len(text), 256) else None
+        return
+    if sum(c.isprintable() or c in "\t\r\n" for c in text[:256]) >= 0.9 * min(len(text), 256):
+        yield raw
+
+
+def _url_bytes(data, start: int, end: int):
+    for m in _CODES.finditer(data, start, end):
+        yield from (data[at:min(m.start(), at + PART)] for at in range(start, m.start(), PART))
+        yield binascii.unhexlify(m[0].replace(b"%", b""))
+        start = m.end()
+    yield from (data[at:min(end, at + PART)] for at in range(start, end, PART))
+
+
+def _escape_bytes(data, start: int, end: int):
+    for m in _ESCAPE_BYTES.finditer(data, start, end):
+        yield from (data[at:min(m.start(), at + PART)] for at in range(start, m.start(), PART))
+        yield chr(int(m[1] or m[2], 16)).encode("utf-8", "replace")
+        start = m.end()
+    yield from (data[at:min(end, at + PART)] for at in range(start, end, PART))
+
+
+def _inner_layers(data):
+    """The layers in the encoded parts of a layer of bytes."""
+    for codes, decode in ((_CODES, _url_bytes), (_ESCAPE_BYTES, _escape_bytes)):
+        at = 0
+        while m := codes.search(data, at):
+            start = max(at, *(data.rfind(c, at, m.start()) + 1 for c in (b" ", b"\t", b"\n", b"\r", b"\f", b"\v")))
+            stop = _SPACE.search(data, m.end())
+            at = stop.start() if stop else len(data)
+            yield b"".join(decode(data, start, at))
+    for start, end, wrapped, _ in _runs(data):
+        yield from _opened(data, start, end)
+        for a, b in _lines(data, start, end) if wrapped else ():
+            # lines of whole fours say the same alone, unless compressed data begin in them
+            if (b - a) % 4 or data[a:a + 1] in (b"H", b"e"):
+                yield from _opened(data, a, b)
+
+
+def _kinds_inside(data, start: int, end: int, depth: int) -> dict[str, int]:
+    """The kinds of secrets in a base64 part, each with the least depth of a layer that has it."""
+    best: dict[str, int] = {}
+    seen: dict[bytes, int] = {}
+    stack = [(None, 0, _opened(data, start, end))]
+    while stack:
+        layer, at = next(stack[-1][2], None), depth + len(stack) - 1
+        if layer is None or all(best.get(k, at + 1) <= at for k in KINDS):
+            mark, parents, _ = stack.pop()
+            if mark and parents == len(seen):       # nothing in it was opened: reading it again costs no more than once
+                seen.pop(mark, None)
+            continue
+        mark = hashlib.blake2b(layer, digest_size=16).digest()
+        if seen.get(mark, at + 1) <= at:
+            continue
+        for kind in KINDS:
+            if best.get(kind, at + 1) > at and any(
+                    m.end(m.lastindex or 0) - m.start(m.lastindex or 0) >= LEAST[kind] for m in _IN_BYTES[kind].finditer(layer)):
+                best[kind] = at
+        seen[mark] = at
+        stack.append((mark, len(seen), _inner_layers(layer)))
+    return best
+
+
+def _base64_kinds(layer: str, depth: int, fresh):
+    """(start, end, kinds) of the base64 parts of a text that have secrets."""
+    data = layer.encode("ascii", "replace")         # a byte for each character
+    parts = []
+    for start, end, wrapped, before in _runs(data):
+        if not fresh(data[start:end], start, end):
+            continue
+        kinds = _kinds_inside(data, start, end, depth)
+        alone = [(a, b, _kinds_inside(data, a, b, depth)) for a, b in _lines(data, start, end)] if wrapped else []
+        if before:
+            less = _kinds_inside(data, start, before, depth)
+            if less.keys() >= kinds.keys():
+                end, kinds = before, less
+        # lines that all have a secret alone are no wrapped part
+        within = [k for _, b, k in alone if b <= end]
+        parts += alone
+        parts.append((start, end, {k: d for k, d in kinds.items() if len(within) < 2 or not all(k in x for x in within)}))
+    told: dict[str, int] = {}
+    for start, end, kinds in sorted(parts, key=lambda p: (p[0], -p[1])):
+        kinds = {k: d for k, d in kinds.items() if told.get(k, 0) < end}    # not again within a part that has it
+        told.update(dict.fromkeys(kinds, end))
+        if kinds:
+            yield start, _PAD.match(data, end).end(), kinds
 
 
 def scan_text(text: str) -> list[tuple[str, int, int, int]]:
@@ -121,7 +259,11 @@ def scan_text(text: str) -> list[tuple[str, int, int, int]]:
         layer, starts, ends, depth = work.pop(0)
         for kind, a, b in plain_spans(layer):
             span = (kind, a, b) if starts is None else (kind, starts[a], ends[b - 1])
-            found.setdefault(span, depth)
+            found[span] = min(found.get(span, depth), depth)
+
+        def fresh(part, a, b):
+            mark = (part, a if starts is None else starts[a], b if ends is None else ends[b - 1])
+            return not (mark in seen or seen.add(mark))
 
         def add(decoded, first, last, a, b):
             if not decoded or decoded == layer[a:b]:
@@ -139,10 +281,10 @@ def scan_text(text: str) -> list[tuple[str, int, int, int]]:
         if "\\" in layer:
             for m in _ESCAPED.finditer(layer):
                 add(*_substituted(m[0], m.start(), _ESCAPE, _escape_decoded), *m.span())
-        for m in _BASE64.finditer(layer):
-            decoded = _base64_decoded(m[0])
-            if decoded:
-                add(decoded, [m.start()] * len(decoded), [m.end()] * len(decoded), *m.span())
+        for a, b, kinds in _base64_kinds(layer, depth + 1, fresh):
+            for kind, deep in kinds.items():
+                span = (kind, a, b) if starts is None else (kind, starts[a], ends[b - 1])
+                found[span] = min(found.get(span, deep), deep)
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(((k, a, b, d) for (k, a, b), d in found.items()), key=lambda s: (s[1], rank[s[0]], s[2]))
 

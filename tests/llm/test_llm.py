@@ -276,6 +276,25 @@ def test_secrets_in_layers(spark, docs, none):
     assert secret_scan.scan(docs).count() == len(TEXTS) and secret_scan.scan(none).count() == 0
 
 
+def test_secrets_in_url_safe_and_wrapped_base64():
+    rng = random.Random(7)
+    noise = "".join(rng.choice("abcdefghij klmno>?~ÿ") for _ in range(300))
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        for pack in (bytes, gzip.compress, zlib.compress):
+            part = encode(pack(f"{noise}??>>~~ token=abcdef123456 {noise}".encode())).decode()
+            for width in (40, 50, 64, 76, len(part)):
+                for end in ("\n", "\r\n", "\n  "):
+                    lines = end.join(part[i:i + width] for i in range(0, len(part), width))
+                    assert secret_scan.scan_text(f"é: {lines}\nend") == [("assign", 3, 3 + len(lines), 1)]
+    url = base64.urlsafe_b64encode(b"afetch https://h.example/a/bb?token=abcdef123456&x=1 now please").decode()
+    assert "_" in url and secret_scan.redacted(f"{url} b") == "[ASSIGN] b"
+    # parts that stand alone in their lines stay apart; a run of one alphabet before a mark of the other is still read
+    alone = base64.b64encode(b"token=abcdef123").decode()
+    assert [s[1:3] for s in secret_scan.scan_text(f"{alone}\n{alone}")] == [(0, 20), (21, 41)]
+    assert [s[1:3] for s in secret_scan.scan_text(f"{alone}-tail")] == [(0, 20)]
+    assert [s[1:3] for s in secret_scan.scan_text(f"a/b-{alone}")] == [(4, 24)]
+
+
 def test_base_spans_equal_the_plain_patterns():
     rng = random.Random(6)
     for _ in range(300):
