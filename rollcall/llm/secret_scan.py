@@ -13,8 +13,8 @@ them has the secret alone; a last line that may be a word of its own counts if a
 Below base64 all places are the same, so those layers are bytes, and only the kinds found in them matter.
 
 ``KINDS`` are found in the text itself at depth 0 exactly as stated; deeper layers add spans, and never remove one.
-Decoded data are limited to ``MOST_DECODED`` characters a part, a guard against decompression bombs: base64 can't
-reach it from texts below 5 MB, and compressed parts beyond it are scanned up to it.
+Compressed parts are inflated to their end, further members included, and a damaged one up to the damage; layers
+above ``MOST_HELD`` bytes lie in a temporary file, so memory stays bounded. Every layer is scanned, whatever its bytes.
 
 Defined cases: null texts are empty; an empty text has no spans; repeated rows are scanned alike; an empty table
 gives no rows. Spans count code points; ends are exclusive. Other columns are ignored.
@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 
 import pyarrow as pa
@@ -40,7 +42,7 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-MOST_DECODED = 4 << 20
+MOST_HELD = 4 << 20
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}\S*")
 _URL_CODES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -151,22 +153,50 @@ def _bytes(data, start: int, end: int):
         yield binascii.a2b_base64(rest + b"=" * (4 - len(rest)))
 
 
-def _opened(data, start: int, end: int):
-    """The layers in a base64 part."""
-    raw = b"".join(_bytes(data, start, end))
-    for head, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
-        if raw.startswith(head):
+def _inflated(parts, bits: int):
+    """The members of compressed data, a part at a time; what follows the last one is given as it is."""
+    member = zlib.decompressobj(bits)
+    for part in parts:
+        while part:
+            if member.eof:
+                member = zlib.decompressobj(bits)
             try:
-                raw = zlib.decompressobj(bits).decompress(raw, MOST_DECODED)
-                break
+                data = member.decompress(part, PART)
+                while data:
+                    yield data
+                    data = b"" if member.eof else member.decompress(member.unconsumed_tail, PART)
             except zlib.error:
-                pass
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return
-    if sum(c.isprintable() or c in "\t\r\n" for c in text[:256]) >= 0.9 * min(len(text), 256):
-        yield raw
+                yield b"\0" + part
+                yield from parts
+                return
+            part = member.unused_data if member.eof else b""
+
+
+def _stored(parts):
+    """The parts as one, in a file of its own if they are long."""
+    held, size, file = [], 0, None
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > MOST_HELD and file is None:
+            file = tempfile.TemporaryFile()
+        if file is not None:
+            file.write(b"".join(held))
+            held = []
+    if file is None:
+        return b"".join(held)
+    with file:
+        file.flush()
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _opened(data, start: int, end: int):
+    """The layers in a base64 part."""
+    head = next(_bytes(data, start, min(end, start + 32)), b"")
+    for sign, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
+        if head.startswith(sign):
+            yield _stored(_inflated(_bytes(data, start, end), bits))
+    yield _stored(_bytes(data, start, end))
 
 
 def _url_bytes(data, start: int, end: int):
@@ -193,7 +223,7 @@ def _inner_layers(data):
             start = max(at, *(data.rfind(c, at, m.start()) + 1 for c in (b" ", b"\t", b"\n", b"\r", b"\f", b"\v")))
             stop = _SPACE.search(data, m.end())
             at = stop.start() if stop else len(data)
-            yield b"".join(decode(data, start, at))
+            yield _stored(decode(data, start, at))
     for start, end, wrapped, _ in _runs(data):
         yield from _opened(data, start, end)
         for a, b in _lines(data, start, end) if wrapped else ():
@@ -226,6 +256,15 @@ def _kinds_inside(data, start: int, end: int, depth: int) -> dict[str, int]:
     return best
 
 
+def _whole(data, start: int, end: int) -> bool:
+    """Whether a base64 part is compressed data or UTF-8 as a whole."""
+    raw = b"".join(_bytes(data, start, end))
+    try:
+        return raw.startswith((b"\x1f\x8b", b"\x78")) or raw.decode() is not None
+    except UnicodeDecodeError:
+        return False
+
+
 def _base64_kinds(layer: str, depth: int, fresh):
     """(start, end, kinds) of the base64 parts of a text that have secrets."""
     data = layer.encode("ascii", "replace")         # a byte for each character
@@ -243,6 +282,12 @@ def _base64_kinds(layer: str, depth: int, fresh):
         within = [k for _, b, k in alone if b <= end]
         parts += alone
         parts.append((start, end, {k: d for k, d in kinds.items() if len(within) < 2 or not all(k in x for x in within)}))
+    parts = [p for p in parts if p[2]]
+    for i, (start, end, kinds) in enumerate(parts):
+        # a part with other bytes in it took in what stands beside one that has the secret alone
+        inner = [k for a, b, k in parts if start <= a and b <= end and b - a < end - start]
+        if inner and not _whole(data, start, end):
+            parts[i] = start, end, {k: d for k, d in kinds.items() if not any(k in x for x in inner)}
     told: dict[str, int] = {}
     for start, end, kinds in sorted(parts, key=lambda p: (p[0], -p[1])):
         kinds = {k: d for k, d in kinds.items() if told.get(k, 0) < end}    # not again within a part that has it

@@ -295,6 +295,27 @@ def test_secrets_in_url_safe_and_wrapped_base64():
     assert [s[1:3] for s in secret_scan.scan_text(f"a/b-{alone}")] == [(4, 24)]
 
 
+def test_secrets_in_any_part_of_compressed_layers():
+    def found(data):
+        part = base64.b64encode(data).decode()
+        return [s[:3] for s in secret_scan.scan_text(f"é {part} z")] == [("assign", 2, 2 + len(part))]
+
+    rng = random.Random(8)
+    secret, long = b" token=abcdef123456 ", ("é" * 3_000_000).encode()
+    deep = base64.b64encode(gzip.compress(secret))
+    for pack in (gzip.compress, zlib.compress):
+        assert found(pack(b"a" + long + secret)) and found(pack(long + secret + long)) and found(pack(long + b" " + deep))
+        assert found(pack(long) + pack(b"") + pack(secret)) and found(pack(b"a") + secret) and not found(pack(long))
+        assert found(pack(rng.randbytes(2000) + secret)) and found(pack(b"\0" * 300 + secret + long))
+        # a damaged end, and one run of the alphabet across all of a large layer
+        assert found(pack(secret + rng.randbytes(5000))[:-900]) and found(pack(base64.b64encode(long + secret)))
+        assert found(pack(b"%61" + long + b"%74oken=abcdef123456"))
+    assert found(b"x^ plain text that begins like zlib" + secret)
+    assert secret_scan.scan_text(base64.b64encode(rng.randbytes(50) + secret).decode())
+    cycle = zlib.compress(base64.b64encode(zlib.compress(b"x" * 99)))
+    assert not found(cycle)
+
+
 def test_base_spans_equal_the_plain_patterns():
     rng = random.Random(6)
     for _ in range(300):
