@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import hash_unit, inline_table, with_small_table
+from ..functions.keys import ensure_checkpoint_dir, hash_unit, inline_table, with_small_table
 from .metrics import auc, diebold_mariano, mape, rmse
 
 RULE_EXITS = ("retirement", "death")
@@ -116,8 +116,9 @@ def logit_hazard(train: DataFrame, sectors: tuple[str, ...], frameworks: tuple[s
     return lambda df: _probability(model.transform(prepare(df)), "logit_hazard")
 
 
-def gbt_hazard(train: DataFrame, sectors: tuple[str, ...], frameworks: tuple[str, ...], rounds: int = 20, seed: int = 7):
+def gbt_hazard(train: DataFrame, sectors: tuple[str, ...], frameworks: tuple[str, ...], rounds: int = 300, seed: int = 7):
     """Boosted trees of depth 5, rate 0.05, subsample 0.8. Returns df -> df with ``gbt_hazard``."""
+    ensure_checkpoint_dir(train.sparkSession)       # boosting cuts its lineage there every ten rounds
     names = feature_names(sectors, frameworks)
     model = Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="_features"),

@@ -19,6 +19,7 @@ from .registry import query
 from .sqlviews import sql
 
 NEVER = S.BASE_YEAR + S.PATH_YEARS
+PER_RUN = 12            # random years a run in fitting
 CHECK = [2030, 2035, 2040, 2045, 2050, 2055]
 # every preset at seven employer rates: the packages a model learns from
 SETTINGS = [(f"{r[0]}-{i}", *r[1:12], round(0.06 + 0.02 * i, 2), *r[13:]) for r in S.SCENARIOS for i in range(7)]
@@ -68,7 +69,7 @@ def random_years(spark, d):
 @query("j03_risk_classifier")
 def classifier(spark, d):
     train, _, test = parts(spark, d)
-    score = K.risk_classifier(K.stack_random_years(train, 6, S.BASE_YEAR, NEVER - 1))
+    score = K.risk_classifier(K.stack_random_years(train, PER_RUN, S.BASE_YEAR, NEVER - 1))
     cdf = K.risk_cdf(test, score, S.BASE_YEAR, NEVER - 1)
     return cdf.groupBy("scenario", "grid_year").agg(F.avg("prob").alias("prob"), F.avg((F.col("run_out") <= F.col("grid_year")).cast("double")).alias("actual"))
 
@@ -76,8 +77,8 @@ def classifier(spark, d):
 @query("j04_isotonic_calibration")
 def isotonic(spark, d):
     train, cal, test = parts(spark, d)
-    score = K.risk_classifier(K.stack_random_years(train, 6, S.BASE_YEAR, NEVER - 1))
-    fix = K.isotonic_calibration(score(K.stack_random_years(cal, 6, S.BASE_YEAR, NEVER - 1, "cal")))
+    score = K.risk_classifier(K.stack_random_years(train, PER_RUN, S.BASE_YEAR, NEVER - 1))
+    fix = K.isotonic_calibration(score(K.stack_random_years(cal, PER_RUN, S.BASE_YEAR, NEVER - 1, "cal")))
     out = fix(score(K.stack_years(test, CHECK)))
     return out.groupBy("scenario", "year").agg(F.avg("prob").alias("prob"), F.avg("calibrated").alias("calibrated"), F.avg("label").alias("actual"))
 
@@ -90,7 +91,7 @@ def base_rate(spark, d):
 @query("j05_logistic_risk")
 def logistic(spark, d):
     train, _, test = parts(spark, d)
-    score = K.logistic_risk(K.stack_random_years(train, 6, S.BASE_YEAR, NEVER - 1))
+    score = K.logistic_risk(K.stack_random_years(train, PER_RUN, S.BASE_YEAR, NEVER - 1))
     return score(K.stack_years(test, CHECK)).groupBy("scenario", "year").agg(F.avg("prob").alias("prob"), F.avg("label").alias("actual"))
 
 

@@ -414,3 +414,31 @@ def test_retrieval_equals_dense_cosine(spark):
     want = {(q, e): float(vec(terms(t)) @ vec(docs[e])) for q, t in queries for e in docs}
     assert {(r.q, r.e) for r in got} == {k for k, s in want.items() if s >= 0.05}
     assert all(r.score == pytest.approx(want[r.q, r.e], abs=1e-8) for r in got)
+
+
+def test_boosted_trees_train_in_full(spark, monkeypatch):
+    from rollcall.operators import panel, risk
+    from rollcall.plans import catalog, panels, risks
+
+    class Seen(Exception):
+        pass
+
+    def trees(**given):
+        raise Seen(given["maxIter"], given["stepSize"], given["maxDepth"])
+
+    years = []
+    few = spark.createDataFrame([(1, "a", 1)], "run long, scenario string, run_out int")
+    monkeypatch.setattr(risk, "GBTClassifier", trees)
+    monkeypatch.setattr(panel, "GBTClassifier", trees)
+    monkeypatch.setattr(risk, "stack_random_years", lambda table, per_run, *rest: years.append(per_run) or table)
+    monkeypatch.setattr(risks, "parts", lambda spark, d: [few] * 3)
+    for name in ("j03_risk_classifier", "j04_isotonic_calibration"):
+        with pytest.raises(Seen) as e:
+            catalog.QUERIES[name](spark, "")
+        assert e.value.args == (300, 0.05, 5)
+    monkeypatch.setattr(risk, "logistic_risk", lambda train: years.append("logit") or (lambda df: df.selectExpr("*", "1.0 AS prob")))
+    catalog.QUERIES["j05_logistic_risk"](spark, "")
+    assert years == [12, 12, 12, "logit"]
+    with pytest.raises(Seen) as e:
+        panel.gbt_hazard(few, panels.SECTORS, S.FRAMEWORKS)
+    assert e.value.args == (300, 0.05, 5)
