@@ -7,6 +7,7 @@ the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rollcall.llm import decontaminate, jaccard, packing, secret_scan, toxicity
 from rollcall.llm.common import stored
@@ -21,9 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of documents linked by a similarity of 0.75 or more."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row, the one with the smallest id, of each group of rows linked by a similarity of 0.75 or more.
+
+    Repeated and null ids: rows are told apart by numbers, null ids come last, and of equal ids one row stays.
+    Rows without words are linked with nothing and all stay.
+    """
+    columns = docs.columns
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
+        return docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*columns)
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard.jaccard_components(docs.select("_row", "text"), id_col="_row").withColumnRenamed("doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = docs.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return docs.join(kept.select("_row"), "_row", "left_semi").select(*columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

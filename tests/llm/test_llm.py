@@ -345,6 +345,18 @@ def test_repeats_equal_brute_force(spark, docs, none, bits):
     assert repeats.remove_repeats(none, bits=bits).count() == 0 and repeats.remove_repeats(docs, bits=bits).count() == len(TEXTS)
 
 
+def test_pipeline_drops_repeated_rows_and_null_ids(spark):
+    import corpus_pipeline as p
+    one, two, three = ("".join(f"{w}{i} " for i in range(30)) for w in ("a", "b", "c"))
+    rows = [(5, one), (5, one), (None, one), (7, one + "tail"), (None, two), (None, two + "tail"), (8, three), (8, "d e f"), (9, three), (10, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    out = p.drop_near_duplicates(spark, docs, "")
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns
+    assert [r for r in got if r[1] not in (two, two + "tail")] == sorted([(5, one), (8, three), (8, "d e f"), (10, None), (None, "")], key=str)
+    assert len([r for r in got if r[1] in (two, two + "tail")]) == 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     docs = spark.read.parquet(f"{SF}/documents.parquet")
