@@ -8,13 +8,16 @@ whole, and the surroundings of a hit are verified by Myers' bit-parallel distanc
 Items are taken in blocks of bounded size; the pieces of a block travel to the tasks and documents stay where they
 are, so nothing is shuffled and no pair is made that does not share a piece.
 
-Defined cases: null texts are empty and match nothing; items with fewer than ``SHORTEST`` bytes after folding are
-too short to tell and are not looked for; equal items are reported under each of their ids; repeated documents
+Items with fewer than ``SHORTEST`` bytes after folding allow no edits and are looked for as they are, with no letter,
+digit or byte above 127 on either side.
+
+Defined cases: null texts are empty and match nothing, items without a visible byte as well; equal items are reported under each of their ids; repeated documents
 are judged alike; without items or documents nothing is found. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -25,6 +28,8 @@ from . import edits
 from .common import BYTE_BASE, LOWER, arrow_map, byte_codes, groups, ids_and_text, keep_rows, mix, powers, texts, worker_state
 
 RATIO, SHORTEST, BLOCK_BYTES = 0.05, 24, 8 << 20
+# places that are not between two bytes of a word
+_EDGE = re.compile(rb"(?<![a-z0-9\x80-\xff])(?s:.)|(?s:.)(?<![a-z0-9\x80-\xff])")
 
 
 def folded(text: bytes) -> bytes:
@@ -41,7 +46,12 @@ class Matcher:
     """Finds the items of a block in texts."""
 
     def __init__(self, items: list[tuple[int, bytes]], ratio: float):
-        self.items = [(i, t, int(len(t) * ratio)) for i, t in items]
+        self.items = [(i, t, int(len(t) * ratio)) for i, t in items if len(t) >= SHORTEST]
+        self.short: dict[bytes, list[int]] = {}
+        for i, t in items:
+            if len(t) < SHORTEST:
+                self.short.setdefault(t, []).append(i)
+        self.lengths = sorted({len(t) for t in self.short})
         self.pieces = [(k, a, b) for k, (_, t, e) in enumerate(self.items) for a, b in pieces(len(t), e)]
         self.width = min((b - a for _, a, b in self.pieces), default=1)
         heads = [self.items[k][1][a:a + self.width] for k, a, _ in self.pieces]
@@ -60,9 +70,21 @@ class Matcher:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up, dtype=np.uint64)])
         return mix((sums[self.width:] - sums[:-self.width]) * down[:len(codes) - self.width + 1])
 
+    def _short_in(self, text: bytes) -> dict[int, int]:
+        """Short items that stand in a text between word boundaries."""
+        found: dict[int, int] = {}
+        if self.short:
+            edges = [m.start() for m in _EDGE.finditer(text)] + [len(text)]
+            ends = set(edges)
+            for a in edges:
+                for n in self.lengths:
+                    if a + n in ends and text[a:a + n] in self.short:
+                        found.update(dict.fromkeys(self.short[text[a:a + n]], 0))
+        return found
+
     def find(self, parts: list[bytes]) -> list[dict[int, int]]:
         """For each text, the distance of each item found within its budget."""
-        found: list[dict[int, int]] = [{} for _ in parts]
+        found: list[dict[int, int]] = [self._short_in(p) for p in parts]
         data = b"\n".join(parts)
         if not self.items or not data:
             return found
@@ -99,7 +121,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int
     """Items in blocks of bounded size, read one block at a time from the item table (the stated query set)."""
     rows = items.select(F.col(id_col).cast("bigint"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator()
     usable = ((i, t) for i, t in ((i, folded(t.encode("utf-8", "replace"))) for i, t in rows if i is not None)
-              if len(t) >= SHORTEST)
+              if t)
     return groups(usable, lambda r: len(r[1]), BLOCK_BYTES)
 
 

@@ -172,6 +172,15 @@ def test_items_are_found_within_their_budget(spark, docs, none):
     assert decontaminate.find_items(docs, items.limit(0)).count() == 0 and decontaminate.remove_contaminated(none, items).count() == 0
 
 
+def test_short_items_are_found_at_word_boundaries(spark):
+    texts = [(1, "We say SHORT\n answer, no."), (2, "shortly answered"), (3, "ashort answer"), (4, "(short answer)"), (5, "x"), (6, "a c++ b"), (7, "c+ +")]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "Short  answer"), (2, "c++"), (3, " "), (4, "x"), (5, "w " * 20)], "item_id bigint, text string")
+    found = {tuple(r) for r in decontaminate.find_items(d, items).collect()}
+    assert found == {(1, 1, 0), (4, 1, 0), (6, 2, 0), (5, 4, 0)}
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(d, items).collect()) == [2, 3, 7]
+
+
 def brute_components(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
