@@ -116,8 +116,18 @@ def ar_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("fits", fits).drop(*[c for c in df.columns if c.startswith("_")])
 
 
+def _last_value(tasks: DataFrame) -> DataFrame:
+    """Tasks of one to five periods with ``_last`` and ``_s2``, the mean squared step of a random walk (null with one)."""
+    y, n = F.col("y"), F.size("y")
+    steps = F.zip_with(F.slice(y, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(y, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)
+    return tasks.where(n < 6).withColumns({"_last": F.try_element_at(y, F.lit(-1)), "_s2": F.try_divide(_dot(steps, steps), n - 1)})
+
+
 def ar_select(tasks: DataFrame) -> DataFrame:
-    """Forecast with the lowest-AIC small autoregression and its 80% interval (columns q10, q50, q90 as arrays)."""
+    """Forecast with the lowest-AIC small autoregression and its 80% interval (columns q10, q50, q90 as arrays).
+
+    Series under six periods get a random walk, the order that their length allows; one value alone has no interval.
+    """
     # the generator keeps the optimizer from repeating the fits for each use of the best one
     df = ar_candidates(tasks.where(F.size("y") >= 6)).select("*", F.explode(F.array(F.array_min("fits"))).alias("_f"))
     f, y = F.col("_f"), F.col("y")
@@ -140,14 +150,18 @@ def ar_select(tasks: DataFrame) -> DataFrame:
                         F.concat(a["out"], F.array(F.struct(lvl.alias("mid"), F.sqrt(var * f["sigma2"]).alias("sd")))).alias("out"))
 
     df = df.withColumn("_o", F.aggregate(_steps(F.col("h")), zero, step, lambda a: a["out"]))
-    return df.withColumns({"q10": F.transform("_o", lambda e: e["mid"] - Z80 * e["sd"]), "q50": F.transform("_o", lambda e: e["mid"]),
-                           "q90": F.transform("_o", lambda e: e["mid"] + Z80 * e["sd"])}).drop("_f", "_o", "fits")
+    df = df.withColumns({"q10": F.transform("_o", lambda e: e["mid"] - Z80 * e["sd"]), "q50": F.transform("_o", lambda e: e["mid"]),
+                         "q90": F.transform("_o", lambda e: e["mid"] + Z80 * e["sd"])}).drop("_f", "_o", "fits")
+    walk = lambda z: F.transform(_steps(F.col("h")), lambda k: F.col("_last") + z * F.sqrt(k * F.col("_s2")))
+    mid = F.transform(_steps(F.col("h")), lambda _: F.col("_last"))
+    return df.unionByName(_last_value(tasks).withColumns({"q10": walk(-Z80), "q50": mid, "q90": walk(Z80)}).select(*df.columns))
 
 
 def ma_grid(tasks: DataFrame, grid: list[float] | None = None) -> DataFrame:
     """ARMA(1,1) on the centred series and IMA(0,1,1) by conditional least squares over a parameter grid.
 
-    Adds the best ``model``, ``phi``, ``theta``, ``aic`` and the forecast array ``q50``.
+    Adds the best ``model``, ``phi``, ``theta``, ``aic`` and the forecast array ``q50``. Series under six periods get
+    the model "naive", their last value, without parameters.
     """
     grid = grid or [round(-0.9 + 0.1 * i, 1) for i in range(19)]
     y, n = F.col("y"), F.size("y")
@@ -177,7 +191,10 @@ def ma_grid(tasks: DataFrame, grid: list[float] | None = None) -> DataFrame:
     one = F.when(b["model"] == "arma11", b["phi"] * F.element_at("_x", -1) + b["theta"] * b["e"])
     path = F.transform(_steps(F.col("h")), lambda k: F.when(
         b["model"] == "arma11", F.col("_m") + one * F.pow(b["phi"], k - 1)).otherwise(F.element_at("y", -1) + b["theta"] * b["e"]))
-    return df.select(*tasks.columns, "_b.model", "_b.phi", "_b.theta", "_b.aic", path.alias("q50"))
+    none = F.lit(None).cast("double")
+    short = _last_value(tasks).select(*tasks.columns, F.lit("naive").alias("model"), none.alias("phi"), none.alias("theta"), none.alias("aic"),
+                                      F.transform(_steps(F.col("h")), lambda _: F.col("_last")).alias("q50"))
+    return df.select(*tasks.columns, "_b.model", "_b.phi", "_b.theta", "_b.aic", path.alias("q50")).unionByName(short)
 
 
 def run_forecasters(tasks: DataFrame, by: list[str], models: dict = BASELINES, with_ar: bool = False) -> DataFrame:

@@ -442,3 +442,18 @@ def test_boosted_trees_train_in_full(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         panel.gbt_hazard(few, panels.SECTORS, S.FRAMEWORKS)
     assert e.value.args == (300, 0.05, 5)
+
+
+def test_short_series_are_forecast_too(spark):
+    rows = [(f"s{n}", t, 1.0 + t * t) for n in (1, 2, 5, 6, 9) for t in range(n)]
+    tasks = FC.pack_series(spark.createDataFrame(rows, "series string, t int, value double"), ["series"]).withColumns(
+        {"h": F.lit(3), "origin": F.col("last_t")})
+    ar = {r.series: r for r in FC.ar_select(tasks).collect()}
+    ma = {r.series: r for r in FC.ma_grid(tasks).collect()}
+    assert set(ar) == set(ma) == {"s1", "s2", "s5", "s6", "s9"}
+    assert ar["s1"].q50 == ma["s1"].q50 == [1.0] * 3 and ar["s1"].q10 == [None] * 3
+    sd = math.sqrt((1 + 9 + 25 + 49) / 4)
+    assert ar["s5"].q50 == [17.0] * 3 and ar["s5"].q90 == pytest.approx([17 + FC.Z80 * sd * math.sqrt(k) for k in (1, 2, 3)])
+    assert ma["s5"].model == "naive" and ma["s6"].model != "naive"
+    f = FC.run_forecasters(tasks, ["series"], with_ar=True).where("model = 'ar'")
+    assert f.groupBy("series").count().where("count = 3").count() == 5
