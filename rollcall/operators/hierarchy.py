@@ -165,7 +165,7 @@ def _cg(i, j, v, z, g, tol: float = 1e-10):
     x, r = np.zeros(n), g.astype(float).copy()
     p = r / diag
     rz = float(r @ p)
-    for _ in range(10 * n):
+    for _ in range(10 * n + 1):
         if np.linalg.norm(r) <= tol * max(np.linalg.norm(g), 1e-300):
             break
         q = np.bincount(i, weights=v * p[j], minlength=n) + z @ (z.T @ p)
@@ -173,6 +173,8 @@ def _cg(i, j, v, z, g, tol: float = 1e-10):
         x, r = x + step * p, r - step * q
         new = float(r @ (r / diag))
         p, rz = r / diag + new / rz * p, new
+    else:
+        raise ValueError(f"reconciliation of {n} totals did not converge to {tol} in {10 * n} steps")
     return x
 
 

@@ -457,3 +457,11 @@ def test_short_series_are_forecast_too(spark):
     assert ma["s5"].model == "naive" and ma["s6"].model != "naive"
     f = FC.run_forecasters(tasks, ["series"], with_ar=True).where("model = 'ar'")
     assert f.groupBy("series").count().where("count = 3").count() == 5
+
+
+def test_unconverged_reconciliation_is_an_error():
+    i = j = np.arange(3)
+    z = np.zeros((3, 1))
+    assert H._cg(i, j, np.array([1.0, 2.0, 4.0]), z, np.ones(3)) == pytest.approx([1.0, 0.5, 0.25])
+    with pytest.raises(ValueError, match="did not converge"):
+        H._cg(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.array([1.0, 5.0, -5.0, 1.0]), np.zeros((2, 1)), np.array([1.0, 0.0]))
