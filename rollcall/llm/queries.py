@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import (chat, decontaminate, fingerprints, jaccard, packing, repeats, secret_scan, token_counts, token_files,
-               toxicity)
+from . import (chat, decontaminate, fingerprints, jaccard, neighbours, packing, repair, repeats, secret_scan, spelling, token_counts,
+               token_files, toxicity)
 from .common import shared_dir
 
 QUERIES: dict = {}
@@ -151,6 +151,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows with planted faults: ``copies`` of a row, ``gone`` for a dropped one; nulls are one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.pmod(F.crc32(key), F.lit(20))
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    return turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"),
+                        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+                        F.when(kind == 3, 2).otherwise(1).alias("copies"), (kind == 0).alias("gone"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged_turns(table(spark, sf_dir, "conversations"))
+    return repair.repair(turns, copies=F.col("copies"), gone=F.col("gone"))
+
+
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def misspelt(run: bytes, h: int) -> bytes:
+    """A run in which one code point is deleted if 97 divides the hash."""
+    return run if h % 97 else run[:h % len(run)] + run[h % len(run) + 1:]
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), least_length=5, least_count=3, change=misspelt)
+    return spelling.group_variants(words, ratio=2)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
