@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table that is read more than once as Parquet to the shared folder; its lineage ends there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        ensure_checkpoint_dir(spark)
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base}/rollcall-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def unpivot_structs(df: DataFrame, keys: list[str], rows: list[Column], names: list[str]) -> DataFrame:
     """One output row per struct in ``rows``, without a shuffle."""
     item = F.explode(F.array(*rows)).alias("_item")

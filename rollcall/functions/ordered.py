@@ -1,9 +1,10 @@
-"""Ordered scans and exact quantiles that never put a whole group in one task.
+"""Ordered scans and exact quantiles by one range partitioning on (group, value).
 
-A plain window (or ``percentile``) over a group sends the group to one task. Here a group is first
-reduced to distinct values, cut into value buckets at approximate quantiles, and scanned bucket by
-bucket; only one small row per bucket is scanned in order. The cut points affect only balance: results
-are exact whatever they are.
+A plain window (or ``percentile``) over a group sends the group to one task. Here the rows are range-partitioned by
+group and value, sorted inside the partitions, numbered and written once: a number holds the partition and the place
+in it, so the numbers are the order. Counts of (group, partition) and their running totals turn a number into a rank.
+A quantile is then a lookup of a few numbers, and no row is moved a second time. Equal values may be dealt to several
+partitions, so a very common value does not meet in one task.
 """
 
 from __future__ import annotations
@@ -11,36 +12,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import written
 
-def default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(2 * parts, 1024))
+PLACE_BITS = 33                   # the number of a row: its partition above, its place in it below
 
 
-def _attach(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
-    """Join per-group values; with no group columns ``other`` is a single aggregate row."""
-    if by:
-        return df.join(other, by)
-    return df.withColumns({c: other.select(c).scalar() for c in other.columns})
+def placed(df: DataFrame, by: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """The rows with ``_id``, their number in the order of (by, order), and ``_p``, their range partition."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_deal", F.rand(7)).repartitionByRange(n, *by, *order, "_deal").sortWithinPartitions(*by, *order)
+    rows = written(rows.drop("_deal").withColumn("_id", F.monotonically_increasing_id()))
+    return rows.withColumn("_p", F.shiftright("_id", PLACE_BITS))
 
 
-SMALL_GROUP = 100_000
+def part_heads(rows: DataFrame, by: list[str], sums: dict[str, Column], maxes: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each group and partition that has it: the first number, and totals before this partition.
 
+    ``_n`` is the number of rows of the group. Its size is the number of groups and partitions together.
+    """
+    maxes = maxes or {}
+    own = rows.groupBy(*by, "_p").agg(F.min("_id").alias("_first"), F.count("*").alias("_c"), *[e.alias(f"_own_{k}") for k, e in sums.items()],
+                                      *[e.alias(f"_own_{k}") for k, e in maxes.items()])
+    all_ = Window.partitionBy(*by)
+    over = all_.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select(*by, "_p", "_first", "_c", F.sum("_c").over(all_).alias("_n"), F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_pre"),
+                      *[F.coalesce(F.sum(f"_own_{k}").over(over), F.lit(0)).alias(f"_h_{k}") for k in sums],
+                      *[F.max(f"_own_{k}").over(over).alias(f"_h_{k}") for k in maxes])
 
-def with_buckets(df: DataFrame, by: list[str], order: str, buckets: int) -> DataFrame:
-    """Add ``_b``: a bucket number that never decreases with ``order`` inside each group.
 
-    Groups of at most ``SMALL_GROUP`` rows stay in one bucket; only larger ones are sketched and cut.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(order, probs, max(1000, 8 * buckets)).alias("_cuts")
-    if not by:
-        cut = _attach(df, df.agg(sketch), by)
-    else:
-        large = df.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > SMALL_GROUP)
-        cut = df.join(df.join(large, by, "left_semi").groupBy(*by).agg(sketch), by, "left")
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return cut.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+def carried_over(heads: DataFrame) -> DataFrame:
+    """Heads of groups that began in an earlier partition: the first group of a partition only, so at most one row for
+    each partition, a proven bound for a broadcast."""
+    return F.broadcast(heads.where(F.col("_pre") > 0))
 
 
 def ordered_scan(df: DataFrame, by: list[str], order: str, sums: dict[str, str] | None = None,
@@ -51,23 +54,33 @@ def ordered_scan(df: DataFrame, by: list[str], order: str, sums: dict[str, str]
     source column. A sum before the first row is 0, a maximum is null.
     """
     sums, maxes = sums or {}, maxes or {}
-    buckets = buckets or default_buckets(df)
-    cut = with_buckets(df, by, order, buckets)
-    heads = cut.groupBy(*by, "_b").agg(
-        *[F.sum(src).alias(f"_s_{new}") for new, src in sums.items()],
-        *[F.max(src).alias(f"_m_{new}") for new, src in maxes.items()])
-    # one row per bucket: at most `buckets` rows per group
-    over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(
-        *by, "_b",
-        *[F.coalesce(F.sum(f"_s_{new}").over(over), F.lit(0)).alias(f"_h_{new}") for new in sums],
-        *[F.max(f"_m_{new}").over(over).alias(f"_h_{new}") for new in maxes])
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(heads, [*by, "_b"])
+    rows = placed(df, by, [order], buckets)
+    heads = part_heads(rows, by, {k: F.sum(src) for k, src in sums.items()}, {k: F.max(src) for k, src in maxes.items()})
+    inside = Window.partitionBy(*by, "_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = carried_over(heads.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_p").alias("_hp"), "_pre",
+                                        *[f"_h_{k}" for k in [*sums, *maxes]]))
+    same = F.col("_p") == F.col("_hp")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = rows.join(earlier, same, "left").drop("_hp", *[f"_k_{c}" for c in by])
     out = out.withColumns({
-        **{new: F.col(f"_h_{new}") + F.coalesce(F.sum(src).over(inside), F.lit(0)) for new, src in sums.items()},
+        **{new: F.coalesce(F.col(f"_h_{new}"), F.lit(0)) + F.coalesce(F.sum(src).over(inside), F.lit(0)) for new, src in sums.items()},
         **{new: F.greatest(F.col(f"_h_{new}"), F.max(src).over(inside)) for new, src in maxes.items()}})
-    return out.drop("_b", *[f"_h_{new}" for new in [*sums, *maxes]])
+    return out.drop("_p", "_id", "_pre", *[f"_h_{new}" for new in [*sums, *maxes]])
+
+
+def first_rows(df: DataFrame, order: list[str], n: Column) -> DataFrame:
+    """The first ``n`` rows of the whole table in this order, without a window over it."""
+    rows = placed(df, [], order)
+    heads = F.broadcast(part_heads(rows, [], {}).select("_p", "_first", "_pre"))     # one row for each partition
+    return rows.join(heads, "_p").where(F.col("_pre") + F.col("_id") - F.col("_first") < n).select(*df.columns)
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """The rows with their number (from 0) in the order of their group, from the written order; no window over rows."""
+    rows = placed(df, by, order)
+    heads = part_heads(rows, by, {}).select(*by, "_p", "_first", "_pre")
+    return rows.join(heads, [*by, "_p"]).withColumn(out, F.col("_pre") + F.col("_id") - F.col("_first")).select(*df.columns, out)
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", descending: bool = False,
@@ -77,8 +90,8 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", d
     key = value
     if descending:
         counts, key = counts.withColumn("_neg", -F.col(value)), "_neg"
-    ranks = (ordered_scan(counts, by, key, {"_before": "_n"}, buckets=buckets)
-             .select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out)))
+    ranks = (ordered_scan(counts, by, key, {"_before_all": "_n"}, buckets=buckets)
+             .select(*by, value, (F.col("_before_all") + (F.col("_n") + 1) / 2).alias(out)))
     return df.join(ranks, [*by, value])
 
 
@@ -88,37 +101,20 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
 
     Nulls are ignored. A probability may be a number or a Column of the group's row count ``_n``.
     """
-    buckets = buckets or default_buckets(df)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"))
-              .agg(F.count("*").alias("_c")))
-    cut = with_buckets(counts, by, "_v", buckets)
-    over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    heads = (cut.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-             .withColumns({"_before": F.coalesce(F.sum("_bc").over(over), F.lit(0)),
-                           "_n": F.sum("_bc").over(whole)}))
-    pos = {}
+    rows = placed(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), by, ["_v"], buckets)
+    heads = part_heads(rows, by, {})
+    wanted = []
     for name, p in probs.items():
         p = F.lit(float(p)) if isinstance(p, (int, float)) else p
         # rounding keeps exact positions such as 0.95 * 20 from landing a hair off the row
-        pos[name] = F.round(p * (F.col("_n") - 1), 9)
-    heads = heads.withColumns({f"_p_{name}": e for name, e in pos.items()})
-    wanted = F.lit(False)
-    for name in probs:
-        for rank in (F.floor(f"_p_{name}"), F.ceil(f"_p_{name}")):
-            wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bc")))
-    heads = heads.where(wanted)
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (cut.join(heads, [*by, "_b"])
-            .withColumn("_r", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_r")) & (rank < F.col("_r") + F.col("_c")), F.col("_v")))
-
-    picks = rows.groupBy(*by).agg(*[
-        e for name in probs for e in (
-            at(F.floor(f"_p_{name}")).alias(f"_lo_{name}"), at(F.ceil(f"_p_{name}")).alias(f"_hi_{name}"),
-            F.max(F.col(f"_p_{name}") - F.floor(f"_p_{name}")).alias(f"_f_{name}"))])
-    return picks.select(*by, *[
-        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")).alias(name)
-        for name in probs])
+        pos = F.round(p * (F.col("_n") - 1), 9)
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            wanted.append(F.struct(F.lit(f"{side}_{name}").alias("what"), rank.alias("rank"), (pos - F.floor(pos)).alias("share")))
+    # a few numbers for each group; the rows themselves stay where they are
+    picks = (heads.select(*by, "_first", "_c", "_pre", F.explode(F.array(*wanted)).alias("_w"))
+             .where((F.col("_w.rank") >= F.col("_pre")) & (F.col("_w.rank") < F.col("_pre") + F.col("_c")))
+             .select(*by, (F.col("_first") + F.col("_w.rank") - F.col("_pre")).alias("_id"), F.col("_w.what").alias("_what"), F.col("_w.share").alias("_share")))
+    found = picks.join(rows.select("_id", "_v"), "_id")
+    got = {f"{side}_{name}": F.max(F.when(F.col("_what") == f"{side}_{name}", F.col("_v"))) for name in probs for side in ("lo", "hi")}
+    share = {name: F.max(F.when(F.col("_what") == f"lo_{name}", F.col("_share"))) for name in probs}
+    return found.groupBy(*by).agg(*[(got[f"lo_{name}"] + (got[f"hi_{name}"] - got[f"lo_{name}"]) * share[name]).alias(name) for name in probs])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.keys import bounded
+from ..functions.keys import written
+from ..functions.ordered import numbered
 
 # ---- fixed values: routing patterns, setting ranges, label years ----
 STOP_WORDS = ("a", "about", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "how", "in",
@@ -15,18 +16,25 @@ STOP_WORDS = ("a", "about", "an", "and", "are", "as", "at", "be", "by", "for", "
 CHEAPEST = "cheapest|lowest cost|least cost|ថោកបំផុត"
 GENEROUS = "most generous|highest (pension|replacement)|best pension"
 UNIT_WORDS = "province|ministr|ខេត្ត|ក្រសួង"
-EXIT_WORDS = "leave|leaving|lose|exits|retirement wave|shortage|ចាកចេញ|រលក"
-RETIRE_AGE = r"(?:retire\w*|retirement age)\D{0,25}?(\d{2})\b"
-ACCRUAL = "accrual|per year of service"
-RISE = r"contribution\w*\D{0,40}?(\d(?:\.\d+)?)\s*(?:points?|pp|percentage|%)"
-PAY_WORDS = "pay|salar|wage|raise|index"
-TARGETED = "targeted|teachers and health|education and health"
-RESTRAIN = "only replace|replace only|restrain|hiring freeze|freeze hiring"
-COMPARE = r"compare|which\b.*\bscenarios?"
-FUND = "fund.*(run out|deplet|risk)|status quo"
-EXPLAIN = r"\b(what|how|where|which|define|explain)\b|assum|formula|rate|source"
+MINISTRY_WORDS = "ministr|ក្រសួង"
+EXIT_WORDS = "leave|leaving|lose|exits|retirement wave|shortage|ចាកចេញ|បាត់បង់|រលក"
+YEARS_AHEAD = r"(\d+)\s*(?:years?|ឆ្នាំ)"
+RETIRE_AGE = r"(?:retire\w*|retirement age|អាយុចូលនិវត្តន៍|ចូលនិវត្តន៍)\D{0,25}?(\d{2})\b"
+ACCRUAL = "accrual|per year of service|តាមឆ្នាំសេវា|ប្រមូលផ្តុំ"
+RISE = r"(?:contribution\w*|ភាគទាន)\D{0,40}?(\d(?:\.\d+)?)\s*(?:points?|pp|percentage|%|ពិន្ទុ)"
+INFLATION = "inflation|អតិផរណា"
+PAY_WORDS = "pay|salar|wage|raise|index|បៀវត្ស"
+PAY_LEVERS = "pay|បៀវត្ស"
+TARGETED = "targeted|teachers and health|education and health|អប់រំ និងសុខាភិបាល"
+RESTRAIN = "only replace|replace only|restrain|hiring freeze|freeze hiring|ទប់"
+COMPARE = r"compare|which\b.*\bscenarios?|ប្រៀបធៀប|សេណារីយ៉ូណា"
+FUND = "fund.*(run out|deplet|risk)|status quo|មូលនិធិ.*អស់"
+EXPLAIN = r"\b(what|how|where|which|define|explain)\b|assum|formula|rate|source|រូបមន្ត|សន្មត|អត្រា|ប្រភព"
+LATIN = "[A-Za-z]{3}"
 SCENARIO_WORDS = (("status quo", "S0"), ("inflation-indexed pay", "S1"), ("targeted pay", "S2"), ("combined reform", "S5"),
-                  ("workforce restraint", "S6"))
+                  ("workforce restraint", "S6"), ("ស្ថានភាពបច្ចុប្បន្ន", "S0"), ("កំណែទម្រង់រួម", "S5"))
+TOPICS = (("រូបមន្តសោធន", "current pension formula"), ("ភាគទាន", "contribution rates"), ("អប្បបរមា", "minimum pension"), ("ចំនួនមន្ត្រី", "headcount"),
+          ("ថ្លៃដើមសរុប", "total cost definition"), ("អតិផរណា", "inflation"), ("អាយុចូលនិវត្តន៍", "retirement age"), ("មូលនិធិ", "fund reserve"), ("GDP", "GDP"))
 CODES = ("S0", "S1", "S2", "S3", "S4", "S5", "S6")
 PAY_RULES = ("recent_average", "inflation", "targeted")
 GOALS = ("cheapest_for_replacement", "most_adequate_within_cost")
@@ -42,47 +50,79 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(hit != "", hit)
 
 
-def route_questions(df: DataFrame, question: str) -> DataFrame:
-    """The tool a question calls for and the settings it states: ordered rules, first match wins."""
-    q = T.plain_digits(F.col(question))
-    ql = F.lower(q)
-    pct = _found(q, r"(\d+(?:\.\d+)?)\s*%").cast("double")
+# the first rule whose condition holds names the tool; conditions are the columns of `_conditions`
+RULES = (("find_best_reform", "cheapest"), ("find_best_reform", "generous"), ("staff_exits", "exits"), ("run_reform", "reform"),
+         ("compare_scenarios", "compare"), ("run_reform", "fund"), ("explain_assumption", "explain"))
+
+
+def _stated(q: Column, ql: Column, units: tuple[str, ...]) -> dict[str, Column]:
+    """What a question states, whatever tool it is for; null where it does not."""
     coded = F.transform(F.regexp_extract_all(ql, F.lit(r"\bs([0-6])\b"), 1), lambda x: F.concat(F.lit("S"), x))
     named = F.array_compact(F.array(*[F.when(F.contains(ql, F.lit(w)), c) for w, c in SCENARIO_WORDS]))
-    codes = F.array_distinct(F.concat(coded, named))
-    age = _found(ql, RETIRE_AGE).cast("int")
-    age = F.when(age.between(50, 70), age)
-    accrual = ql.rlike(ACCRUAL)
+    age, rise = _found(ql, RETIRE_AGE).cast("int"), _found(ql, RISE).cast("double")
+    accrual, pays = ql.rlike(ACCRUAL), ql.rlike(PAY_WORDS)
     rate = _found(F.regexp_replace(ql, "^.*?accrual", ""), r"(\d(?:\.\d+)?)\s*%").cast("double")
-    rate = F.when(accrual & rate.between(0.5, 4), rate)
-    rise = _found(ql, RISE).cast("double")
-    pays = ql.rlike(PAY_WORDS)
-    rule = F.when(ql.rlike("inflation") & pays, "inflation").when(ql.rlike(TARGETED) & pays, "targeted")
-    restrain = F.when(ql.rlike(RESTRAIN), True)
-    cheapest = ql.rlike(CHEAPEST)
-    generous = ql.rlike(GENEROUS) & F.contains(ql, F.lit("gdp"))
-    exits = ql.rlike(UNIT_WORDS) & ql.rlike(EXIT_WORDS)
-    reform = age.isNotNull() | accrual | rise.isNotNull() | rule.isNotNull() | restrain.isNotNull()
-    compare = (F.size(codes) > 0) | ql.rlike(COMPARE)
-    tool = (F.when(cheapest | generous, "find_best_reform").when(exits, "staff_exits").when(reform, "run_reform")
-            .when(compare, "compare_scenarios").when(ql.rlike(FUND), "run_reform").when(ql.rlike(EXPLAIN), "explain_assumption")
-            .otherwise("none"))
-    df = df.withColumns({"tool": tool, "_cheap": cheapest, "_reform": reform})
+    listed = F.filter(F.array(*[F.lit(u) for u in units]).cast("array<string>"), lambda u: F.contains(ql, F.lower(u)))
+    topic = F.array_join(F.array_compact(F.array(*[F.when(F.contains(q, F.lit(w)), t) for w, t in TOPICS])), " ")
+    return {
+        "pct": _found(q, r"(\d+(?:\.\d+)?)\s*%").cast("double"), "codes": F.array_distinct(F.concat(coded, named)),
+        "retirement_age": F.when(age.between(50, 70), age), "pension_formula": F.when(accrual, "accrual"),
+        "accrual_rate_percent": F.when(accrual & rate.between(0.5, 4), rate), "contribution_rise_points": rise,
+        "pay_rule": F.when(ql.rlike(INFLATION) & pays, "inflation").when(ql.rlike(TARGETED) & pays, "targeted"),
+        "restrain_hiring": F.when(ql.rlike(RESTRAIN), True), "unit": F.try_element_at(listed, F.lit(1)),
+        "topic": F.when(q.rlike(LATIN), q).when(topic != "", topic)}
+
+
+def _conditions(ql: Column, s: dict[str, Column]) -> dict[str, Column]:
+    settings = ("retirement_age", "pension_formula", "contribution_rise_points", "pay_rule", "restrain_hiring")
+    reform = F.lit(False)
+    for name in settings:
+        reform = reform | s[name].isNotNull()
+    return {"cheapest": ql.rlike(CHEAPEST), "generous": ql.rlike(GENEROUS) & F.contains(ql, F.lit("gdp")),
+            "exits": (ql.rlike(UNIT_WORDS) | s["unit"].isNotNull()) & ql.rlike(EXIT_WORDS), "reform": reform,
+            "compare": (F.size(s["codes"]) > 0) | ql.rlike(COMPARE), "fund": ql.rlike(FUND), "explain": ql.rlike(EXPLAIN) & s["topic"].isNotNull()}
+
+
+def route_questions(df: DataFrame, question: str, units: tuple[str, ...] = ()) -> DataFrame:
+    """The tool a question calls for and the settings it states: ordered rules in both languages, first match wins.
+
+    ``units`` is the caller's list of unit names; the first one that a question names is its ``unit``.
+    """
+    q = T.plain_digits(F.col(question))
+    ql = F.lower(q)
+    stated = _stated(q, ql, units)
+    holds = _conditions(ql, stated)
+    tool = F.coalesce(*[F.when(holds[c], F.lit(t)) for t, c in RULES], F.lit("none"))
+    df = df.withColumns({"tool": tool, "_cheap": holds["cheapest"], "_reform": holds["reform"]})
     best, staff, run = F.col("tool") == "find_best_reform", F.col("tool") == "staff_exits", (F.col("tool") == "run_reform") & F.col("_reform")
-    years = F.coalesce(_found(ql, r"(\d+)\s*years?").cast("int"), F.lit(10))
+    years = F.coalesce(_found(ql, YEARS_AHEAD).cast("int"), F.lit(10))
     out = {
         "goal": F.when(best, F.when(F.col("_cheap"), GOALS[0]).otherwise(GOALS[1])),
-        "target": F.when(best, F.coalesce(pct, F.when(F.col("_cheap"), 60.0).otherwise(3.5))),
-        "include_pay_levers": F.when(best, F.col("_cheap") & F.contains(ql, F.lit("pay"))),
-        "level": F.when(staff, F.when(F.contains(ql, F.lit("ministr")), "ministry").otherwise("province")),
-        "years_ahead": F.when(staff, years), "retirement_age": F.when(run, age),
-        "pension_formula": F.when(run & accrual, "accrual"), "accrual_rate_percent": F.when(run, rate),
-        "contribution_rise_points": F.when(run, rise), "pay_rule": F.when(run, rule), "restrain_hiring": F.when(run, restrain),
-        "base_scenario": F.when(run & (F.size(codes) == 1), codes[0]),
-        "codes": F.when(F.col("tool") == "compare_scenarios", F.concat_ws(",", codes))}
+        "target": F.when(best, F.coalesce(stated["pct"], F.when(F.col("_cheap"), 60.0).otherwise(3.5))),
+        "include_pay_levers": F.when(best, F.col("_cheap") & ql.rlike(PAY_LEVERS)),
+        "level": F.when(staff, F.when(ql.rlike(MINISTRY_WORDS), "ministry").otherwise("province")), "years_ahead": F.when(staff, years),
+        **{c: F.when(run, stated[c]) for c in ("retirement_age", "pension_formula", "accrual_rate_percent", "contribution_rise_points", "pay_rule", "restrain_hiring")},
+        "base_scenario": F.when(run & (F.size(stated["codes"]) == 1), stated["codes"][0]),
+        "codes": F.when(F.col("tool") == "compare_scenarios", F.concat_ws(",", stated["codes"])),
+        "unit": F.when(staff, stated["unit"]), "topic": F.when(F.col("tool") == "explain_assumption", stated["topic"])}
     return df.withColumns(out).drop("_cheap", "_reform")
 
 
+def confirm_topics(routed: DataFrame, corpus: DataFrame, corpus_key: str, text: str) -> DataFrame:
+    """Questions for an explanation that the corpus knows nothing about go to no tool; each distinct topic is searched once."""
+    topics = routed.where("topic IS NOT NULL").select("topic").distinct().withColumn(text, F.col("topic"))
+    known = tfidf_search(corpus, topics, corpus_key, "topic", text, k=1).select("topic", F.lit(True).alias("_known"))
+    out = routed.join(known, "topic", "left")
+    lost = (F.col("tool") == "explain_assumption") & F.col("_known").isNull()
+    return out.withColumns({"tool": F.when(lost, "none").otherwise(F.col("tool")), "topic": F.when(~lost, F.col("topic"))}).drop("_known")
+
+
+def stated_args(routed: DataFrame) -> DataFrame:
+    """The settings of routed questions as the argument map that ``clean_settings`` takes."""
+    items = [v for c in (*SLOTS, "unit", "topic") for v in (F.lit(c), F.col(c).cast("string"))]
+    return routed.select(*[c for c in routed.columns if c not in (*SLOTS, "unit", "topic")], F.map_filter(F.create_map(*items), lambda _, v: v.isNotNull()).alias("args"))
+
+
 def parse_tool_calls(df: DataFrame, col: str) -> DataFrame:
     """A call written as JSON text inside an answer: tool name and arguments as text."""
     body = F.regexp_extract(col, r"(?s)(\{.*\})", 1)
@@ -103,7 +143,7 @@ def clean_settings(df: DataFrame, args: str = "args") -> DataFrame:
         return T.number_of(raw(name))
 
     def clamp(x: Column, lo: float, hi: float) -> Column:
-        return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+        return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
     run, cmp, best, staff = (tool == t for t in ("run_reform", "compare_scenarios", "find_best_reform", "staff_exits"))
     rate = num("accrual_rate_percent")
@@ -114,7 +154,8 @@ def clean_settings(df: DataFrame, args: str = "args") -> DataFrame:
     target = num("target")
     target = F.when(goal == GOALS[0], F.when(target.isNull(), 60.0).when(target <= 1, target * 100).otherwise(target)).otherwise(
         F.coalesce(target, F.lit(3.5)))
-    asked = F.split(F.upper(F.coalesce(raw("codes"), F.lit(""))), ",")
+    # a JSON list arrives as its text
+    asked = F.split(F.regexp_replace(F.upper(F.coalesce(raw("codes"), F.lit(""))), r'[\[\]" ]', ""), ",")
     known = F.filter(F.array(*[F.lit(c) for c in CODES]), lambda c: F.array_contains(asked, c))
     every = F.array(*[F.lit(c) for c in CODES])
     years = num("years_ahead")
@@ -130,15 +171,18 @@ def clean_settings(df: DataFrame, args: str = "args") -> DataFrame:
         "goal": F.when(best, goal), "target": F.when(best, F.round(target, 2)),
         "include_pay_levers": F.when(best, F.coalesce(raw("include_pay_levers") == "true", F.lit(False))),
         "level": F.when(staff, F.when(raw("level").isin("province", "ministry"), raw("level")).otherwise("province")),
-        "years_ahead": F.when(staff, F.coalesce(clamp(F.bround(years, 0), 5.0, 15.0).cast("int"), F.lit(10)))})
+        "years_ahead": F.when(staff, F.coalesce(clamp(F.bround(years, 0), 5.0, 15.0).cast("int"), F.lit(10))),
+        "unit": F.when(staff, F.nullif(F.trim(raw("unit")), F.lit(""))),
+        "topic": F.when(tool == "explain_assumption", F.trim(F.coalesce(raw("topic"), F.lit(""))))})
 
 
 SIGNATURE = ("tool", "base_scenario", "retirement_age", "pension_formula", "accrual_rate_percent", "contribution_rise_points",
-             "pay_rule", "restrain_hiring", "codes", "goal", "target", "include_pay_levers", "level", "years_ahead")
+             "pay_rule", "restrain_hiring", "codes", "goal", "target", "include_pay_levers", "level", "years_ahead", "unit")
 
 
 def settings_signature(df: DataFrame, out: str = "signature") -> DataFrame:
-    """One canonical key per set of cleaned settings; the accrual rate counts only with the accrual formula."""
+    """One canonical key per set of cleaned settings; the accrual rate counts only with the accrual formula, a reform
+    without a base starts from S0, and units are compared in lower case. Topics are judged by citations, not here."""
     cols = []
     for c in SIGNATURE:
         v = F.col(c)
@@ -146,6 +190,10 @@ def settings_signature(df: DataFrame, out: str = "signature") -> DataFrame:
             v = F.when(F.col("pension_formula") == "accrual", v)
         if c in ("accrual_rate_percent", "contribution_rise_points", "target"):
             v = F.bround(v * 100, 0).cast("bigint")
+        if c == "base_scenario":
+            v = F.when(F.col("tool") == "run_reform", F.coalesce(v, F.lit(CODES[0])))
+        if c == "unit":
+            v = F.lower(v)
         cols.append(F.coalesce(v.cast("string"), F.lit("-")))
     return df.withColumn(out, F.sha2(F.concat_ws("|", *cols), 256))
 
@@ -175,6 +223,20 @@ def fill_placeholders(df: DataFrame, template: str, shown: str, out: str = "text
     return df.withColumns({out: F.array_join(filled, ""), "unknown": unknown}).drop("_f", "_p")
 
 
+def source_numbers(library: DataFrame, key: str, text: str) -> DataFrame:
+    """The set of numbers that each source's text states."""
+    return library.select(F.col(key).alias("_source"), F.array_distinct(T.extract_numbers(F.col(text))).alias("_stated"))
+
+
+def numbers_of_sources(df: DataFrame, sources: str, stated: DataFrame) -> DataFrame:
+    """Add ``_from_sources``, the numbers of all sources of a row; each distinct list of sources is looked up once."""
+    lists = df.select(F.col(sources).alias("_list")).where("_list IS NOT NULL").distinct()
+    sets = (lists.select("_list", F.explode("_list").alias("_source")).join(stated, "_source").groupBy("_list")
+            .agg(F.array_distinct(F.flatten(F.collect_list("_stated"))).alias("_from_sources")))
+    out = df.join(sets, F.col(sources) == F.col("_list"), "left").drop("_list")
+    return out.withColumn("_from_sources", F.coalesce("_from_sources", F.array().cast("array<string>")))
+
+
 def allowed_numbers(question: Column, shown: Column) -> Column:
     """Numbers an answer may use: label years, counting words, the question's, and each fact's at 0 to 2 decimals."""
     fixed = F.array(*[F.lit(v) for v in (*LABEL_YEARS, *T.SMALL_NUMBERS)])
@@ -188,17 +250,24 @@ def allowed_numbers(question: Column, shown: Column) -> Column:
     return F.array_distinct(F.concat(fixed, T.extract_numbers(question), written, near))
 
 
-def grounding_check(df: DataFrame, text: str, question: str, shown: str, sources: str) -> DataFrame:
-    """Is every number a model value and every citation a source? Adds ``grounded`` and the first reason against."""
+def grounding_check(df: DataFrame, text: str, question: str, shown: str, sources: str, stated: DataFrame | None = None) -> DataFrame:
+    """Is every number a model value and every citation a source? Adds ``grounded`` and the first reason against.
+
+    With ``stated``, the table of ``source_numbers``, numbers of the row's sources are allowed too.
+    """
     t = F.col(text)
+    allowed = allowed_numbers(F.col(question), F.col(shown))
+    if stated is not None:
+        df = numbers_of_sources(df, sources, stated)
+        allowed = F.concat(allowed, F.col("_from_sources"))
     df = df.withColumns({
-        "_bad": F.array_except(T.extract_numbers(t), allowed_numbers(F.col(question), F.col(shown))),
+        "_bad": F.array_except(T.extract_numbers(t), allowed),
         "_cited": T.extract_citations(t)}).withColumn("_wrong", F.array_except("_cited", sources))
     reason = (F.when(t.rlike("[{}]"), "unfilled placeholder")
               .when(F.size("_bad") > 0, F.concat(F.lit("numbers not from the model: "), F.array_join(F.slice("_bad", 1, 5), ", ")))
               .when(F.size("_wrong") > 0, F.concat(F.lit("citations not among the sources: "), F.array_join("_wrong", ", ")))
               .when((F.size(sources) > 0) & (F.size("_cited") == 0), "no citations").otherwise(""))
-    return df.withColumn("reason", reason).withColumn("grounded", F.col("reason") == "").drop("_bad", "_cited", "_wrong")
+    return df.withColumn("reason", reason).withColumn("grounded", F.col("reason") == "").drop("_bad", "_cited", "_wrong", "_from_sources")
 
 
 METRICS = ("right_tool", "right_settings", "cites_correctly", "model_numbers")
@@ -209,10 +278,19 @@ def routing_scores(answers: DataFrame) -> DataFrame:
 
     ``answers`` has tool, signature, cited, sources, grounded and ``alternatives``: array of (tool,
     signature, sources), any of which is right. Citations are judged by the alternative that matches best.
+    With a column ``codes`` and a field of that name, comparing more scenarios than the one asked for is right too.
     """
     alts, tool = F.col("alternatives"), F.col("tool")
+    fields = answers.schema["alternatives"].dataType.elementType.names
+
+    def settings(a: Column) -> Column:
+        same = a["signature"] == F.col("signature")
+        if "codes" in fields:
+            one = ~F.contains(a["codes"], F.lit(",")) & (a["codes"] != "")
+            same = same | F.coalesce(one & F.array_contains(F.split("codes", ","), a["codes"]), F.lit(False))
+        return same
     same_tool = F.filter(alts, lambda a: a["tool"] == tool)
-    full = F.filter(alts, lambda a: (a["tool"] == tool) & (a["signature"] == F.col("signature")))
+    full = F.filter(alts, lambda a: (a["tool"] == tool) & settings(a))
     df = answers.withColumns({"_n": F.size(same_tool), "_m": F.size(full)}).withColumn(
         "_want", F.when(F.col("_m") > 0, F.try_element_at(full, F.lit(1))["sources"])
         .when(F.col("_n") > 0, F.try_element_at(same_tool, F.lit(1))["sources"]).otherwise(F.try_element_at(alts, F.lit(1))["sources"]))
@@ -241,30 +319,60 @@ def text_terms(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] =
     return df.select(key, F.explode(F.concat("_w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("term"))
 
 
+BLOCK = 128
+
+
+def impact_index(corpus: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> tuple[DataFrame, DataFrame]:
+    """An inverted index: postings (term, block, key, w) and blocks (term, block, idf, top).
+
+    Weights are sublinear tf-idf of the entry's text over its norm. The postings of a term are numbered by falling
+    weight through a range partitioning, so no term meets in one task, and cut into blocks of ``BLOCK``; ``top`` is
+    the largest weight of a block.
+    """
+    c = text_terms(corpus, key, text, stop_words).groupBy(key, "term").agg(F.count("*").alias("n"))
+    size = corpus.agg(F.count("*")).scalar()
+    df = c.groupBy("term").agg(F.count("*").alias("_df")).withColumn("idf", F.log((1 + size) / (1 + F.col("_df"))) + 1).drop("_df")
+    cw = c.join(df, "term").withColumn("w", (1 + F.log("n")) * F.col("idf"))
+    norm = cw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    weighed = cw.join(norm, key).select("term", "idf", key, (F.col("w") / F.col("_norm")).alias("w"), (-F.col("w") / F.col("_norm")).alias("_falling"))
+    postings = written(numbered(weighed, ["term"], ["_falling", key], "_rank").select(
+        "term", "idf", key, "w", F.floor(F.col("_rank") / BLOCK).cast("int").alias("block")))
+    return postings.drop("idf"), postings.groupBy("term", "block").agg(F.max("w").alias("top"), F.first("idf").alias("idf"))
+
+
 def tfidf_search(corpus: DataFrame, queries: DataFrame, corpus_key: str, query_key: str, text: str, k: int = 3,
                  min_score: float = 0.05, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """The k entries of a knowledge corpus most similar to each query text (cosine of sublinear tf-idf).
 
-    The corpus is a curated collection: the entries of a term are packed into one row, so the work is linear
-    in the query text. Terms the corpus does not know are dropped before anything is counted or shuffled.
-    One aggregation gives both the scores and, as the entry without a key, the query's norm.
+    The first blocks of all terms of a query give each entry a part of its score, and their k-th best part is a bound
+    that the k-th best score cannot fall below. A later block is read only if its largest weight, with the largest
+    weight of every other term, could reach that bound (and ``min_score``): an entry found in skipped blocks only, or
+    short of a part from one, is below the bound with its whole score, so the answer is that of the full join.
+    Terms the corpus does not know are dropped before anything is counted or shuffled.
     """
-    c = text_terms(corpus, corpus_key, text, stop_words).groupBy(corpus_key, "term").agg(F.count("*").alias("n"))
-    size = corpus.agg(F.count("*")).scalar()
-    df = c.groupBy("term").agg(F.count("*").alias("_df")).withColumn("idf", F.log((1 + size) / (1 + F.col("_df"))) + 1).drop("_df")
-    weigh = (1 + F.log("n")) * F.col("idf")
-    cw = c.join(df, "term").withColumn("w", weigh)
-    norm = cw.groupBy(corpus_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    entry = F.struct(F.col(corpus_key), (F.col("w") / F.col("_norm")).alias("w"))
-    lists = bounded(cw.join(norm, corpus_key).groupBy("term", "idf").agg(F.collect_list(entry).alias("_list")))
-    q = (text_terms(queries, query_key, text, stop_words).join(lists.select("term"), "term", "left_semi")
-         .groupBy(query_key, "term").agg(F.count("*").alias("n")).join(lists, "term").withColumn("_q", weigh))
-    none = F.struct(F.lit(None).cast(dict(corpus.dtypes)[corpus_key]).alias(corpus_key), F.col("_q").alias("w"))
-    dots = (q.select(query_key, "_q", F.explode(F.concat("_list", F.array(none))).alias("_e"))
-            .groupBy(query_key, F.col(f"_e.{corpus_key}").alias(corpus_key)).agg(F.sum(F.col("_q") * F.col("_e.w")).alias("_dot")))
-    one = Window.partitionBy(query_key)  # at most one row per entry, and the norm
-    scored = dots.withColumn("_qn", F.sqrt(F.max(F.when(F.col(corpus_key).isNull(), F.col("_dot"))).over(one)))
-    scored = scored.where(F.col(corpus_key).isNotNull()).select(
-        query_key, corpus_key, F.round(F.col("_dot") / F.col("_qn"), 9).alias("score"))
-    w = one.orderBy(F.col("score").desc(), corpus_key)
+    postings, blocks = impact_index(corpus, corpus_key, text, stop_words)
+    blocks = written(blocks)
+    first = blocks.where("block = 0").select("term", "idf", F.col("top").alias("most"))
+    asked = (text_terms(queries, query_key, text, stop_words).join(first.select("term"), "term", "left_semi")
+             .groupBy(query_key, "term").agg(F.count("*").alias("n")).join(first, "term")
+             .withColumn("_q", (1 + F.log("n")) * F.col("idf")))
+    asked = written(asked.select(query_key, "term", "_q", "most"))
+    sums = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_qn"), F.sum(F.col("_q") * F.col("most")).alias("_all"))
+
+    def parts(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(postings, ["term", "block"]).groupBy(query_key, corpus_key)
+                .agg(F.sum(F.col("_q") * F.col("w")).alias("_dot")))
+    dots = parts(asked.select(query_key, "term", "_q", F.lit(0).alias("block")))
+    later = blocks.where("block > 0").select("term", "block", "top")
+    if not later.isEmpty():
+        dots = written(dots)
+        kth = (dots.withColumn("_at", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("_dot")))).where(F.col("_at") == k)
+               .select(query_key, F.col("_dot").alias("_kth")))
+        reach = sums.join(kth, query_key, "left").select(query_key, "_all", F.greatest(F.coalesce("_kth", F.lit(0.0)), min_score * F.col("_qn")).alias("_bound"), "_qn")
+        open_ = (asked.join(reach, query_key).join(later, "term")
+                 # scores are compared to nine decimals
+                 .where(F.col("_all") - F.col("_q") * (F.col("most") - F.col("top")) >= F.col("_bound") - 1e-8 * F.col("_qn")))
+        dots = dots.unionAll(parts(open_.select(query_key, "term", "_q", "block"))).groupBy(query_key, corpus_key).agg(F.sum("_dot").alias("_dot"))
+    scored = dots.join(sums, query_key).select(query_key, corpus_key, F.round(F.col("_dot") / F.col("_qn"), 9).alias("score"))
+    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), corpus_key)
     return scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

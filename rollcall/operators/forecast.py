@@ -86,8 +86,8 @@ def _centre(a: Column) -> Column:
 def ar_candidates(df: DataFrame) -> DataFrame:
     """Least-squares AR(1), AR(2) with constant and ARI(1,1) without, on the same rows, each with its AIC.
 
-    Adds ``fits``: array of struct(aic, order, c, a1, a2, d, sigma2); a forecast of order d = 1 works on
-    differences. Series need at least six periods.
+    Adds ``fits``: array of struct(aic, order, c, a1, a2, d, sigma2, theta, e); a forecast of order d = 1 works on
+    differences; theta weighs the last shock e, both 0 here. Series need at least six periods.
     """
     y, n = F.col("y"), F.size("y")
     df = df.withColumns({"_y0": F.slice(y, F.lit(3), n - 2), "_y1": F.slice(y, F.lit(2), n - 2), "_y2": F.slice(y, F.lit(1), n - 2)})
@@ -106,7 +106,7 @@ def ar_candidates(df: DataFrame) -> DataFrame:
     def fit(order: int, params: int, c: Column, p1: Column, p2: Column, d: int, sse: Column) -> Column:
         s2 = F.greatest(sse / m, F.lit(1e-12))
         return F.struct((m * F.log(s2) + 2 * params).alias("aic"), F.lit(order).alias("order"), c.alias("c"), p1.alias("a1"),
-                        p2.alias("a2"), F.lit(d).alias("d"), s2.alias("sigma2"))
+                        p2.alias("a2"), F.lit(d).alias("d"), s2.alias("sigma2"), F.lit(0.0).alias("theta"), F.lit(0.0).alias("e"))
 
     ar2 = F.when(F.abs(det) > 1e-12, fit(2, 4, F.col("_m0") - b1 * F.col("_m1") - b2 * F.col("_m2"), b1, b2, 0,
                                          s["00"] - b1 * s["01"] - b2 * s["02"]))
@@ -116,6 +116,61 @@ def ar_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("fits", fits).drop(*[c for c in df.columns if c.startswith("_")])
 
 
+ORDERS = {1: "ar1", 2: "ar2", 3: "ari11", 4: "arma11", 5: "ima011"}
+MA_GRID = [round(-0.9 + 0.1 * i, 1) for i in range(19)]
+
+
+def model_candidates(df: DataFrame, grid: list[float] = MA_GRID) -> DataFrame:
+    """AR(1), AR(2), ARI(1,1), ARMA(1,1) and IMA(0,1,1) in one table of fits, all on the periods from the third on.
+
+    The autoregressions are those of ``ar_candidates``. The other two are the best of a parameter grid by conditional
+    least squares (shocks before the second period are 0), folded inside the row; ARMA works around the series' mean.
+    Every sum of squares has the same n - 2 terms, so the five criteria compare.
+    """
+    y, n = F.col("y"), F.size("y")
+    df = ar_candidates(df).withColumn("_mean", _sum(y) / n).withColumns({
+        "_x": F.transform(y, lambda v: v - F.col("_mean")),
+        "_d": F.zip_with(F.slice(y, F.lit(2), n - 1), F.slice(y, F.lit(1), n - 1), lambda a, b: a - b)})
+    m = (n - 2).cast("double")
+
+    def fold(values: Column, phi: Column, theta: Column, first: Column, shock: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sse"), shock.alias("e"), first.alias("prev"))
+
+        def one(a: Column, v: Column) -> Column:
+            u = v - phi * a["prev"] - theta * a["e"]
+            return F.struct((a["sse"] + u * u).alias("sse"), u.alias("e"), v.alias("prev"))
+        return F.aggregate(values, start, one)
+
+    def fit(order: int, params: int, a: Column, phi: Column, theta: Column, d: int) -> Column:
+        s2 = F.greatest(a["sse"] / m, F.lit(1e-12))
+        return F.struct((m * F.log(s2) + 2 * params).alias("aic"), F.lit(order).alias("order"),
+                        (F.lit(0.0) if d else F.col("_mean") * (1 - phi)).alias("c"), phi.alias("a1"), F.lit(0.0).alias("a2"), F.lit(d).alias("d"),
+                        s2.alias("sigma2"), theta.alias("theta"), a["e"].alias("e"))
+    g = F.array(*[F.lit(float(v)) for v in grid])
+    x1, x2 = F.element_at("_x", 1), F.element_at("_x", 2)
+    later = F.slice("_x", F.lit(3), n - 2)
+    arma = F.array_min(F.flatten(F.transform(g, lambda p: F.transform(g, lambda t: fit(4, 4, fold(later, p, t, x2, x2 - p * x1), p, t, 0)))))
+    steps = F.slice("_d", F.lit(2), n - 2)
+    ima = F.array_min(F.transform(g, lambda t: fit(5, 2, fold(steps, F.lit(0.0), t, F.lit(0.0), F.element_at("_d", 1)), F.lit(0.0), t, 1)))
+    # the generator keeps the optimizer from repeating the grid for each use of its result
+    df = df.select("*", F.explode(F.array(F.concat("fits", F.array(arma, ima)))).alias("_all"))
+    return df.withColumn("fits", F.col("_all")).drop("_all", "_mean", "_x", "_d")
+
+
+def best_fit() -> Column:
+    """The fit of lowest AIC; criteria equal to eight decimals go to the smaller order."""
+    keyed = F.transform("fits", lambda f: F.struct(F.round(f["aic"], 8).alias("k"), f["order"].alias("o"), f.alias("f")))
+    return F.array_min(keyed)["f"]
+
+
+def model_table(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """One row per task and model: its AIC and parameters, and whether it is the one chosen."""
+    df = model_candidates(tasks.where(F.size("y") >= 6)).withColumn("_f", best_fit())
+    names = F.create_map(*[F.lit(v) for kv in ORDERS.items() for v in kv])
+    return df.select(*by, "origin", F.col("_f.order").alias("_o"), F.explode("fits").alias("f")).select(
+        *by, "origin", names[F.col("f.order")].alias("model"), "f.aic", "f.c", "f.a1", "f.a2", "f.theta", "f.sigma2", (F.col("f.order") == F.col("_o")).alias("chosen"))
+
+
 def _last_value(tasks: DataFrame) -> DataFrame:
     """Tasks of one to five periods with ``_last`` and ``_s2``, the mean squared step of a random walk (null with one)."""
     y, n = F.col("y"), F.size("y")
@@ -124,28 +179,28 @@ def _last_value(tasks: DataFrame) -> DataFrame:
 
 
 def ar_select(tasks: DataFrame) -> DataFrame:
-    """Forecast with the lowest-AIC small autoregression and its 80% interval (columns q10, q50, q90 as arrays).
+    """Forecast with the lowest-AIC model of ``model_candidates`` and its 80% interval (columns q10, q50, q90 as arrays).
 
     Series under six periods get a random walk, the order that their length allows; one value alone has no interval.
     """
     # the generator keeps the optimizer from repeating the fits for each use of the best one
-    df = ar_candidates(tasks.where(F.size("y") >= 6)).select("*", F.explode(F.array(F.array_min("fits"))).alias("_f"))
+    df = model_candidates(tasks.where(F.size("y") >= 6)).select("*", F.explode(F.array(best_fit())).alias("_f"))
     f, y = F.col("_f"), F.col("y")
     last, prev = F.element_at(y, -1), F.element_at(y, -2)
     level = f["d"] == 1
     x1, x2 = F.when(level, last - prev).otherwise(last), F.when(level, F.lit(0.0)).otherwise(prev)
-    # psi weights follow the same recursion with a unit shock
-    zero = F.struct(x1.alias("x1"), x2.alias("x2"), last.alias("lvl"), F.lit(1.0).alias("p1"), F.lit(0.0).alias("p2"),
+    # psi weights follow the same recursion with a unit shock; the last shock reaches one step
+    zero = F.struct(F.lit(1.0).alias("live"), x1.alias("x1"), x2.alias("x2"), last.alias("lvl"), F.lit(1.0).alias("p1"), F.lit(0.0).alias("p2"),
                     F.lit(1.0).alias("cum"), F.lit(0.0).alias("var"),
                     F.expr("cast(array() as array<struct<mid:double,sd:double>>)").alias("out"))
 
     def step(a: Column, k: Column) -> Column:
-        x = f["c"] + f["a1"] * a["x1"] + f["a2"] * a["x2"]
+        x = f["c"] + f["a1"] * a["x1"] + f["a2"] * a["x2"] + a["live"] * f["theta"] * f["e"]
         lvl = F.when(level, a["lvl"] + x).otherwise(x)
         w = F.when(level, a["cum"]).otherwise(a["p1"])
         var = a["var"] + w * w
-        p = f["a1"] * a["p1"] + f["a2"] * a["p2"]
-        return F.struct(x.alias("x1"), a["x1"].alias("x2"), lvl.alias("lvl"), p.alias("p1"), a["p1"].alias("p2"),
+        p = f["a1"] * a["p1"] + f["a2"] * a["p2"] + a["live"] * f["theta"]
+        return F.struct(F.lit(0.0).alias("live"), x.alias("x1"), a["x1"].alias("x2"), lvl.alias("lvl"), p.alias("p1"), a["p1"].alias("p2"),
                         (a["cum"] + p).alias("cum"), var.alias("var"),
                         F.concat(a["out"], F.array(F.struct(lvl.alias("mid"), F.sqrt(var * f["sigma2"]).alias("sd")))).alias("out"))
 

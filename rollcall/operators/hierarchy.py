@@ -6,12 +6,10 @@ one national, one sector, one ministry and one province total.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import with_small_table
+from ..functions.keys import with_small_table, written
 
 CELL = ("sector", "ministry", "province")
 LEVELS = ("national", "sector", "ministry", "province", "cell")
@@ -135,47 +133,75 @@ def top_down(base: DataFrame, history: DataFrame, keys: tuple[str, ...], origin:
     return all_series(cells, keys)
 
 
-DENSE_LIMIT = 3000
-
-
-def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Solve (K + Z Z') x = g for one (method, origin): K over the totals, one right-hand side per horizon."""
-    mat, rhs, low = (pdf[pdf.kind == k] for k in ("k", "g", "z"))
-    ids, hs = pd.Index(sorted(set(rhs["a"]))), sorted(set(rhs["h"]))
-    n = len(ids)
-    i, j, v = ids.get_indexer(mat["a"]), ids.get_indexer(mat["b"]), mat["v"].to_numpy()
-    g = np.zeros((n, len(hs)))
-    g[ids.get_indexer(rhs["a"]), pd.Index(hs).get_indexer(rhs["h"])] = rhs["v"]
-    years = sorted(set(low["h"]))
-    z = np.zeros((n, len(years)))
-    z[ids.get_indexer(low["a"]), pd.Index(years).get_indexer(low["h"])] = low["v"]
-    if n <= DENSE_LIMIT:
-        k = z @ z.T
-        np.add.at(k, (i, j), v)
-        x = np.linalg.solve(k, g)
-    else:  # conjugate gradient on the non-zero entries only
-        x = np.column_stack([_cg(i, j, v, z, g[:, c]) for c in range(g.shape[1])])
-    return pd.DataFrame({"method": [pdf["method"].iloc[0]] * (n * len(hs)), "origin": [int(pdf["origin"].iloc[0])] * (n * len(hs)),
-                         "series": np.repeat(np.array(ids, dtype=object), len(hs)), "h": np.tile(hs, n), "mult": x.ravel()})
-
-
-def _cg(i, j, v, z, g, tol: float = 1e-10):
-    n = len(g)
-    diag = np.bincount(i[i == j], weights=v[i == j], minlength=n) + (z * z).sum(axis=1)
-    x, r = np.zeros(n), g.astype(float).copy()
-    p = r / diag
-    rz = float(r @ p)
-    for _ in range(10 * n + 1):
-        if np.linalg.norm(r) <= tol * max(np.linalg.norm(g), 1e-300):
-            break
-        q = np.bincount(i, weights=v * p[j], minlength=n) + z @ (z.T @ p)
-        step = rz / float(p @ q)
-        x, r = x + step * p, r - step * q
-        new = float(r @ (r / diag))
-        p, rz = r / diag + new / rz * p, new
-    else:
-        raise ValueError(f"reconciliation of {n} totals did not converge to {tol} in {10 * n} steps")
-    return x
+TOLERANCE, TEST_EVERY = 1e-10, 4
+
+
+def solve_totals(matrix: DataFrame, low: DataFrame | None, gap: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """x of (K + Z Z') x = g for every (method, origin, h), by conjugate gradients on tables of any size.
+
+    ``matrix`` has the non-zero entries (method, origin, a, b, v) of K, ``low`` (method, origin, a, i, v) those of Z, one
+    column i a year, ``gap`` (method, origin, a, h, v) the right-hand sides. A product is a join of the entries with
+    the vector and a sum by row. The form of the iteration with one reduction a step is used, scaled by the diagonal:
+    a step reads the written state, sums it to a row of scalars for each system, moves the vectors and multiplies once;
+    it is written, which ends its lineage. Systems that have converged stand still. When all have, residuals are
+    computed anew from x: a system whose true residual is above ``tolerance`` times the right-hand side goes on from
+    there, and one that is not solved within the allowed steps is an error. Returns (method, origin, series, h, mult).
+    """
+    key, row = ["method", "origin"], ["method", "origin", "h", "a"]
+    squares = matrix.where("a = b").select(*key, "a", "v")
+    if low is not None:
+        squares = squares.unionByName(low.select(*key, "a", (F.col("v") * F.col("v")).alias("v")))
+    diagonal = written(squares.groupBy(*key, "a").agg(F.sum("v").alias("d")))
+
+    def product(vector: DataFrame) -> DataFrame:
+        """(K + Z Z') times a vector (method, origin, h, a, u)."""
+        out = matrix.join(vector.withColumnRenamed("a", "b"), [*key, "b"]).select(*row, (F.col("v") * F.col("u")).alias("w"))
+        if low is not None:
+            years = low.join(vector, [*key, "a"]).groupBy(*key, "h", "i").agg(F.sum(F.col("v") * F.col("u")).alias("t"))
+            out = out.unionByName(low.join(years, [*key, "i"]).select(*row, (F.col("v") * F.col("t")).alias("w")))
+        return out.groupBy(*row).agg(F.sum("w").alias("w"))
+
+    def with_product(state: DataFrame) -> DataFrame:
+        return written(state.join(product(state.select(*row, (F.col("r") / F.col("d")).alias("u"))), row))
+
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    size = gap.groupBy(*key, "h").agg(F.sum(F.col("v") * F.col("v")).alias("g2"))
+    state = with_product(gap.join(diagonal, [*key, "a"]).join(size, [*key, "h"]).select(
+        *row, "d", F.col("v").alias("g"), "g2", zero.alias("x"), F.col("v").alias("r"), zero.alias("p"), zero.alias("s"), none.alias("gamma"), none.alias("alpha")))
+
+    def step(state: DataFrame) -> DataFrame:
+        u = F.col("r") / F.col("d")
+        sums = state.groupBy(*key, "h").agg(F.sum(F.col("r") * u).alias("new"), F.sum(F.col("w") * u).alias("delta"), F.sum(F.col("r") * F.col("r")).alias("rr"),
+                                            F.first("g2").alias("size2"), F.first("gamma").alias("old"), F.first("alpha").alias("last"))
+        beta = F.when(F.col("old").isNull(), 0.0).otherwise(F.try_divide(F.col("new"), F.col("old")))
+        go = F.try_divide(F.col("new"), F.col("delta") - F.coalesce(beta * F.col("new") / F.col("last"), zero))
+        live = F.col("rr") > F.col("size2") * (tolerance * tolerance)
+        sums = sums.select(*key, "h", "new", beta.alias("beta"), F.when(live, go).alias("go"))
+        p, s = u + F.col("beta") * F.col("p"), F.col("w") + F.col("beta") * F.col("s")
+        moved = lambda new, old: F.when(F.col("go").isNotNull(), new).otherwise(F.col(old)).alias(old)
+        return with_product(state.join(sums, [*key, "h"]).select(
+            *row, "d", "g", "g2", moved(F.col("x") + F.col("go") * p, "x"), moved(F.col("r") - F.col("go") * s, "r"), moved(p, "p"), moved(s, "s"),
+            moved(F.col("new"), "gamma"), moved(F.col("go"), "alpha")))
+
+    def unsolved(state: DataFrame) -> bool:
+        rr = state.groupBy(*key, "h").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.max("g2").alias("g2"))
+        return not rr.where(~(F.col("rr") <= F.col("g2") * (tolerance * tolerance))).isEmpty()
+
+    # as many steps as unknowns are enough but for rounding
+    most = 10 * (diagonal.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) + 10
+    steps, open_ = 0, unsolved(state)
+    while open_:
+        while open_:
+            if steps >= most:
+                raise ValueError(f"reconciliation did not converge to {tolerance} in {most} steps")
+            for _ in range(TEST_EVERY):
+                state = step(state)
+            steps, open_ = steps + TEST_EVERY, unsolved(state)
+        true = product(state.select(*row, F.col("x").alias("u")))
+        state = with_product(state.drop("w").join(true, row, "left").select(
+            *row, "d", "g", "g2", "x", (F.col("g") - F.coalesce("w", zero)).alias("r"), zero.alias("p"), zero.alias("s"), none.alias("gamma"), none.alias("alpha")))
+        open_ = unsolved(state)
+    return state.select(*key, F.col("a").alias("series"), "h", F.col("x").alias("mult"))
 
 
 def shrinkage(base: DataFrame) -> DataFrame:
@@ -239,33 +265,56 @@ def reconcile(base: DataFrame, methods: tuple[str, ...] = ("ols", "wls_struct",
         both = spread(total, col, 1, F.col("series")).unionByName(spread(one, col, -1, F.col("a")))
         return both.groupBy("method", "origin", "a", "i").agg(F.sum("x").alias("x"), F.max("c").alias("c"))
 
-    g = gaps("forecast").select("method", "origin", F.lit("g").alias("kind"), "a", F.lit("").alias("b"), (F.col("i") + 1).alias("h"), F.col("x").alias("v"))
+    g = written(gaps("forecast").select("method", "origin", "a", (F.col("i") + 1).alias("h"), F.col("x").alias("v")))
     # a cell has four totals, so sixteen pairs whatever the size of a total
-    pairs = one.select("method", "origin", "a", F.explode("_tot").alias("b"), "w").groupBy("method", "origin", "a", "b").agg(F.sum("w").alias("v"))
-    own = total.select("method", "origin", F.col("series").alias("a"), F.col("series").alias("b"), F.col("w").alias("v"))
-    z = gaps("residual").where("c > 0")
-    low = z.select("method", "origin", F.lit("z").alias("kind"), "a", F.lit("").alias("b"), F.col("i").alias("h"),
-                   (F.sqrt("c") * F.col("x")).alias("v"))
-    k = pairs.unionByName(own).groupBy("method", "origin", "a", "b").agg(F.sum("v").alias("v"))
-    system = (k.select("method", "origin", F.lit("k").alias("kind"), "a", "b", F.lit(0).alias("h"), "v")
-              .unionByName(g).unionByName(low))
-    # one group per (method, origin); its size is the number of totals squared, not the number of cells
-    mult = system.groupBy("method", "origin").applyInPandas(
-        _solve_group, "method string, origin int, series string, h int, mult double")
+    pairs = one.select("method", "origin", "a", F.explode("_tot").alias("b"), "w")
+    own = total.select("method", "origin", F.col("series").alias("a"), F.col("series").alias("b"), "w")
+    matrix = written(pairs.unionByName(own).groupBy("method", "origin", "a", "b").agg(F.sum("w").alias("v")))
+    low = None
+    if "mint_shrink" in methods:
+        z = written(gaps("residual").where("c > 0"))
+        low = z.select("method", "origin", "a", "i", (F.sqrt("c") * F.col("x")).alias("v"))
+    mult = solve_totals(matrix, low, g)
     moved = (cell.select("method", "origin", F.col("series").alias("cell"), F.explode("_tot").alias("series"), "w")
              .join(mult, ["method", "origin", "series"]).groupBy("method", "origin", "cell", "h")
              .agg(F.sum(F.col("w") * F.col("mult")).alias("_d")))
-    u = (z.select("method", "origin", F.col("a").alias("series"), "i", "x").join(mult, ["method", "origin", "series"])
-         .groupBy("method", "origin", "h", "i").agg(F.sum(F.col("x") * F.col("mult")).alias("u")))
-    pull = (cell.where("c > 0").select("method", "origin", F.col("series").alias("cell"), "c", F.posexplode("residual").alias("i", "x"))
-            .join(u, ["method", "origin", "i"]).groupBy("method", "origin", "cell", "h")
-            .agg(F.sum(F.col("c") * F.col("x") * F.col("u")).alias("_p")))
     start = cell.select("method", "origin", F.col("series").alias("cell"), *CELL, "last_year", F.posexplode("forecast").alias("_i", "value")
                         ).withColumn("h", F.col("_i") + 1)
-    done = (start.join(moved, ["method", "origin", "cell", "h"], "left").join(pull, ["method", "origin", "cell", "h"], "left")
-            .withColumn("value", F.col("value") + F.coalesce("_d", F.lit(0.0)) - F.coalesce("_p", F.lit(0.0)))
-            .withColumn("year", F.col("last_year") + F.col("h")))
-    return all_series(done, ("method", "origin", "h", "year"))
+    done = start.join(moved, ["method", "origin", "cell", "h"], "left").withColumn("value", F.col("value") + F.coalesce("_d", F.lit(0.0)))
+    if low is not None:
+        u = (z.select("method", "origin", F.col("a").alias("series"), "i", "x").join(mult, ["method", "origin", "series"])
+             .groupBy("method", "origin", "h", "i").agg(F.sum(F.col("x") * F.col("mult")).alias("u")))
+        pull = (cell.where("c > 0").select("method", "origin", F.col("series").alias("cell"), "c", F.posexplode("residual").alias("i", "x"))
+                .join(u, ["method", "origin", "i"]).groupBy("method", "origin", "cell", "h")
+                .agg(F.sum(F.col("c") * F.col("x") * F.col("u")).alias("_p")))
+        done = done.join(pull, ["method", "origin", "cell", "h"], "left").withColumn("value", F.col("value") - F.coalesce("_p", F.lit(0.0)))
+    return all_series(done.withColumn("year", F.col("last_year") + F.col("h")), ("method", "origin", "h", "year"))
+
+
+def reconciliation_check(base: DataFrame, coherent: DataFrame, weights: str) -> DataFrame:
+    """How far reconciled forecasts are from the least-squares answer, per (origin, h): both figures are zero for it alone.
+
+    ``gap`` is the largest difference of a total and the sum of its cells; ``residual`` the largest entry of
+    S' W^-1 (base - coherent) over cells, relative to the largest forecast. ``weights`` is ols, wls_struct or wls_var.
+    """
+    by = ["origin", "series"]
+    members = split_cells(base).select("origin", "series", F.explode(membership(True)).alias("_s"))
+    size = members.groupBy("origin", F.col("_s.series").alias("series")).agg(F.count("*").cast("double").alias("_size"))
+    var = F.aggregate("residual", F.lit(0.0), lambda s, x: s + x * x) / F.size("residual")
+    w = {"ols": F.lit(1.0), "wls_struct": F.coalesce("_size", F.lit(1.0)), "wls_var": F.greatest(var, F.lit(1e-9))}[weights]
+    long = base.join(size, by, "left").select("origin", "series", "level", w.alias("w"), F.posexplode("forecast").alias("_i", "was")).select(
+        "origin", "series", "level", "w", (F.col("_i") + 1).alias("h"), "was")
+    both = long.join(coherent.select("origin", "series", "h", F.col("value").alias("now")), [*by, "h"])
+    cells = split_cells(both).withColumn("_tot", F.transform(membership(True), lambda s: s["series"]))
+    parts = cells.select("origin", "h", F.explode("_tot").alias("series"), "now").groupBy("origin", "h", "series").agg(F.sum("now").alias("parts"))
+    gap = (both.where("level <> 'cell'").join(parts, ["origin", "h", "series"]).groupBy("origin", "h")
+           .agg(F.max(F.abs(F.col("now") - F.col("parts"))).alias("gap"), F.max(F.abs("was")).alias("scale"), F.count("*").alias("totals")))
+    pull = both.select("origin", "h", "series", ((F.col("was") - F.col("now")) / F.col("w")).alias("pull"))
+    up = cells.select("origin", "h", F.col("series").alias("cell"), "w", F.explode(F.concat("_tot", F.array("series"))).alias("series"))
+    sums = up.join(pull, ["origin", "h", "series"]).groupBy("origin", "h", "cell").agg(F.sum("pull").alias("sum"), F.max("w").alias("w"))
+    worst = sums.groupBy("origin", "h").agg(F.max(F.abs(F.col("sum")) * F.least("w", F.lit(1.0))).alias("residual"), F.count("*").alias("cells"))
+    return gap.join(worst, ["origin", "h"]).select("origin", "h", "totals", "cells", (F.col("gap") / F.greatest("scale", F.lit(1e-9))).alias("gap"),
+                                                   (F.col("residual") / F.greatest("scale", F.lit(1e-9))).alias("residual"))
 
 
 def wape_by(errors: DataFrame, by: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import average_ranks, ordered_scan
+from ..functions.ordered import average_ranks, first_rows, ordered_scan
 
 
 def _c(col: Column | str) -> Column:
@@ -88,18 +88,51 @@ def dm_hln(df: DataFrame, by: list[str], order: str, loss_a: str, loss_b: str, h
     return out.select(*by, "n", F.when((n >= 4) & (F.col("_big") > 1e-8), stat).alias("stat"))
 
 
-def t_tail(stat: float | None, df: int) -> float | None:
-    """Two-sided Student-t p-value of one statistic, by Simpson's rule on the density."""
-    if stat is None or df < 1 or math.isnan(stat):
-        return None
-    norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
-    x, n = abs(stat), 2000
-    step = x / n
-    total = 0.0
-    for i in range(n + 1):
-        weight = 1 if i in (0, n) else 4 if i % 2 else 2
-        total += weight * (1 + (i * step) ** 2 / df) ** (-(df + 1) / 2)
-    return max(0.0, 1 - 2 * norm * total * step / 3)
+# ---- fixed values: coefficients of the Lanczos approximation of the gamma function (g = 7) ----
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+           12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+# ---- end of fixed values ----
+FRACTION_STEPS = 200
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x of at least 0.5, in the JVM."""
+    z, series = x - 1, F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        series = series + F.lit(c) / (z + i)
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+
+def beta_share(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    tiny = F.lit(1e-300)
+
+    def fraction(p: Column, q: Column, u: Column) -> Column:
+        def held(v: Column) -> Column:
+            return F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+        def term(s: Column, k: Column) -> Column:
+            # even and odd terms of the fraction in turn; c and d are the two running ratios, h the value so far
+            m = F.floor(k / 2)
+            even = m * (q - m) * u / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * u / ((p + 2 * m) * (p + 2 * m + 1))
+            n = F.when(k % 2 == 0, even).otherwise(odd)
+            d, c = 1 / held(1 + n * s["d"]), held(1 + n / s["c"])
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+        start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(2 * FRACTION_STEPS)), start, term, lambda s: 1 / s["h"])
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    direct = front * fraction(a, b, x) / a
+    mirrored = 1 - front * fraction(b, a, 1 - x) / b
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
+
+
+def t_p_value(stat, df) -> Column:
+    """Two-sided Student-t p-value of a statistic as a Column; null without a statistic or a degree of freedom."""
+    t, v = _c(stat).cast("double"), _c(df).cast("double")
+    p = beta_share(v / 2, F.lit(0.5), v / (v + t * t))
+    return F.when(t.isNotNull() & ~F.isnan(t) & (v >= 1), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def ece_bins(df: DataFrame, by: list[str], label: str, prob: str, bins: int = 10) -> DataFrame:
@@ -131,19 +164,11 @@ def top_share_hit_rate(df: DataFrame, unit: str, predicted: str, actual: str, to
     One row per unit. Ties at the edge go by unit number, or by the hash of a unit name.
     """
     n = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * top, 0)).cast("bigint")).scalar()
-
-    key = unit if dict(df.dtypes)[unit] in ("int", "bigint", "double") else None
+    key = F.col(unit) if dict(df.dtypes)[unit] in ("int", "bigint", "double") else F.xxhash64(unit)
 
     def first_k(col: str, mark: str) -> DataFrame:
-        groups = df.groupBy(col).agg(F.count("*").alias("_n")).withColumn("_neg", -F.col(col))
-        scan = ordered_scan(groups, [], "_neg", {"_before": "_n"}).where(F.col("_before") < n).select(col, "_before", "_n")
-        rows = df.select(unit, col).join(scan, col)
-        # values wholly inside need no order; only the one tied value at the edge is scanned unit by unit
-        whole = rows.where(F.col("_before") + F.col("_n") <= n).select(unit)
-        edge = (rows.where(F.col("_before") + F.col("_n") > n)
-                .withColumns({"_key": F.col(key) if key else F.xxhash64(unit), "_one": F.lit(1)}))
-        edge = ordered_scan(edge, [], "_key", {"_rank": "_one"}).where(F.col("_before") + F.col("_rank") < n).select(unit)
-        return whole.unionByName(edge).withColumn(mark, F.lit(True))
+        ranked = df.where(F.col(col).isNotNull()).select(unit, (-F.col(col)).alias("_neg"), key.alias("_key"))
+        return first_rows(ranked, ["_neg", "_key"], n).select(unit).withColumn(mark, F.lit(True))
 
     hits = first_k(actual, "_a").join(first_k(predicted, "_p"), unit, "left")
     return hits.agg(F.count("*").alias("k"), F.count_if(F.col("_p")).alias("hits"),

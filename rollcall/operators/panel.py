@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import ensure_checkpoint_dir, hash_unit, inline_table, with_small_table
-from .metrics import auc, diebold_mariano, mape, rmse
+from .metrics import auc, diebold_mariano, mape, rmse, t_p_value
 
 RULE_EXITS = ("retirement", "death")
 
@@ -161,14 +161,15 @@ def hazard_backtest(panel: DataFrame, scored: DataFrame, models: list[str]) -> D
 
 
 def backtest_scores(cells: DataFrame, models: list[str], baseline: str) -> DataFrame:
-    """MAPE, RMSE and the Diebold-Mariano statistic against the baseline, one row per model."""
+    """MAPE, RMSE and the Diebold-Mariano statistic against the baseline with its p-value, one row per model."""
     rows = [F.struct(F.lit(m).alias("model"), F.col(m).alias("pred"), F.col(baseline).alias("base")) for m in models]
     long = cells.select("actual", "other", F.explode(F.array(*rows)).alias("r")).select("actual", "other", "r.*")
     total = F.col("actual") + F.col("other")
-    return long.groupBy("model").agg(
+    scores = long.groupBy("model").agg(
         mape("actual", "pred").alias("separations_mape"), rmse("actual", "pred").alias("separations_rmse"),
         mape(total, F.col("pred") + F.col("other")).alias("all_exits_mape"),
-        diebold_mariano(F.col("base") - F.col("actual"), F.col("pred") - F.col("actual")).alias("dm_vs_baseline"))
+        diebold_mariano(F.col("base") - F.col("actual"), F.col("pred") - F.col("actual")).alias("dm_vs_baseline"), F.count("*").alias("_n"))
+    return scores.withColumn("p_value", t_p_value("dm_vs_baseline", F.col("_n") - 1)).drop("_n")
 
 
 def model_auc(scored: DataFrame, models: list[str]) -> DataFrame:

@@ -151,19 +151,75 @@ def actual_exits(panel: DataFrame, staff: DataFrame, origin: Column, level: list
     return later.groupBy(*level, (F.col("year") - origin - 1).alias("t")).agg(F.count("*").alias("actual"))
 
 
+def _substrings(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, gram): every distinct run of ``size`` characters, and every shorter one."""
+    n = F.length(key)
+
+    def runs(k: int):
+        every = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.col(key), i, F.lit(k)))
+        return F.when(n >= k, every).otherwise(F.array().cast("array<string>"))
+    held = F.array_distinct(F.flatten(F.array(*[runs(k) for k in range(1, size + 1)])))
+    return df.select(key, F.explode(held).alias("gram"))
+
+
+def containing(inner: DataFrame, outer: DataFrame, a: str, b: str, size: int = 3) -> DataFrame:
+    """Pairs (a, b) of distinct texts where b contains a: joined on one run of characters of a, its rarest among b."""
+    held = _substrings(outer, b, size)
+    seen = held.groupBy("gram").agg(F.count("*").alias("_uses"))
+    n = F.length(a)
+    own = inner.where(n > 0).select(a, F.explode(F.when(n <= size, F.array(F.col(a))).otherwise(
+        F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(F.col(a), i, F.lit(size))))).alias("gram"))
+    # a run that no b has rules its text out, so it counts as the rarest
+    anchor = own.join(seen, "gram", "left").groupBy(a).agg(F.min_by("gram", F.struct(F.coalesce("_uses", F.lit(0)), "gram")).alias("gram"))
+    return anchor.join(held, "gram").where(F.contains(F.col(b), F.col(a))).select(a, b)
+
+
+def similar_spellings(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
+    """Pairs (a, b) of distinct texts with 1 - distance / longer length of at least ``cutoff``, and that figure.
+
+    Texts within d edits share at least L - q + 1 - q d of their runs of q characters, counted with repeats (L: the
+    longer length). So both must have a common run among the first few of each in one order of all runs, rarest first;
+    only such pairs are compared. With q = 1 the bound holds for every cutoff above 0; from 0.7 on q = 2 is sharper.
+    """
+    q = 2 if cutoff >= 0.7 else 1
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        n = F.length(key)
+        runs = df.where(n >= q).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(F.col(key), i, F.lit(q)))).alias("pos", "g"))
+        nth = F.row_number().over(Window.partitionBy(key, "g").orderBy("pos"))          # repeats within one text
+        return runs.select(key, F.concat("g", F.lit("#"), nth.cast("string")).alias("gram"))
+
+    def first_runs(df: DataFrame, key: str, order: DataFrame) -> DataFrame:
+        n = F.length(key)
+        most = F.floor(n / F.lit(cutoff) + 1e-9)
+        shared = F.array_min(F.transform(F.sequence(n.cast("bigint"), most), lambda m: m - (q - 1) - q * F.floor((1 - cutoff) * m + 1e-9)))
+        place = F.row_number().over(Window.partitionBy(key).orderBy("_df", "gram"))       # one text's runs
+        return (df.join(order, "gram").withColumn("_at", place)
+                .where(F.col("_at") <= n - (q - 1) - F.greatest(shared, F.lit(1)) + 1).select(key, "gram"))
+    ga, gb = grams(left, a), grams(right, b)
+    order = ga.select("gram").unionAll(gb.select("gram")).groupBy("gram").agg(F.count("*").alias("_df"))
+    longer = F.greatest(F.length(a), F.length(b))
+    fits = F.abs(F.length(a) - F.length(b)) <= (1 - cutoff) * longer + 1e-9
+    near = 1 - F.levenshtein(a, b) / longer
+    return (first_runs(ga, a, order).join(first_runs(gb, b, order), "gram").where(fits).select(a, b).distinct()
+            .withColumn("near", near).where(F.col("near") >= cutoff))
+
+
 def match_unit(names: DataFrame, units: DataFrame, name: str, unit: str, cutoff: float = 0.7) -> DataFrame:
     """Unit each written name means: exact, then containing or contained, then the closest spelling.
 
-    Distinct names are matched once. The unit list is a code table of known size, carried as an array.
+    Distinct names are matched once, by joins on equal names, on a rare run of characters, and on rare first runs;
+    names and units are never paired as such. An empty unit matches nothing but an empty name.
     """
-    distinct = names.select(name).distinct()
-    n = F.trim(F.regexp_replace(F.lower(name), "province|ministry of", ""))
-    pairs = with_small_table(distinct.withColumn("_n", n), units.select(unit)).withColumn("_u", F.lower(unit))
-    near = 1 - F.levenshtein("_n", "_u") / F.greatest(F.length("_n"), F.length("_u"), F.lit(1))
-    inside = (F.col("_n") != "") & (F.contains(F.col("_u"), F.col("_n")) | F.contains(F.col("_n"), F.col("_u")))
-    rank = F.when(F.col("_n") == F.col("_u"), 3.0).when(inside, 2.0).when(near >= cutoff, near)
+    clean = F.trim(F.regexp_replace(F.lower(name), "province|ministry of", ""))
+    distinct = names.select(name).distinct().withColumn("_n", clean)
+    listed = units.select(unit, F.lower(unit).alias("_u"))
+    n, u = distinct.select("_n").distinct(), listed.select("_u").distinct()
+    pairs = (n.join(u, F.col("_n") == F.col("_u")).select("_n", "_u", F.lit(3.0).alias("_rank"))
+             .unionAll(containing(n, u, "_n", "_u").withColumn("_rank", F.lit(2.0)))
+             .unionAll(containing(u, n, "_u", "_n").select("_n", "_u", F.lit(2.0)))
+             .unionAll(similar_spellings(n, u, "_n", "_u", cutoff).select("_n", "_u", F.col("near"))))
+    best = pairs.groupBy("_n", "_u").agg(F.max("_rank").alias("_rank")).join(listed, "_u")
     # among equals the first unit in code order wins
-    best = pairs.withColumn("_rank", rank).groupBy(name).agg(
-        F.min_by(F.when(F.col("_rank").isNotNull(), F.col(unit)), F.when(
-            F.col("_rank").isNotNull(), F.struct(-F.col("_rank"), F.col(unit)))).alias("unit"))
-    return best
+    best = best.groupBy("_n").agg(F.min_by(F.col(unit), F.struct(-F.col("_rank"), F.col(unit))).alias("unit"))
+    return distinct.join(best, "_n", "left").select(name, "unit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import ensure_checkpoint_dir
+from ..functions.keys import ensure_checkpoint_dir, written
 from ..operators import hierarchy as H
 from . import settings as S
 from . import views as V
@@ -145,6 +145,32 @@ def reconcile(spark, d):
     return H.reconcile(base, ("ols", "wls_struct", "wls_var"))
 
 
+SHAPE = f"""WITH {YEARLY}, {CUT},
+nn AS (SELECT origin, COUNT(DISTINCT series) FILTER (WHERE level <> 'cell') AS totals, COUNT(DISTINCT series) FILTER (WHERE level = 'cell') AS cells FROM cut GROUP BY 1)
+SELECT method, origin, CAST(h AS INT) AS h, totals, cells, CAST(0 AS DOUBLE) AS gap"""
+
+
+@query("i06_normal_equations", sql("cells", SHAPE + """, CAST(0 AS DOUBLE) AS residual
+FROM nn CROSS JOIN range(1, 4) AS r(h) CROSS JOIN (VALUES ('ols'), ('wls_struct'), ('wls_var')) AS v(method)"""))
+def normal_equations(spark, d):
+    """Totals add up and S' W^-1 (base - coherent) vanishes: only the least-squares answer does both."""
+    _, _, base = base_at_origins(spark, d)
+    methods = ("ols", "wls_struct", "wls_var")
+    coherent = written(H.reconcile(base, methods))
+    out = None
+    for m in methods:
+        c = H.reconciliation_check(base, coherent.where(F.col("method") == m), m).withColumn("method", F.lit(m))
+        out = c if out is None else out.unionByName(c)
+    return out.select("method", "origin", "h", "totals", "cells", F.round("gap", 6).alias("gap"), F.round("residual", 6).alias("residual"))
+
+
+@query("i07_mint_coherence", sql("cells", SHAPE + " FROM nn CROSS JOIN range(1, 4) AS r(h) CROSS JOIN (VALUES ('mint_shrink')) AS v(method)"))
+def mint_coherence(spark, d):
+    _, _, base = base_at_origins(spark, d)
+    c = H.reconciliation_check(base, H.reconcile(base, ("mint_shrink",)), "ols")
+    return c.select(F.lit("mint_shrink").alias("method"), "origin", "h", "totals", "cells", F.round("gap", 6).alias("gap"))
+
+
 @query("i07_mint_shrink")
 def mint(spark, d):
     _, _, base = base_at_origins(spark, d)

@@ -9,7 +9,7 @@ from ..operators import panel as P
 from . import settings as S
 from . import views as V
 from .registry import query
-from .sqlviews import Q_AGE, sql
+from .sqlviews import Q_AGE, sql, t_p_sql
 
 SECTORS = tuple(S.ALLOWANCE)
 ELIGIBLE_SHARE = 0.12
@@ -131,6 +131,19 @@ def scores(spark, d):
     return s.select("model", *[F.round(c, 6).alias(c) for c in ("separations_mape", "separations_rmse", "all_exits_mape")])
 
 
+@query("d09_backtest_p_values", sql("panel", RISK + f""",
+cells AS (SELECT year, sector, SUM(y) AS actual, SUM(cohort_ratio) AS cohort_ratio, SUM((SELECT o FROM overall)) AS overall_mean FROM scored GROUP BY 1, 2),
+e AS (SELECT (cohort_ratio - actual) * (cohort_ratio - actual) - (overall_mean - actual) * (overall_mean - actual) AS d FROM cells),
+s AS (SELECT COUNT(*) AS n, AVG(d) / sqrt(var_samp(d) / COUNT(*)) AS dm FROM e)
+SELECT 'overall_mean' AS model, ROUND(dm, 6) AS dm_vs_baseline, ROUND({t_p_sql('dm', '(n - 1)')}, 6) AS p_value FROM s"""))
+def backtest_p(spark, d):
+    """The mean rate of all against the cohort rates, with the p-value of the difference."""
+    p, train, test = split(spark, d)
+    scored = P.cohort_ratio(train, test).withColumn("overall_mean", train.agg(F.avg("y")).scalar())
+    s = P.backtest_scores(P.hazard_backtest(p, scored, ["cohort_ratio", "overall_mean"]), ["overall_mean"], "cohort_ratio")
+    return s.select("model", F.round("dm_vs_baseline", 6).alias("dm_vs_baseline"), F.round("p_value", 6).alias("p_value"))
+
+
 @query("d09_model_backtest")
 def model_backtest(spark, d):
     p, train, test = split(spark, d, 0.5)

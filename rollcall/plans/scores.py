@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..sources.tables import table
 from .registry import query
-from .sqlviews import sql
+from .sqlviews import sql, t_p_sql
 
 PRED = """WITH p AS (
   SELECT l_returnflag AS model, l_extendedprice / 1000 AS actual, l_quantity * 1.5 AS pred,
@@ -64,6 +64,29 @@ def hln(spark, d):
     return M.dm_hln(m, ["model"], "month", "a", "b", 3).withColumn("stat", F.round("stat", 6))
 
 
+@query("k03_dm_p_values", sql("", PRED + f""",
+e AS (SELECT model, month, (pred - actual) * (pred - actual) - (pred2 - actual) * (pred2 - actual) AS d FROM p),
+s AS (SELECT model, month, COUNT(*) AS n, AVG(d) / sqrt(var_samp(d) / COUNT(*)) AS stat FROM e GROUP BY 1, 2 HAVING COUNT(*) >= 3 AND var_pop(d) > 0)
+SELECT model, month, n, ROUND(stat, 6) AS dm, ROUND({t_p_sql('stat', '(n - 1)')}, 6) AS p_value FROM s"""))
+def dm_p(spark, d):
+    e = M.diebold_mariano(F.col("pred") - F.col("actual"), F.col("pred2") - F.col("actual"))
+    s = predictions(spark, d).groupBy("model", "month").agg(F.count("*").alias("n"), e.alias("dm")).where("dm IS NOT NULL")
+    return s.select("model", "month", "n", F.round("dm", 6).alias("dm"), F.round(M.t_p_value("dm", F.col("n") - 1), 6).alias("p_value"))
+
+
+@query("k04_hln_p_values", sql("", PRED + f""",
+m AS (SELECT model, month, AVG(abs(pred - actual)) AS a, AVG(abs(pred2 - actual)) AS b FROM p GROUP BY 1, 2),
+x AS (SELECT model, month, a - b AS d, a - b - AVG(a - b) OVER (PARTITION BY model) AS x FROM m),
+g AS (SELECT *, x * x AS g0, x * LAG(x, 1) OVER w AS g1, x * LAG(x, 2) OVER w AS g2 FROM x WINDOW w AS (PARTITION BY model ORDER BY month)),
+s AS (SELECT model, COUNT(*) AS n, AVG(d) AS m, SUM(g0) AS g0, SUM(g0) + 2 * (SUM(g1) + SUM(g2)) AS gs FROM g GROUP BY 1),
+t AS (SELECT model, n, m / sqrt(CASE WHEN gs <= 0 THEN g0 ELSE gs END / n / n) * sqrt((n + 1 - 6 + 3 * 2 / n) / n) AS stat FROM s)
+SELECT model, n, ROUND({t_p_sql('stat', '(n - 1)')}, 6) AS p_value FROM t"""))
+def hln_p(spark, d):
+    m = predictions(spark, d).groupBy("model", "month").agg(M.mae("actual", "pred").alias("a"), M.mae("actual", "pred2").alias("b"))
+    s = M.dm_hln(m, ["model"], "month", "a", "b", 3)
+    return s.select("model", "n", F.round(M.t_p_value("stat", F.col("n") - 1), 6).alias("p_value"))
+
+
 @query("k05_pinball_coverage", sql("", PRED + """
 SELECT model, ROUND(AVG(GREATEST(0.1 * (actual - pred * 0.6), -0.9 * (actual - pred * 0.6))), 6) AS loss10,
   ROUND(AVG(GREATEST(0.9 * (actual - pred * 1.4), -0.1 * (actual - pred * 1.4))), 6) AS loss90,

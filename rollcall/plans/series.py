@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.keys import ensure_checkpoint_dir
 from ..operators import forecast as FC
 from ..operators import hierarchy as H
+from ..operators import metrics as M_
 from . import views as V
 from .registry import query
-from .sqlviews import sql
+from .sqlviews import sql, t_p_sql
 
 RATES = ["real_growth", "inflation"]
 
@@ -95,6 +96,35 @@ def ma(spark, d):
     return FC.ma_grid(tasks).select("series", "origin", "model", "phi", "theta", "aic", "q50")
 
 
+LAGS = """
+lg AS (SELECT series, origin, t, value AS y0, LAG(value, 1) OVER w AS y1, LAG(value, 2) OVER w AS y2, ROW_NUMBER() OVER w AS i,
+    value - AVG(value) OVER (PARTITION BY series, origin) AS x, COUNT(*) OVER (PARTITION BY series, origin) AS n FROM ctx WINDOW w AS (PARTITION BY series, origin ORDER BY t)),
+mo AS (SELECT series, origin, COUNT(*) AS m, AVG(y0) AS m0, AVG(y1) AS m1, AVG(y2) AS m2, covar_pop(y0, y0) * COUNT(*) AS s00, covar_pop(y0, y1) * COUNT(*) AS s01, covar_pop(y0, y2) * COUNT(*) AS s02,
+    covar_pop(y1, y1) * COUNT(*) AS s11, covar_pop(y1, y2) * COUNT(*) AS s12, covar_pop(y2, y2) * COUNT(*) AS s22, SUM((y0 - y1) * (y0 - y1)) AS d00, SUM((y0 - y1) * (y1 - y2)) AS dd,
+    SUM((y1 - y2) * (y1 - y2)) AS d11 FROM lg WHERE i >= 3 AND n >= 6 GROUP BY 1, 2),
+b AS (SELECT *, s01 / s11 AS a1, (s01 * s22 - s02 * s12) / (s11 * s22 - s12 * s12) AS b1, (s02 * s11 - s01 * s12) / (s11 * s22 - s12 * s12) AS b2, dd / d11 AS g FROM mo),
+gr AS (SELECT ROUND(-0.9 + 0.1 * i, 1) AS v FROM range(0, 19) AS r(i)),
+"""
+CHOICE = f"""WITH RECURSIVE {TASKS}, {LAGS}
+sh AS (SELECT series, origin, p.v AS phi, q.v AS theta, i, n, x AS prev, x - p.v * (y1 - (y0 - x)) AS e, CAST(0 AS DOUBLE) AS sse, y0 - y1 - q.v * 0 AS de, CAST(0 AS DOUBLE) AS dsse
+    FROM lg CROSS JOIN gr p CROSS JOIN gr q WHERE i = 2 AND n >= 6
+  UNION ALL SELECT s.series, s.origin, phi, theta, l.i, s.n, l.x, l.x - phi * prev - theta * e, sse + (l.x - phi * prev - theta * e) * (l.x - phi * prev - theta * e),
+    l.y0 - l.y1 - theta * de, dsse + (l.y0 - l.y1 - theta * de) * (l.y0 - l.y1 - theta * de)
+    FROM sh s JOIN lg l ON l.series = s.series AND l.origin = s.origin AND l.i = s.i + 1),
+cand AS (SELECT series, origin, 1 AS o, 'ar1' AS model, m * ln(GREATEST((s00 - a1 * s01) / m, 1e-12)) + 6 AS aic FROM b
+  UNION ALL SELECT series, origin, 2, 'ar2', m * ln(GREATEST((s00 - b1 * s01 - b2 * s02) / m, 1e-12)) + 8 FROM b
+  UNION ALL SELECT series, origin, 3, 'ari11', m * ln(GREATEST((d00 - g * dd) / m, 1e-12)) + 4 FROM b
+  UNION ALL SELECT series, origin, 4, 'arma11', MIN((n - 2) * ln(GREATEST(sse / (n - 2), 1e-12)) + 8) FROM sh WHERE i = n GROUP BY 1, 2
+  UNION ALL SELECT series, origin, 5, 'ima011', MIN((n - 2) * ln(GREATEST(dsse / (n - 2), 1e-12)) + 4) FROM sh WHERE i = n GROUP BY 1, 2)
+SELECT series, origin, model, ROUND(aic, 5) AS aic, ROW_NUMBER() OVER (PARTITION BY series, origin ORDER BY ROUND(aic, 8), o) = 1 AS chosen FROM cand"""
+
+
+@query("h04_model_table", sql("macro", CHOICE))
+def model_table(spark, d):
+    t = FC.model_table(FC.rolling_tasks(actuals(spark, d), ["series"]), ["series"])
+    return t.select("series", "origin", "model", F.round("aic", 5).alias("aic"), "chosen")
+
+
 SAME = M + """,
 tr AS (SELECT f.series, f.h, f.model, f.q50, m.value AS actual FROM fc f JOIN ends e ON e.series = f.series AND f.origin = e.b - 8
   JOIN macro m ON m.series = f.series AND m.t = f.t WHERE f.h <= 8),
@@ -178,6 +208,19 @@ def rolling_dm(spark, d):
     return FC.rolling_dm(FC.rolling_rows(f, a), "linear_trend", "naive").withColumn("stat", F.round("stat", 5))
 
 
+@query("h10_dm_p_values", sql("macro", ROLL + f""",
+po AS (SELECT series, origin, AVG(abs_err) FILTER (WHERE model = 'linear_trend') AS a, AVG(abs_err) FILTER (WHERE model = 'naive') AS b FROM rr GROUP BY 1, 2),
+x AS (SELECT series, origin, a - b AS d, a - b - AVG(a - b) OVER (PARTITION BY series) AS x FROM po),
+g AS (SELECT *, x * LAG(x, 1) OVER w AS g1, x * LAG(x, 2) OVER w AS g2, x * LAG(x, 3) OVER w AS g3, x * LAG(x, 4) OVER w AS g4 FROM x WINDOW w AS (PARTITION BY series ORDER BY origin)),
+s AS (SELECT series, COUNT(*) AS n, AVG(d) AS m, SUM(x * x) AS g0, SUM(x * x) + 2 * (SUM(g1) + SUM(g2) + SUM(g3) + SUM(g4)) AS gs FROM g GROUP BY 1),
+t AS (SELECT series, n, m / sqrt(CASE WHEN gs <= 0 THEN g0 ELSE gs END / n / n) * sqrt((n + 1 - 10 + 5 * 4 / n) / n) AS stat FROM s)
+SELECT series, n, ROUND({t_p_sql('stat', '(n - 1)')}, 6) AS p_value FROM t"""))
+def rolling_p(spark, d):
+    a, _, f = rolling(spark, d)
+    s = FC.rolling_dm(FC.rolling_rows(f, a), "linear_trend", "naive")
+    return s.select("series", "n", F.round(M_.t_p_value("stat", F.col("n") - 1), 6).alias("p_value"))
+
+
 @query("h11_overall_scores", sql("macro", ROLL + """,
 rk AS (SELECT *, RANK() OVER (PARTITION BY series ORDER BY ROUND(mae, 9)) + (COUNT(*) OVER (PARTITION BY series, ROUND(mae, 9)) - 1) / 2 AS rk FROM rs)
 SELECT model, ROUND(exp(AVG(ln(rel_mae))), 6) AS rel_mae, ROUND(AVG(coverage_80), 6) AS coverage_80, ROUND(AVG(quantile_loss), 6) AS quantile_loss,

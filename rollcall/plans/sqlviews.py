@@ -172,6 +172,14 @@ life AS (SELECT CAST(a AS INT) AS age, {Q_AGE} AS qx FROM range({S.LIFE['last_ag
 }
 
 
+def t_p_sql(stat: str, df: str) -> str:
+    """Two-sided Student-t p-value in DuckDB, by Simpson's rule over the angle of the statistic."""
+    angle = f"atan(abs({stat}) / sqrt({df}))"
+    weights = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, 2001), lambda i: {weights} * pow(cos({angle} * i / 2000), {df} - 1)))"
+    return f"GREATEST(0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {angle} / 6000 * {area})"
+
+
 def sql(views: str | list[str], body: str) -> str:
     """A full statement: the named views, then ``body`` (a SELECT, or WITH ctes SELECT)."""
     names = views.split() if isinstance(views, str) else views
