@@ -70,8 +70,9 @@ s AS (SELECT model, month, COUNT(*) AS n, AVG(d) / sqrt(var_samp(d) / COUNT(*))
 SELECT model, month, n, ROUND(stat, 6) AS dm, ROUND({t_p_sql('stat', '(n - 1)')}, 6) AS p_value FROM s"""))
 def dm_p(spark, d):
     e = M.diebold_mariano(F.col("pred") - F.col("actual"), F.col("pred2") - F.col("actual"))
-    s = predictions(spark, d).groupBy("model", "month").agg(F.count("*").alias("n"), e.alias("dm")).where("dm IS NOT NULL")
-    return s.select("model", "month", "n", F.round("dm", 6).alias("dm"), F.round(M.t_p_value("dm", F.col("n") - 1), 6).alias("p_value"))
+    s = predictions(spark, d).groupBy("model", "month").agg(F.count("*").alias("n"), e.alias("stat")).where("stat IS NOT NULL")
+    s = s.withColumn("p_value", M.t_p_value("stat", F.col("n") - 1))
+    return s.select("model", "month", "n", F.round("stat", 6).alias("dm"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("k04_hln_p_values", sql("", PRED + f""",
