@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, rows, stored
 
-SAMPLE, BRANCHES, LEAF_ROWS, ROUNDS = 1 << 16, 12, 24, 8
+SAMPLE, BRANCHES, LEAF_ROWS, ROUNDS = 1 << 16, 8, 160, 8
 BLOCK, KEY_ROWS, PROBE = 128, 4096, 64
 CALIBRATION, RECALL = 256, 0.95
 HELD = 1 << 19                     # candidates a task holds before it keeps the best k of each query
@@ -180,10 +180,13 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL,
     sample = [np.array(r.vector) for r in table.where(drawn).select("vector").toLocalIterator()]
     tree = spark.sparkContext.broadcast(Tree(np.array(sample or [table.first().vector])))
 
+    # vectors travel in their own precision; sums are in double precision
+    sent = "<f4" if dict(df.select(vector_col).dtypes)[vector_col] == "array<float>" else "<f8"
+
     def to_leaves(batches):
         for held in _matrices(batches):
             for leaf, r in zip(tree.value.assign(held[1]).tolist(), held[0]):
-                yield leaf, r[0], r[1], r[2], np.array(r[3], "<f8").tobytes()
+                yield leaf, r[0], r[1], r[2], np.array(r[3], sent).tobytes()
     index = stored(arrow_map(table.select("row", "vec_id", "query", "vector"), to_leaves,
                              "leaf int, row bigint, vec_id bigint, query boolean, vector binary"))
     counts = np.zeros(tree.value.leaves, np.int64)
@@ -191,7 +194,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL,
         counts[r["leaf"]] = r["count"]
     keys = np.maximum(1, -(-counts // KEY_ROWS))
 
-    visits = calibrate(index, tree, k, recall)
+    visits = calibrate(index, tree, k, recall, sent)
     # one row for each leaf with several keys: bounded by the tree
     split = spark.createDataFrame([(i, int(n)) for i, n in enumerate(keys) if n > 1] or [(-1, 1)], "leaf int, keys int")
     part = F.pmod(F.col("row"), F.coalesce("keys", F.lit(1))).cast("int").alias("part")
@@ -218,7 +221,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL,
             asked: dict[int, list[tuple]] = {}
             for q in queries:
                 found = 0
-                for i, leaf in enumerate(tree.value.best_first(np.frombuffer(q[2]))):
+                for i, leaf in enumerate(tree.value.best_first(_vectors(q[2], sent, 1)[0])):
                     if i >= visits and found > k:
                         break
                     found += int(counts[leaf])
@@ -236,7 +239,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL,
         kept = Kept(k)
         for r, i, v, qr, qi, q in rows(batches, 16):
             r, i, qr, qi = (np.frombuffer(x, "<i8") for x in (r, i, qr, qi))
-            v, q = np.frombuffer(v).reshape(len(r), -1), np.frombuffer(q).reshape(len(qr), -1)
+            v, q = _vectors(v, sent, len(r)), _vectors(q, sent, len(qr))
             a, b, s = products(v, i, r, q, qr, k)
             kept.add(qr[a], qi[a], s, i[b], r[b])
         yield from kept.rows()
@@ -248,24 +251,23 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL,
             .select(shown("query_id"), "rank", shown("vec_id"), "score"))
 
 
-def calibrate(index: DataFrame, tree, k: int, recall: float) -> int:
+def calibrate(index: DataFrame, tree, k: int, recall: float, sent: str) -> int:
     """The number of leaf visits at which bounded calibration queries find this share of their true neighbours."""
     wanted = index.where("query")
     total = wanted.count()
     if not total:
         return 1
     drawn = F.pmod(F.xxhash64("row", F.lit(29)), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * min(1.0, CALIBRATION / total)))
-    asked = [(r["row"], np.frombuffer(bytes(r["vector"]))) for r in wanted.where(drawn).select("row", "vector").collect()]
-    if not asked:
-        asked = [(r["row"], np.frombuffer(bytes(r["vector"]))) for r in wanted.select("row", "vector").limit(CALIBRATION).collect()]
-    sent = index.sparkSession.sparkContext.broadcast((np.array([a for a, _ in asked]), np.array([v for _, v in asked])))
+    chosen = wanted.where(drawn).select("row", "vector").collect() or wanted.select("row", "vector").limit(CALIBRATION).collect()
+    asked = [(r["row"], _vectors(bytes(r["vector"]), sent, 1)[0]) for r in chosen]
+    queries_of = index.sparkSession.sparkContext.broadcast((np.array([a for a, _ in asked]), np.array([v for _, v in asked])))
 
     def scan(batches):
-        query_rows, queries = sent.value
+        query_rows, queries = queries_of.value
         kept = Kept(k)
         for held in _chunks(rows(batches), 2048):
             leaf, r, i = (np.array([h[j] for h in held], np.int64) for j in range(3))
-            a, b, s = products(np.array([np.frombuffer(h[3]) for h in held]), i, r, queries, query_rows, k)
+            a, b, s = products(_vectors(b"".join(h[3] for h in held), sent, len(held)), i, r, queries, query_rows, k)
             kept.add(query_rows[a], query_rows[a], s, i[b], leaf[b])
         yield from kept.rows()
     place = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"), "extra")
@@ -289,6 +291,10 @@ def _packed(numbers: list) -> bytes:
     return np.array([NULL_ID if x is None else x for x in numbers], "<i8").tobytes()
 
 
+def _vectors(data: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(n, -1).astype(np.float64)
+
+
 def _chunks(items, size: int) -> Iterator[list]:
     held = []
     for x in items:
