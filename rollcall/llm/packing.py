@@ -43,13 +43,16 @@ def cuts(length: int, capacity: int, slack: float = 0.02, least: int = 16) -> li
 
 
 def harmonic_pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, slack: float = 0.02,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: where it lies in its document, and in which sequence at which offset."""
+                  id_col: str = "doc_id", text_col: str = "text", cache_words: int = tokens.CACHE_WORDS, hold: bool = False) -> DataFrame:
+    """A row per piece: where it lies in its document, and in which sequence at which offset.
+
+    ``cache_words`` bounds a worker's caches of word ids; with ``hold`` they last from task to task of this stage.
+    """
     schema = f"{PIECE}, worker int, bin bigint, offset bigint"
 
     def task(batches):
         from pyspark import TaskContext
-        enc, worker, bins = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, worker, bins = tokens.encoder(tokenizer, cache_words), TaskContext.get().partitionId(), 0
         end, open_bins = np.array([end_id], "<u4").tobytes(), {}
         for held in groups(rows(batches), lambda r: len(r[1]) + 16, 1 << 21):
             for (doc, _), data in zip(held, enc.many([t for _, t in held])):
@@ -68,7 +71,8 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                             at += p[2]
                         bins += 1
                         del open_bins[k]
-        enc.forget()
+        if not hold:
+            enc.forget()
         for own in open_bins.values():
             for p in own:
                 yield *p, worker, None, None

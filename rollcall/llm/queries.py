@@ -10,6 +10,7 @@ from . import (chat, decontaminate, fingerprints, jaccard, neighbours, packing,
                token_files, toxicity)
 from .common import shared_dir
 
+CACHE_WORDS = 350_000               # where encoding has the workers for itself
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -31,7 +32,8 @@ def query(name: str, oracle: str | None = None):
 @query("op1_token_files")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2,
+                                  cache_words=CACHE_WORDS, hold=True)
     return token_files.read_token_files(spark, folder)
 
 
@@ -50,7 +52,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_harmonic_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.harmonic_pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return packing.harmonic_pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, cache_words=CACHE_WORDS, hold=True)
 
 
 @query("op5_decontamination")

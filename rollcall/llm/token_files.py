@@ -41,14 +41,17 @@ def _open_fs(folder: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
-                      text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Encode whole texts in ascending document order into token files; returns the manifest with bases."""
+                      text_col: str = "text", shards: int | None = None, cache_words: int = tokens.CACHE_WORDS, hold: bool = False) -> DataFrame:
+    """Encode whole texts in ascending document order into token files; returns the manifest with bases.
+
+    ``cache_words`` bounds a worker's caches; with ``hold`` they last from task to task of this stage.
+    """
     spark = docs.sparkSession
     n = shards or partitions(spark)
 
     def task(batches):
         from pyspark import TaskContext
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, cache_words)
         dtype = np.dtype("<u2" if max(len(enc.closes) - 1, end_id) < 1 << 16 else "<u4")
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, path = _open_fs(folder)
@@ -63,7 +66,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     ends.append(total)
                     ids.append(NO_ID if doc is None else doc)
                 out.write(np.frombuffer(end.join([*made, b""]), "<u4").astype(dtype).tobytes())
-        enc.forget()
+        if not hold:
+            enc.forget()
         for ext, values in (("off", np.array(ends, "<u8")), ("doc", np.array(ids, "<i8"))):
             with store.open_output_stream(f"{part}.{ext}") as out:
                 out.write(values.tobytes())

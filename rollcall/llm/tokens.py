@@ -2,7 +2,12 @@
 
 The vocabulary used here drops white space before merging, so a text's ids are those of its parts between
 blanks and line ends, one after the other. Each distinct part is given to the library once per worker and cache.
-Texts that hold the start of a special token are given to the library whole.
+Texts that hold the start of a special token are given to the library whole. ``check_tokenizer`` refuses tokenizers
+for which parts, closing marks or the case of ASCII letters do change a neighbour's ids.
+
+Caches have two generations: what was not used while one filled goes with the next, and frequent words stay. A stage
+that holds its caches between tasks learns a frequent word once a worker, not once a task; ``release`` drops them
+when the worker's next task is another operator's.
 """
 
 from __future__ import annotations
@@ -15,13 +20,49 @@ import numpy as np
 
 from .common import worker_state
 
-CACHE_WORDS, CACHE_CORES = 350_000, 150_000
+CACHE_WORDS = 120_000               # words of a generation; two generations of words and two of their cores are held
+MARKS = ".,;:!?"
+
+
+class Recent(dict):
+    """A dict of two generations: an entry found in the older one moves to this one."""
+
+    def __init__(self, most: int, old: dict | None = None):
+        super().__init__()
+        self.most, self.old = most, old or {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def held(self, key) -> bool:
+        return key in self or key in self.old
+
+    def aged(self) -> Recent:
+        """This cache, or an empty one with this as the older generation, once it is full."""
+        if len(self) <= self.most:
+            return self
+        self.old = {}
+        return Recent(self.most, self)
+
+
+def check_tokenizer(lib) -> None:
+    """Fail unless texts fall apart at blanks, line ends and closing marks, and ASCII letters have no case."""
+    def ids(text):
+        return lib.encode(text, add_special_tokens=False).ids
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    fine = ids("ab  cd\nef ") == ids("ab") + ids("cd") + ids("ef") and all(ids(f"x{c.upper()}") == ids(f"x{c}") for c in letters)
+    for mark in MARKS:
+        fine = fine and ids(f"ab{mark}{mark} cd") == ids("ab") + ids(mark * 2) + ids("cd") and all(
+            ids(f"x{c}{mark}") == ids(f"x{c}") + ids(mark) for c in letters)
+    if not fine:
+        raise ValueError("this tokenizer does not cut texts at blanks, line ends and closing marks, or has cased letters")
 
 
 class WordEncoder:
     """ids(text) -> little-endian unsigned 32-bit ids of the text, without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
@@ -32,8 +73,19 @@ class WordEncoder:
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        check_tokenizer(self.lib)
+        self.words, self.ends_in_letter = words, {}
+        self.forget()
+
+    def _letter_end(self, core: str) -> bool:
+        """Whether a word still ends in a letter after normalisation, which may end it in a combining mark."""
+        c = core[-1]
+        if c.isascii():
+            return c.isalpha()
+        if c not in self.ends_in_letter:
+            made = self.lib.normalizer.normalize_str("x" + c) if self.lib.normalizer else c
+            self.ends_in_letter[c] = c.isalpha() and made[-1:].isalpha()
+        return self.ends_in_letter[c]
 
     def _encode(self, words: list[str]) -> None:
         """Distinct parts: words of letters in one text, each ending in one closing id; others one by one."""
@@ -57,8 +109,8 @@ class WordEncoder:
         cores, split, new = self.cores, [], set()
         for p in parts:
             low = p.lower() if p.isascii() else p   # ASCII case and closing marks never change a neighbour's ids
-            core = low.rstrip(".,;:!?")
-            if core is low or len(core) == len(low) or not core or not core[-1].isalpha():
+            core = low.rstrip(MARKS)
+            if core is low or len(core) == len(low) or not core or not self._letter_end(core):
                 split.append((p, low, ""))
                 new.add(low)
             else:
@@ -66,37 +118,35 @@ class WordEncoder:
                 split.append((p, core, tail))
                 new.add(core)
                 new.add(tail)
-        self._encode([c for c in new if c not in cores])
+        self._encode([c for c in new if not cores.held(c)])
         self.known.update([(p, cores[c] + cores[t] if t else cores[c]) for p, c, t in split])
 
     def many(self, some: list[str]) -> list[bytes]:
         """Ids of each text; call it with some megabytes of text at a time."""
         parts = [None if self.special.search(t) else t.replace("\n", " ").split(" ") for t in some]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        if len(self.cores) > CACHE_CORES:
-            self.cores = {}
+        self.known, self.cores = self.known.aged(), self.cores.aged()
         new = set()
         for p in parts:
             if p:
                 new.update(p)
-        new = {w for w in new if w not in self.known}
+        known, old = self.known, self.known.old
+        new = {w for w in new if w not in known and w not in old}
         if new:
             self._learn(new)
-        known = self.known
         return [b"".join(map(known.__getitem__, p)) if p is not None else self.whole(t) for t, p in zip(some, parts)]
 
     def forget(self) -> None:
         """Give the caches' memory back; the next task may be another operator's."""
-        self.known, self.cores = {"": b""}, {}
+        self.known, self.cores = Recent(self.words, {"": b""}), Recent(self.words)
+        self.known[""] = b""
 
     def whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, words: int = CACHE_WORDS) -> WordEncoder:
     """The encoder of this Python worker."""
     held = worker_state().setdefault("encoders", {})
-    if path not in held:
-        held[path] = WordEncoder(path)
-    return held[path]
+    if (path, words) not in held:
+        held[path, words] = WordEncoder(path, words)
+    return held[path, words]

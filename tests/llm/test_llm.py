@@ -64,6 +64,36 @@ def test_token_files_round_trip(spark, docs, none):
     assert token_files.read_token_files(spark, folder).count() == 0
 
 
+def test_marks_after_every_letter():
+    """Words that end in any letter, before each closing mark, as the library has them; caches that turn over."""
+    from tokenizers import Tokenizer
+
+    from rollcall.llm import tokens
+    lib = Tokenizer.from_file(WORD)
+    enc = tokens.WordEncoder(WORD, words=5000)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    for mark in tokens.MARKS:
+        some = [f"x{c}{mark}" for c in letters]
+        want = [e.ids for e in lib.encode_batch_fast(some, add_special_tokens=False)]
+        got = []
+        for at in range(0, len(some), 3000):
+            got += [np.frombuffer(b, "<u4").tolist() for b in enc.many(some[at:at + 3000])]
+        assert got == want
+        assert len(enc.known) + len(enc.known.old) < 20_000
+    again = ["one two. Three, İ. one"] * 3
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.many(again)] == [lib.encode(again[0], add_special_tokens=False).ids] * 3
+
+
+def test_cased_tokenizers_are_refused():
+    from tokenizers import Tokenizer
+
+    from rollcall.llm import tokens
+    lib = Tokenizer.from_file(WORD)
+    lib.normalizer = None
+    with pytest.raises(ValueError, match="does not cut"):
+        tokens.check_tokenizer(lib)
+
+
 def test_packing_keeps_every_id_once(docs, none):
     rows = packing.harmonic_pack(docs, WORD, 1).collect()
     ids = collections.defaultdict(list)
