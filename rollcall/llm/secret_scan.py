@@ -28,6 +28,7 @@ import mmap
 import re
 import tempfile
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 MOST_HELD = 4 << 20
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(r"[0-9a-f]{24,}")
-_URL = re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}\S*")
 _URL_CODES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 _RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}")
 # a run of one alphabet, and the run of it that a next line begins with
@@ -59,6 +58,7 @@ _IN_BYTES = {"assign": re.compile(ASSIGN.encode(), re.I), "access": re.compile(A
 _CODES = re.compile(rb"(?:%[0-9A-Fa-f]{2}){1,65536}")
 _ESCAPE_BYTES = re.compile(_ESCAPE.pattern.encode())
 _SPACE = re.compile(rb"\s")
+_SPACE_IN_TEXT = re.compile(r"\s")
 PART = 1 << 20
 SPANS = "array<struct<kind: string, start: int, stop: int, depth: int>>"
 
@@ -74,21 +74,33 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _substituted(part: str, at: int, codes: re.Pattern, decode) -> tuple[str, list[int], list[int]]:
+def _encoded_words(layer: str, codes: re.Pattern, sign: str):
+    """(start, end) of the words with a code, from after an earlier sign that begins none; every character is read once."""
+    at = 0
+    while m := codes.search(layer, at):
+        before = layer[at:m.start()]
+        word = before.rsplit(None, 1)[-1] if before and not before[-1].isspace() else ""
+        start = m.start() - len(word) + word.rfind(sign) + 1
+        stop = _SPACE_IN_TEXT.search(layer, m.end())
+        at = stop.start() if stop else len(layer)
+        yield start, at
+
+
+def _substituted(part: str, at: int, codes: re.Pattern, decode) -> tuple[str, array, array]:
     """A part with its codes decoded, and the place in the layer of each character of the result."""
-    out, starts, ends, last = [], [], [], 0
+    out, starts, ends, last = [], array("q"), array("q"), 0
     for m in codes.finditer(part):
         out.append(part[last:m.start()])
-        starts += range(at + last, at + m.start())
-        ends += range(at + last + 1, at + m.start() + 1)
+        starts.extend(range(at + last, at + m.start()))
+        ends.extend(range(at + last + 1, at + m.start() + 1))
         for s, a, b in decode(m):
             out.append(s)
-            starts += [at + m.start() + a] * len(s)
-            ends += [at + m.start() + b] * len(s)
+            starts.extend([at + m.start() + a] * len(s))
+            ends.extend([at + m.start() + b] * len(s))
         last = m.end()
     out.append(part[last:])
-    starts += range(at + last, at + len(part))
-    ends += range(at + last + 1, at + len(part) + 1)
+    starts.extend(range(at + last, at + len(part)))
+    ends.extend(range(at + last + 1, at + len(part) + 1))
     return "".join(out), starts, ends
 
 
@@ -314,18 +326,18 @@ def scan_text(text: str) -> list[tuple[str, int, int, int]]:
             if not decoded or decoded == layer[a:b]:
                 return
             if starts is not None:
-                first, last = [starts[i] for i in first], [ends[i - 1] for i in last]
+                first, last = array("q", (starts[i] for i in first)), array("q", (ends[i - 1] for i in last))
             mark = (decoded, first[0], last[-1])
             if mark not in seen:
                 seen.add(mark)
                 work.append((decoded, first, last, depth + 1))
 
         if "%" in layer:
-            for m in _URL.finditer(layer):
-                add(*_substituted(m[0], m.start(), _URL_CODES, _url_decoded), *m.span())
+            for a, b in _encoded_words(layer, _URL_CODES, "%"):
+                add(*_substituted(layer[a:b], a, _URL_CODES, _url_decoded), a, b)
         if "\\" in layer:
-            for m in _ESCAPED.finditer(layer):
-                add(*_substituted(m[0], m.start(), _ESCAPE, _escape_decoded), *m.span())
+            for a, b in _encoded_words(layer, _ESCAPE, "\\"):
+                add(*_substituted(layer[a:b], a, _ESCAPE, _escape_decoded), a, b)
         for a, b, kinds in _base64_kinds(layer, depth + 1, fresh):
             for kind, deep in kinds.items():
                 span = (kind, a, b) if starts is None else (kind, starts[a], ends[b - 1])

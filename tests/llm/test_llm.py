@@ -422,3 +422,25 @@ def test_pipeline_stages(spark):
         assert out.columns == columns and {r.doc_id for r in out.collect()} == want
         docs = out
     assert 0 < docs.count() < source.count()
+
+
+def test_long_words_are_decoded_in_linear_time():
+    import time
+    for code, letter in (("%41", "A"), ("\\u0041", "A")):
+        text = "x" * 300_000 + " " + "y" * 300_000 + code + "KIA" + "Z" * 20 + " " + "w" * 300_000
+        start = time.perf_counter()
+        spans = secret_scan.scan_text(text)
+        # the decoded word holds a key: its span is that of the code and what follows, in the text's own places
+        assert [(k, d) for k, _, _, d in spans] == [("access", 1)]
+        assert text[spans[0][1]:spans[0][2]].startswith(code) and time.perf_counter() - start < 20
+
+
+def test_encoded_words_equal_the_pattern():
+    rng = random.Random(1)
+    patterns = [(re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}\S*"), secret_scan._URL_CODES, "%"),
+                (re.compile(r"[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*"), secret_scan._ESCAPE, "\\")]
+    pieces = ["%41", "%", "%z", " ", "\n", " ", "\\u0041", "\\x41", "\\", "u", "a", "　", "\x1c", "%%20"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        for pattern, codes, sign in patterns:
+            assert [m.span() for m in pattern.finditer(text)] == list(secret_scan._encoded_words(text, codes, sign))
