@@ -42,16 +42,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table that is read more than once as Parquet to the shared folder; its lineage ends there."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder of the cluster, which the driver and all executors reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         ensure_checkpoint_dir(spark)
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base}/rollcall-{uuid.uuid4().hex}"
+    return f"{base}/rollcall-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table that is read more than once as Parquet to the shared folder; its lineage ends there."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unpivot_structs(df: DataFrame, keys: list[str], rows: list[Column], names: list[str]) -> DataFrame:

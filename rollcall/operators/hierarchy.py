@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import with_small_table, written
+from ..functions.keys import inline_table, with_small_table, written
 
 CELL = ("sector", "ministry", "province")
 LEVELS = ("national", "sector", "ministry", "province", "cell")
@@ -133,7 +133,7 @@ def top_down(base: DataFrame, history: DataFrame, keys: tuple[str, ...], origin:
     return all_series(cells, keys)
 
 
-TOLERANCE, TEST_EVERY = 1e-10, 4
+TOLERANCE = 1e-10
 
 
 def solve_totals(matrix: DataFrame, low: DataFrame | None, gap: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -142,8 +142,8 @@ def solve_totals(matrix: DataFrame, low: DataFrame | None, gap: DataFrame, toler
     ``matrix`` has the non-zero entries (method, origin, a, b, v) of K, ``low`` (method, origin, a, i, v) those of Z, one
     column i a year, ``gap`` (method, origin, a, h, v) the right-hand sides. A product is a join of the entries with
     the vector and a sum by row. The form of the iteration with one reduction a step is used, scaled by the diagonal:
-    a step reads the written state, sums it to a row of scalars for each system, moves the vectors and multiplies once;
-    it is written, which ends its lineage. Systems that have converged stand still. When all have, residuals are
+    a step sums the written state to a row of scalars for each system (methods x origins x horizons, which the driver
+    reads to see what has converged), moves the vectors and multiplies once; it is written, which ends its lineage. Systems that have converged stand still. When all have, residuals are
     computed anew from x: a system whose true residual is above ``tolerance`` times the right-hand side goes on from
     there, and one that is not solved within the allowed steps is an error. Returns (method, origin, series, h, mult).
     """
@@ -169,38 +169,41 @@ def solve_totals(matrix: DataFrame, low: DataFrame | None, gap: DataFrame, toler
     state = with_product(gap.join(diagonal, [*key, "a"]).join(size, [*key, "h"]).select(
         *row, "d", F.col("v").alias("g"), "g2", zero.alias("x"), F.col("v").alias("r"), zero.alias("p"), zero.alias("s"), none.alias("gamma"), none.alias("alpha")))
 
-    def step(state: DataFrame) -> DataFrame:
-        u = F.col("r") / F.col("d")
-        sums = state.groupBy(*key, "h").agg(F.sum(F.col("r") * u).alias("new"), F.sum(F.col("w") * u).alias("delta"), F.sum(F.col("r") * F.col("r")).alias("rr"),
-                                            F.first("g2").alias("size2"), F.first("gamma").alias("old"), F.first("alpha").alias("last"))
-        beta = F.when(F.col("old").isNull(), 0.0).otherwise(F.try_divide(F.col("new"), F.col("old")))
-        go = F.try_divide(F.col("new"), F.col("delta") - F.coalesce(beta * F.col("new") / F.col("last"), zero))
-        live = F.col("rr") > F.col("size2") * (tolerance * tolerance)
-        sums = sums.select(*key, "h", "new", beta.alias("beta"), F.when(live, go).alias("go"))
-        p, s = u + F.col("beta") * F.col("p"), F.col("w") + F.col("beta") * F.col("s")
+    def scalars(state: DataFrame) -> list[tuple]:
+        """(method, origin, h, gamma, beta, alpha) of each system, without alpha once it has converged."""
+        u, out = F.col("r") / F.col("d"), []
+        for r in state.groupBy(*key, "h").agg(F.sum(F.col("r") * u).alias("new"), F.sum(F.col("w") * u).alias("delta"), F.sum(F.col("r") * F.col("r")).alias("rr"),
+                                              F.first("g2").alias("g2"), F.first("gamma").alias("old"), F.first("alpha").alias("last")).collect():
+            beta = r.new / r.old if r.old else 0.0
+            below = r.delta - (beta * r.new / r.last if r.last else 0.0)
+            live = not r.rr <= r.g2 * tolerance * tolerance
+            out.append((r.method, r.origin, r.h, r.new, beta, r.new / below if live and below else None))
+        return out
+
+    def step(state: DataFrame, systems: list[tuple]) -> DataFrame:
+        table = F.broadcast(inline_table(state.sparkSession, systems, "method string, origin int, h int, new double, beta double, go double"))
+        p, s = F.col("r") / F.col("d") + F.col("beta") * F.col("p"), F.col("w") + F.col("beta") * F.col("s")
         moved = lambda new, old: F.when(F.col("go").isNotNull(), new).otherwise(F.col(old)).alias(old)
-        return with_product(state.join(sums, [*key, "h"]).select(
+        return with_product(state.join(table, [*key, "h"]).select(
             *row, "d", "g", "g2", moved(F.col("x") + F.col("go") * p, "x"), moved(F.col("r") - F.col("go") * s, "r"), moved(p, "p"), moved(s, "s"),
             moved(F.col("new"), "gamma"), moved(F.col("go"), "alpha")))
 
-    def unsolved(state: DataFrame) -> bool:
-        rr = state.groupBy(*key, "h").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.max("g2").alias("g2"))
-        return not rr.where(~(F.col("rr") <= F.col("g2") * (tolerance * tolerance))).isEmpty()
+    def open_(systems: list[tuple]) -> bool:
+        return any(go is not None for *_, go in systems)
 
     # as many steps as unknowns are enough but for rounding
     most = 10 * (diagonal.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) + 10
-    steps, open_ = 0, unsolved(state)
-    while open_:
-        while open_:
+    steps, systems = 0, scalars(state)
+    while open_(systems):
+        while open_(systems):
             if steps >= most:
                 raise ValueError(f"reconciliation did not converge to {tolerance} in {most} steps")
-            for _ in range(TEST_EVERY):
-                state = step(state)
-            steps, open_ = steps + TEST_EVERY, unsolved(state)
+            state, steps = step(state, systems), steps + 1
+            systems = scalars(state)
         true = product(state.select(*row, F.col("x").alias("u")))
         state = with_product(state.drop("w").join(true, row, "left").select(
             *row, "d", "g", "g2", "x", (F.col("g") - F.coalesce("w", zero)).alias("r"), zero.alias("p"), zero.alias("s"), none.alias("gamma"), none.alias("alpha")))
-        open_ = unsolved(state)
+        systems = scalars(state)
     return state.select(*key, F.col("a").alias("series"), "h", F.col("x").alias("mult"))
 
 

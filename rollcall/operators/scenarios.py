@@ -178,19 +178,41 @@ def package_objectives(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     return means.join(medians, "_key").drop("_key")
 
 
+def local_fronts(df: DataFrame, by: list[str], cost: str, adequacy: str) -> DataFrame:
+    """The rows (by, cost, adequacy) that no row of their own partition beats: all that a front can be made of.
+
+    A task holds its front so far and one batch. Rows with a missing value are left out.
+    """
+    def task(parts):
+        import pandas as pd
+        held = None
+        for part in parts:
+            rows = part if held is None else pd.concat([held, part])
+            rows = rows.sort_values([*by, cost, adequacy], ascending=[True] * (len(by) + 1) + [False])
+            own = rows.groupby(by, dropna=False, sort=False)[adequacy] if by else rows[adequacy]
+            best = own.cummax()
+            before = best.groupby([rows[c] for c in by], dropna=False, sort=False).shift() if by else best.shift()
+            held = rows[before.isna() | (rows[adequacy] > before)]
+        if held is not None:
+            yield held
+    there = df.where(F.col(cost).isNotNull() & F.col(adequacy).isNotNull()).select(*by, cost, adequacy)
+    return there.mapInPandas(task, there.schema)
+
+
 def pareto_front(df: DataFrame, cost: str, adequacy: str, by: list[str] = ()) -> DataFrame:
     """Mark rows no other row beats: at least as cheap and as adequate, and better in one.
 
-    Rows are first reduced to the best adequacy per cost; one ordered scan over distinct costs then gives
-    the best adequacy at any lower cost. Rows with a missing value are never beaten.
+    Every partition keeps its own front, and only the union of these is scanned in order of cost for the best adequacy
+    at any lower cost. Rows with a missing value are never beaten.
     """
     by = list(by)
-    best = (df.where(F.col(cost).isNotNull() & F.col(adequacy).isNotNull()).groupBy(*by, F.col(cost).alias("_c"))
-            .agg(F.max(adequacy).alias("_best")))
-    scan = ordered_scan(best, by, "_c", maxes={"_cheaper": "_best"})
-    joined = df.join(scan.withColumnRenamed("_c", cost), [*by, cost], "left")
-    ok = (F.col(adequacy) == F.col("_best")) & (F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col(adequacy)))
-    return joined.withColumn("on_front", F.coalesce(ok, F.lit(True))).drop("_best", "_cheaper")
+    best = local_fronts(df, by, cost, adequacy).groupBy(*by, F.col(cost).alias("_c")).agg(F.max(adequacy).alias("_best"))
+    scan = ordered_scan(best, by, "_c", maxes={"_cheaper": "_best"}).where(F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col("_best")))
+    points = scan.select(*by, F.col("_c").alias(cost), F.col("_best").alias(adequacy), F.lit(True).alias("_on"))
+    missing = F.col(cost).isNull() | F.col(adequacy).isNull()
+    for c in by:
+        missing = missing | F.col(c).isNull()
+    return df.join(points, [*by, cost, adequacy], "left").withColumn("on_front", F.coalesce("_on", missing)).select(*df.columns, "on_front")
 
 
 def hypervolume(df: DataFrame, cost: str, adequacy: str, ref_cost: Column, ref_adequacy: Column) -> DataFrame:
@@ -199,7 +221,7 @@ def hypervolume(df: DataFrame, cost: str, adequacy: str, ref_cost: Column, ref_a
     Each distinct cost adds its gain in adequacy over all cheaper points, times the distance to the
     reference cost, so no neighbour lookup is needed and dominated points add nothing.
     """
-    best = df.groupBy(F.col(cost).alias("_c")).agg(F.max(adequacy).alias("_best"))
+    best = local_fronts(df, [], cost, adequacy).groupBy(F.col(cost).alias("_c")).agg(F.max(adequacy).alias("_best"))
     scan = ordered_scan(best, [], "_c", maxes={"_cheaper": "_best"})
     gain = F.greatest("_best", ref_adequacy) - F.greatest(F.coalesce("_cheaper", ref_adequacy), ref_adequacy)
     return scan.agg(F.coalesce(F.sum((ref_cost - F.col("_c")) * F.greatest(gain, F.lit(0.0))), F.lit(0.0)).alias("hypervolume"))

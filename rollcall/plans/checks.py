@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.keys import shared_path
 from ..operators import ingest as I
-from ..sources.tables import SCHEMAS, load_table, table
+from ..sources.tables import SCHEMAS, load_table, save_table, table
 from . import settings as S
 from . import views as V
 from .registry import query
@@ -62,6 +63,33 @@ def load(spark, d):
         F.min(F.col("l_shipdate").cast("date")).alias("first_day"))
 
 
+BAD_LINE = "o_orderkey % 50 = 0 OR o_orderkey % 70 = 7"
+
+
+@query("a01_rejected_rows", sql("", f"""
+SELECT source, o_orderstatus, COUNT(*) AS n, COUNT(*) FILTER (WHERE {BAD_LINE}) AS rejected, ROUND(SUM(o_totalprice) FILTER (WHERE NOT ({BAD_LINE})), 2) AS pay,
+  SUM(o_custkey) FILTER (WHERE NOT ({BAD_LINE})) AS custkeys
+FROM orders CROSS JOIN (VALUES ('csv'), ('csv.gz'), ('partitioned')) AS v(source) GROUP BY 1, 2"""))
+def rejected(spark, d):
+    """An upload with text in number columns, as CSV, compressed CSV and a folder per status: lines that do not fit the
+    schema are kept and counted, the others are read whole."""
+    k = F.col("o_orderkey")
+    lines = table(spark, d, "orders").select(
+        k.cast("string").alias("o_orderkey"), F.when(k % 50 == 0, F.concat(F.col("o_custkey").cast("string"), F.lit("x"))).otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"),
+        F.when(k % 70 == 7, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"), "o_orderstatus")
+    base, out = shared_path(spark), None
+    for source, how in (("csv", {}), ("csv.gz", {"compression": "gzip"}), ("partitioned", {"partition_by": ["o_orderstatus"]})):
+        save_table(lines, f"{base}/{source}", "csv", **how)
+        status = "" if "partition_by" in how else ", o_orderstatus string"
+        back = load_table(spark, f"{base}/{source}", f"o_orderkey bigint, o_custkey bigint, o_totalprice double{status}", "csv")
+        good = F.col("_corrupt_record").isNull()
+        n = back.groupBy(F.lit(source).alias("source"), "o_orderstatus").agg(
+            F.count("*").alias("n"), F.count_if(~good).alias("rejected"), F.round(F.sum(F.when(good, F.col("o_totalprice"))), 2).alias("pay"),
+            F.sum(F.when(good, F.col("o_custkey"))).alias("custkeys"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("a02_normalise_columns", sql("", UPLOAD + """
 SELECT trim(person_id) AS person_id, COUNT(*) AS n, ROUND(SUM(basic_salary), 2) AS basic_salary FROM upload GROUP BY 1"""))
 def normalise(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import ensure_checkpoint_dir, with_parameters
+from ..functions.keys import ensure_checkpoint_dir, with_parameters, written
 from ..operators import pay as E
 from ..operators import scenarios as R
 from ..sources.tables import table
@@ -240,18 +240,32 @@ def hypervolume(spark, d):
     return R.hypervolume(points(spark, d), "cost", "adequacy", F.lit(1e8), F.lit(0)).select(F.round(F.col("hypervolume") / 1e6, 4).alias("hypervolume"))
 
 
+# a search asks for the best package of each stated target
+WANTED_ADEQUACY, WANTED_COST = (0.6, 0.65, 0.7, 0.75), (3.2, 3.4, 3.6, 3.8)
+TARGETS_SQL = ", ".join([f"('adequacy', {t})" for t in WANTED_ADEQUACY] + [f"('cost', {t})" for t in WANTED_COST])
+
+
 @query("f15_compare_fronts", sql("level_paths", f"""
-WITH {PACKAGE_SQL}, found AS (SELECT * FROM objr WHERE package_age % 2 = 1),
+WITH {PACKAGE_SQL},
+front AS (SELECT * FROM objr a WHERE NOT EXISTS (
+  SELECT 1 FROM objr b WHERE b.cost <= a.cost AND b.adequacy >= a.adequacy AND (b.cost < a.cost OR b.adequacy > a.adequacy))),
+asked AS (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY kind, target ORDER BY CASE WHEN kind = 'adequacy' THEN adequacy >= target ELSE cost <= target END DESC,
+    CASE WHEN kind = 'adequacy' THEN CASE WHEN adequacy >= target THEN cost ELSE -adequacy END ELSE CASE WHEN cost <= target THEN -adequacy ELSE cost END END,
+    package_age, package_accrual NULLS FIRST, package_rise) AS rn FROM front f CROSS JOIN (VALUES {TARGETS_SQL}) AS v(kind, target)),
+found AS (SELECT DISTINCT package_age, package_accrual, package_rise, cost, adequacy FROM asked WHERE rn = 1),
 ref AS (SELECT MAX(cost) * 1.01 AS rc, MIN(adequacy) - 0.01 AS ra FROM objr),
 hv AS (SELECT SUM(width * (adequacy - (SELECT ra FROM ref))) AS v {HV.format(src='objr', ref_c='(SELECT rc FROM ref)')}),
-hf AS (SELECT SUM(width * (adequacy - (SELECT ra FROM ref))) AS v {HV.format(src='found', ref_c='(SELECT rc FROM ref)')}),
-front AS (SELECT * FROM objr a WHERE NOT EXISTS (
-  SELECT 1 FROM objr b WHERE b.cost <= a.cost AND b.adequacy >= a.adequacy AND (b.cost < a.cost OR b.adequacy > a.adequacy)))
-SELECT ROUND(hf.v / hv.v, 8) AS hypervolume_ratio, (SELECT COUNT(*) FROM front) AS true_front_size,
-  (SELECT COUNT(*) FROM front WHERE package_age % 2 = 1) AS true_front_found FROM hv, hf"""))
+hf AS (SELECT SUM(width * (adequacy - (SELECT ra FROM ref))) AS v {HV.format(src='found', ref_c='(SELECT rc FROM ref)')})
+SELECT ROUND(hf.v / hv.v, 8) AS hypervolume_ratio, (SELECT COUNT(*) FROM front) AS true_front_size, (SELECT COUNT(*) FROM found) AS true_front_found FROM hv, hf"""))
 def compare(spark, d):
+    """The best packages for stated targets against the front of all packages."""
     o = objectives(spark, d)
-    return R.compare_fronts(o.where("package_age % 2 = 1"), o, KEYS).withColumn("hypervolume_ratio", F.round("hypervolume_ratio", 8))
+    front = written(R.pareto_front(o, "cost", "adequacy").where("on_front").select(*KEYS, "cost", "adequacy"))
+    keep, found = [*KEYS, "cost", "adequacy"], None
+    for target in [{"min_adequacy": t} for t in WANTED_ADEQUACY] + [{"max_cost": t} for t in WANTED_COST]:
+        best = R.best_for_target(front, keep, **target).select(*keep)
+        found = best if found is None else found.unionByName(best)
+    return R.compare_fronts(written(found.distinct()), o, KEYS).withColumn("hypervolume_ratio", F.round("hypervolume_ratio", 8))
 
 
 @query("f16_best_for_target", sql("level_paths", f"""

@@ -54,9 +54,11 @@ def load_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
-               mode: str = "errorifexists") -> None:
-    """Write a result table, optionally partitioned; one directory per table."""
+               mode: str = "errorifexists", compression: str | None = None) -> None:
+    """Write a result table, optionally partitioned and compressed; one directory per table."""
     writer = df.write.mode(mode)
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
