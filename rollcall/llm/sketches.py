@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, rows
+from .common import arrow_map, partitions, rows, stored
 
 SLICE_BITS = 16
 SLICE = "slice int, lows binary"
@@ -66,14 +66,22 @@ def _dealt(blobs: DataFrame) -> DataFrame:
     return blobs.repartition(partitions(blobs.sparkSession), "slice").sortWithinPartitions("slice")
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest ``n``, whole values of it only and at most ``most``: by a histogram of the counts (one
+    row for each distinct count, of which a corpus has few) and a filter where the rows lie, not by a sort in one task."""
+    histogram = counted.groupBy("n").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.orderBy(F.desc("n")))
+    cut = histogram.select("n", upto.alias("upto")).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return counted.where(F.col("n") >= cut) if cut is not None else counted.limit(0)
+
+
 def heaviest(blobs: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counters with the largest counts, at most ``most`` of them, in order of their number; and the counts."""
+    """The counters with the largest counts, at most ``most`` of them (whole counts only), in order of their number; and the counts."""
     def task(batches):
         for s, counts in _slices(batches):
             for c in np.flatnonzero(counts >= least).tolist():
                 yield (s << SLICE_BITS) + c, int(counts[c])
-    top = (arrow_map(_dealt(blobs), task, "counter bigint, n bigint", batch_rows=16384)
-           .orderBy(F.desc("n"), "counter").limit(most).toArrow())
+    top = most_frequent(stored(arrow_map(_dealt(blobs), task, "counter bigint, n bigint", batch_rows=16384)), most).toArrow()
     number, n = (top.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(number)
     return number[order].astype(np.uint32), n[order].astype(np.int64)

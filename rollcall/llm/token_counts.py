@@ -7,7 +7,7 @@ or a line end with what follows it. The count of a text is the sum of its pre-to
 1. Every task counts its pre-tokens; sums over tasks give the distinct pre-tokens of the corpus (combined before
    the shuffle, so that a frequent one is a row per task).
 2. The library counts the pieces of each distinct pre-token once.
-3. The ``HOT`` most frequent ones, a fixed number, are broadcast and summed where the documents lie. Only the rare
+3. The most frequent ones, ``HOT`` at most, are broadcast and summed where the documents lie. Only the rare
    rest becomes rows (document, pre-token, frequency), joined to the counts by key and summed per document.
 
 ``check_model`` refuses models for which the first statement does not hold.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, groups, ids_and_text, rows, stored, worker_state
+from .sketches import most_frequent
 
 HOT, HOT_CHARS = 1 << 19, 64          # bound of the broadcast: so many pre-tokens of at most so many characters
 PART = re.compile(r"\n[^ \n]*| +[^ \n]*")
@@ -86,7 +87,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     total = arrow_map(source, tally, "key string, n bigint", batch_rows=32768).groupBy("key").agg(F.sum("n").alias("n"))
     vocabulary = stored(arrow_map(total, counted, "key string, n bigint, pieces int", batch_rows=32768, keeps="piece_models"))
-    known = vocabulary.where(F.length("key") <= HOT_CHARS).orderBy(F.desc("n"), "key").limit(hot).select("key", "pieces")
+    known = most_frequent(vocabulary.where(F.length("key") <= HOT_CHARS), hot).select("key", "pieces")
     frequent = spark.sparkContext.broadcast(dict(_collected(known)))
 
     def per_document(batches):
