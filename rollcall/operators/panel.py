@@ -111,7 +111,7 @@ def logit_hazard(train: DataFrame, sectors: tuple[str, ...], frameworks: tuple[s
         names = list(cols)
         return VectorAssembler(inputCols=names, outputCol="_features").transform(df.withColumns(cols)).drop(*names)
 
-    model = LogisticRegression(featuresCol="_features", labelCol="y", regParam=1.0 / (c * max(n, 1)), maxIter=50,
+    model = LogisticRegression(featuresCol="_features", labelCol="y", regParam=1.0 / (c * max(n, 1)), maxIter=2000,
                                standardization=False).fit(prepare(train))
     return lambda df: _probability(model.transform(prepare(df)), "logit_hazard")
 

@@ -57,7 +57,7 @@ def logistic_risk(train: DataFrame):
     """Scaled logistic regression, the simple alternative."""
     names = [*FEATURES, "year"]
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_r"), StandardScaler(inputCol="_r", outputCol="_x", withMean=True),
-                             LogisticRegression(featuresCol="_x", labelCol="label", maxIter=50, regParam=1e-4)]).fit(train)
+                             LogisticRegression(featuresCol="_x", labelCol="label", maxIter=2000, regParam=1e-4)]).fit(train)
     return lambda df: (model.transform(df).withColumn("prob", vector_to_array("probability")[1])
                        .drop("_r", "_x", "rawPrediction", "probability", "prediction"))
 
@@ -100,6 +100,33 @@ def conformal_width(cal: DataFrame, lo: str, hi: str, actual: str, alpha: float)
     return exact_quantiles(s, [], "_s", {"width": F.least(F.lit(1.0), F.ceil((n + 1) * (1 - alpha)) / n)})
 
 
+def conformal_years(cal: DataFrame, test: DataFrame, score, alpha: float, first: int, last: int):
+    """Median and range of the run-out year of each test row from a classifier's own curve, with the width added.
+
+    Quantile years of the curve are widened by as much as the calibration rows need (less than nothing
+    when they were too wide). Returns (rows with ``low``, ``median``, ``high``, width).
+    """
+    def years(rows):
+        return quantile_years(risk_cdf(rows, score, first, last), ["scenario", "run", "run_out"], alpha)
+    width = conformal_width(years(cal), "low", "high", "run_out", alpha).scalar()
+    return years(test).withColumns({"low": F.col("low") - width, "high": F.col("high") + width}), width
+
+
+def model_predictions(rows: DataFrame, classifier, calibrate, logistic, rates: DataFrame) -> DataFrame:
+    """(model, scenario, run, year, label, prob) of four models in one pass over the stacked rows.
+
+    ``rates`` has one row a year; a year without a rate takes the mean rate.
+    """
+    wide = calibrate(classifier(logistic(rows).withColumnRenamed("prob", "_logistic")))
+    wide = wide.join(rates.select("year", F.col("prob").alias("_rate")), "year", "left")
+    mean = rates.agg(F.avg("prob")).scalar()
+    named = {"boosted": "prob", "boosted_isotonic": "calibrated", "logistic": "_logistic"}
+    models = [F.struct(F.lit(m).alias("model"), F.col(c).alias("prob")) for m, c in named.items()]
+    models.append(F.struct(F.lit("year_rate").alias("model"), F.coalesce("_rate", mean).alias("prob")))
+    return (wide.select("scenario", "run", "year", "label", F.explode(F.array(*models)).alias("_p"))
+            .select("_p.model", "scenario", "run", "year", "label", "_p.prob"))
+
+
 def linear_conformal(train: DataFrame, cal: DataFrame, alpha: float):
     """Linear model of the run-out year with one width for all. Returns (df -> df with ``linear``, width table)."""
     fit = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_x"),

@@ -81,6 +81,15 @@ def wave_heat(exits: DataFrame, units: DataFrame, unit: str, years: int, top: in
     return rates.groupBy(unit).pivot("t", list(range(years))).agg(F.first("rate")).toDF(unit, *[f"y{i}" for i in range(years)])
 
 
+def subset_weight(mask: str, i: int, k: int) -> Column:
+    """What the worth of the set ``mask`` (bits of k features) counts for in the Shapley value of feature i."""
+    size = F.bit_count(mask)
+    plus = [factorial(s - 1) * factorial(k - s) / factorial(k) if s else 0.0 for s in range(k + 1)]
+    minus = [-factorial(s) * factorial(k - s - 1) / factorial(k) if s < k else 0.0 for s in range(k + 1)]
+    pick = lambda table: F.element_at(F.array(*[F.lit(v) for v in table]), size + 1)
+    return F.when(F.col(mask).bitwiseAND(1 << i) != 0, pick(plus)).otherwise(pick(minus))
+
+
 def shapley(df: DataFrame, features: list[str], value: str, weight: str) -> DataFrame:
     """Exact Shapley split of ``value`` over feature groups: one row per feature combination.
 
@@ -97,18 +106,9 @@ def shapley(df: DataFrame, features: list[str], value: str, weight: str) -> Data
     masks = masks.withColumns({keys[i]: F.when(F.col("_m").bitwiseAND(1 << i) != 0, F.col(f).cast("string")).otherwise("")
                                for i, f in enumerate(features)})
     worth = masks.groupBy("_m", *keys).agg((F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("_v"))
-    size = F.bit_count("_m")
-    plus = [factorial(s - 1) * factorial(k - s) / factorial(k) if s else 0.0 for s in range(k + 1)]
-    minus = [-factorial(s) * factorial(k - s - 1) / factorial(k) if s < k else 0.0 for s in range(k + 1)]
-
-    def coef(i: int) -> Column:
-        inside = F.col("_m").bitwiseAND(1 << i) != 0
-        pick = lambda table: F.element_at(F.array(*[F.lit(v) for v in table]), size + 1)
-        return F.when(inside, pick(plus)).otherwise(pick(minus))
-
     return (masks.join(worth, ["_m", *keys]).groupBy(*features)
             .agg(F.max("_y").alias("value"), F.max("_w").alias("weight"),
-                 *[F.sum(coef(i) * F.col("_v")).alias(f"phi_{f}") for i, f in enumerate(features)]))
+                 *[F.sum(subset_weight("_m", i, k) * F.col("_v")).alias(f"phi_{f}") for i, f in enumerate(features)]))
 
 
 def explain_gap(cells: DataFrame, exits: DataFrame, level: list[str], horizon: int) -> DataFrame:

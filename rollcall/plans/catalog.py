@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import checks, exits, funds, hierarchies, panels, record_checks, reforms, risks, scores, series, texts  # noqa: F401
+from . import checks, contributions, exits, funds, hierarchies, panels, record_checks, reforms, risks, scores, series, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

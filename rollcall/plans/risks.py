@@ -176,6 +176,31 @@ def range_scores(spark, d):
     return r.select(*[F.round(c, 8).alias(c) for c in r.columns])
 
 
+def fitted(spark, d):
+    """Stacked test rows, models fitted on other packages, and the three parts."""
+    train, cal, test = parts(spark, d)
+    stacked = K.stack_random_years(train, PER_RUN, S.BASE_YEAR, NEVER - 1)
+    score = K.risk_classifier(stacked)
+    fix = K.isotonic_calibration(score(K.stack_random_years(cal, PER_RUN, S.BASE_YEAR, NEVER - 1, "cal")))
+    return score, fix, K.logistic_risk(stacked), K.base_rate(stacked), (train, cal, test)
+
+
+@query("j09_model_scores")
+def model_scores(spark, d):
+    """Scores of four models on packages none of them saw, and of the ranges of two; long: (model, score, value)."""
+    score, fix, logit, rates, (train, cal, test) = fitted(spark, d)
+    pred = K.model_predictions(K.stack_years(test, CHECK), score, fix, logit, rates).checkpoint()
+    curve, _ = K.conformal_years(cal, test, score, 0.10, S.BASE_YEAR, NEVER - 1)
+    line, w = K.linear_conformal(train, cal, 0.10)
+    half = w.scalar()
+    flat = line(test).select("run_out", F.col("linear").alias("median"), (F.col("linear") - half).alias("low"), (F.col("linear") + half).alias("high"))
+    ranges_ = [K.range_scores(r).withColumn("model", F.lit(m)) for m, r in (("boosted_conformal", curve), ("linear_conformal", flat))]
+
+    def long(t):
+        return t.unpivot("model", [c for c in t.columns if c != "model"], "score", "value")
+    return long(K.risk_scores(pred)).unionByName(long(ranges_[0])).unionByName(long(ranges_[1]))
+
+
 @query("j10_driver_ranges", sql("paths", """
 WITH v AS (SELECT run, AVG(inflation) * 100 AS avg_inflation, AVG(real_return) * 100 AS avg_return, AVG(real_growth) * 100 AS avg_growth, MAX(mortality_mult) AS mortality_level
   FROM paths WHERE t <= 19 GROUP BY 1), l AS (UNPIVOT v ON avg_inflation, avg_return, avg_growth, mortality_level INTO NAME driver VALUE value)
