@@ -147,7 +147,9 @@ def benefit_run_off(benefits: DataFrame, pension_index: DataFrame, life: DataFra
              .withColumns({"_from": F.col("age") + 1, "_n": F.col("t") - F.col("t0") - 1}))
     paid = survival(years, life, "_from", "_n", F.col("mortality_mult"))
     by_sector = paid.groupBy("scenario", "run", "t", "sector").agg(F.sum(F.col("amount") * F.col("alive")).alias("_due"))
-    return (by_sector.join(pension_index.select("scenario", "run", "t", "sector", "pidx"), ["scenario", "run", "t", "sector"])
+    # both sides grow with runs, but sizes estimated below an explode are far too small: never broadcast the index
+    pidx = pension_index.select("scenario", "run", "t", "sector", "pidx").hint("merge")
+    return (by_sector.join(pidx, ["scenario", "run", "t", "sector"])
             .groupBy("scenario", "run", "t").agg(F.sum(F.col("_due") * F.col("pidx")).alias("payments")))
 
 
