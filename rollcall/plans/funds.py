@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import bounded, ensure_checkpoint_dir, with_parameters
+from ..functions.keys import bounded, ensure_checkpoint_dir, exact_sum, with_parameters
 from ..operators import pay as E
 from ..operators.panel import life_table
 from . import settings as S
@@ -154,7 +154,7 @@ WITH {BENEFIT} SELECT scenario, t, sector, ROUND(SUM(n * benefit) / 1e9, 6) AS b
 def initial(spark, d):
     n = F.col("n")
     return benefits(spark, d).groupBy("scenario", "t", "sector").agg(
-        F.round(F.sum(n * F.col("benefit")) / 1e9, 6).alias("benefit"), F.round(F.sum(n * F.col("final")) / 1e9, 6).alias("final"),
+        F.round(exact_sum(n * F.col("benefit")) / 1e9, 6).alias("benefit"), F.round(exact_sum(n * F.col("final")) / 1e9, 6).alias("final"),
         F.sum(F.when(F.col("formula") <= F.col("floor"), n).otherwise(0)).alias("on_floor"))
 
 

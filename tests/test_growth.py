@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.functions.keys import exact_sum
 from rollcall.operators import panel as P
 from rollcall.operators import pay as E
 
@@ -18,3 +19,9 @@ def test_run_off_does_not_broadcast_the_index(spark):
     got = {(r.run, r.t): r.payments for r in out.collect()}
     assert set(got) == {(r, t) for r in range(3) for t in (2, 3)}
     assert all(got[r, 2] == pytest.approx(20.0) and got[r, 3] < 20.0 for r in range(3))
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    df = spark.createDataFrame([(1e18,), (0.25,), (-1e18,)], "v double").coalesce(1)
+    assert df.agg(F.sum("v")).first()[0] == 0.0         # what doubles lose
+    assert df.agg(exact_sum(F.col("v"))).first()[0] == 0.25
