@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import ensure_checkpoint_dir
+from .boosting import Boosted, boost
 from .waves import subset_weight
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -24,17 +23,27 @@ def boosted(train: DataFrame, features: list[str], value: str, chance: bool = Fa
     """Boosted trees at rate 0.05, of a number or (``chance``) of a 0/1 label. Returns df -> df with ``predicted``."""
     ensure_checkpoint_dir(train.sparkSession)       # boosting cuts its lineage there every ten rounds
     kind = GBTClassifier if chance else GBTRegressor
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), kind(
-        featuresCol="_x", labelCol=value, maxDepth=depth, stepSize=0.05, maxIter=rounds, seed=seed)]).fit(train)
-    result = vector_to_array("probability")[1] if chance else F.col("prediction")
-    return lambda df: model.transform(df).withColumn("predicted", result).drop("_x", "rawPrediction", "probability", "prediction")
+    trees = kind(featuresCol="_x", labelCol=value, maxDepth=depth, stepSize=0.05, maxIter=rounds, seed=seed)
+    return Predicted(boost(trees, train, features, value, mean=not chance), chance)
+
+
+class Predicted:
+    """df -> df with ``predicted``; ``lowest`` makes rows equal that the trees cannot tell apart."""
+
+    def __init__(self, model: Boosted, chance: bool):
+        self.model, self.lowest = model, model.lowest
+        self.result = vector_to_array("probability")[1] if chance else F.col("prediction")
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model(df).withColumn("predicted", self.result).drop("_x", "rawPrediction", "probability", "prediction")
 
 
 def contributions(df: DataFrame, groups: dict[str, list[str]], predict: Predict, keys: tuple[str, ...] = ()) -> DataFrame:
     """Shapley split of each row's prediction: ``phi_<group>``, which add up to ``predicted`` - ``base``.
 
     The worth of a set of groups is the prediction with the other groups' features at their means over ``df``; ``base``
-    has all of them there. Rows with equal ``keys`` and features become one with its number of rows as ``weight``.
+    has all of them there. Rows with equal ``keys`` and features become one with its number of rows as ``weight``; for
+    boosted trees, rows whose features lie on the same steps are equal, and a feature is shown as the low end of its step.
     Every remaining row meets its 2^k sets (k at most six) in the task that holds it, and the sets are added up
     before the shuffle. Rows with a null feature are left to the caller: the models take none. No rows, no result.
     """
@@ -42,7 +51,8 @@ def contributions(df: DataFrame, groups: dict[str, list[str]], predict: Predict,
     if k > MOST_GROUPS:
         raise ValueError(f"at most {MOST_GROUPS} feature groups")
     features = [f for fs in groups.values() for f in fs]
-    rows = df.groupBy(*keys, *features).agg(F.count("*").alias("weight"))
+    steps = predict.lowest(df) if isinstance(predict, Predicted) else df
+    rows = steps.groupBy(*keys, *features).agg(F.count("*").alias("weight"))
     means = df.agg(*[F.avg(f).alias(f) for f in features]).first()          # one row of numbers
     bit = {f: 1 << i for i, fs in enumerate(groups.values()) for f in fs}
     sets = rows.withColumns({f"_own_{f}": F.col(f) for f in features}).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(2 ** k - 1))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import ensure_checkpoint_dir, hash_unit, inline_table, with_small_table
+from .boosting import boost
 from .metrics import auc, diebold_mariano, mape, rmse, t_p_value
 
 RULE_EXITS = ("retirement", "death")
@@ -120,11 +120,9 @@ def gbt_hazard(train: DataFrame, sectors: tuple[str, ...], frameworks: tuple[str
     """Boosted trees of depth 5, rate 0.05, subsample 0.8. Returns df -> df with ``gbt_hazard``."""
     ensure_checkpoint_dir(train.sparkSession)       # boosting cuts its lineage there every ten rounds
     names = feature_names(sectors, frameworks)
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=names, outputCol="_features"),
-        GBTClassifier(featuresCol="_features", labelCol="y", maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
-                      maxIter=rounds, seed=seed)]).fit(hazard_features(train, sectors, frameworks))
-    return lambda df: _probability(model.transform(hazard_features(df, sectors, frameworks)).drop(*names), "gbt_hazard")
+    trees = GBTClassifier(featuresCol="_features", labelCol="y", maxDepth=5, stepSize=0.05, subsamplingRate=0.8, maxIter=rounds, seed=seed)
+    model = boost(trees, hazard_features(train, sectors, frameworks), names, "y")
+    return lambda df: _probability(model(hazard_features(df, sectors, frameworks)).drop(*names), "gbt_hazard")
 
 
 def _probability(df: DataFrame, out: str) -> DataFrame:

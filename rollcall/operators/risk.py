@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import ensure_checkpoint_dir, hash_unit
 from ..functions.ordered import exact_quantiles, ordered_scan
+from .boosting import boost
 from .metrics import auc, brier, ece_bins, log_loss
 from .scenarios import LEVERS, lever_features
 
@@ -46,10 +47,9 @@ def stack_random_years(table: DataFrame, per_run: int, first: int, last: int, sa
 def risk_classifier(train: DataFrame, rounds: int = 300, seed: int = 7):
     """Boosted trees of depth 5, rate 0.05, subsample 0.8 on levers, drivers and year. Returns df -> df with ``prob``."""
     ensure_checkpoint_dir(train.sparkSession)       # boosting cuts its lineage there every ten rounds
-    names = [*FEATURES, "year"]
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_x"), GBTClassifier(
-        featuresCol="_x", labelCol="label", maxDepth=5, stepSize=0.05, subsamplingRate=0.8, maxIter=rounds, seed=seed)]).fit(train)
-    return lambda df: (model.transform(df).withColumn("prob", vector_to_array("probability")[1])
+    trees = GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=5, stepSize=0.05, subsamplingRate=0.8, maxIter=rounds, seed=seed)
+    model = boost(trees, train, [*FEATURES, "year"], "label")
+    return lambda df: (model(df).withColumn("prob", vector_to_array("probability")[1])
                        .drop("_x", "rawPrediction", "probability", "prediction"))
 
 
@@ -68,9 +68,13 @@ def base_rate(train: DataFrame) -> DataFrame:
 
 
 def isotonic_calibration(cal: DataFrame):
-    """Non-decreasing map from predicted to observed chance. Returns df -> df with ``calibrated``."""
-    model = IsotonicRegression(featuresCol="prob", labelCol="label", predictionCol="calibrated").fit(
-        cal.select("prob", F.col("label").cast("double").alias("label")))
+    """Non-decreasing map from predicted to observed chance. Returns df -> df with ``calibrated``.
+
+    Rows of one chance act as their mean, so the fit, which ends in one task, sees each distinct chance once.
+    """
+    label = F.when(F.count("label") == F.count("*"), F.avg(F.col("label").cast("double"))).alias("label")      # a null label stays one
+    cells = cal.groupBy("prob").agg(label, F.count("*").cast("double").alias("_weight"))
+    model = IsotonicRegression(featuresCol="prob", labelCol="label", predictionCol="calibrated", weightCol="_weight").fit(cells)
     return lambda df: model.transform(df)
 
 

@@ -1,11 +1,15 @@
 """Figures that must not grow with the rows: what meets the driver, and what models are trained on."""
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from rollcall.functions.keys import exact_sum
+from rollcall.operators import explain as X
 from rollcall.operators import panel as P
 from rollcall.operators import pay as E
+from rollcall.operators import risk as K
 
 
 def test_run_off_does_not_broadcast_the_index(spark):
@@ -25,3 +29,41 @@ def test_exact_sums_do_not_depend_on_order(spark):
     df = spark.createDataFrame([(1e18,), (0.25,), (-1e18,)], "v double").coalesce(1)
     assert df.agg(F.sum("v")).first()[0] == 0.0         # what doubles lose
     assert df.agg(exact_sum(F.col("v"))).first()[0] == 0.25
+
+
+def test_boosted_trees_train_on_counted_steps(spark, monkeypatch):
+    seen = []
+
+    class Trees(GBTClassifier):
+        def _fit(self, data):
+            seen.append((data.count(), data.agg(F.sum("_weight")).first()[0] if "_weight" in data.columns else None))
+            return super()._fit(data)
+
+    monkeypatch.setattr(K, "GBTClassifier", Trees)
+    monkeypatch.setattr("rollcall.operators.boosting.DRAWS", 1000, raising=False)
+    for n in (2000, 8000):
+        x = F.pmod(F.xxhash64("id"), F.lit(1000003)) / 1000003
+        rows = spark.range(n).withColumns({f: F.lit(0.0) for f in K.FEATURES}).withColumns({"avg_return": x, "year": F.lit(2030)})
+        rows = rows.withColumn("label", (F.col("avg_return") > 0.5).cast("int"))
+        out = K.risk_classifier(rows, rounds=3)(rows)
+        assert out.columns == [*rows.columns, "prob"]
+        assert out.where((F.col("prob") > 0.5) != (F.col("label") == 1)).count() <= 0.05 * n
+        assert seen[-1][0] <= 1000 + 2 * 32 and seen[-1][1] == pytest.approx(n)
+
+
+def test_contributions_of_trees_are_counted_on_steps(spark):
+    x = F.pmod(F.xxhash64("id"), F.lit(1000003)) / 1000003
+    rows = spark.range(3000).select(x.alias("a"), (F.col("id") % 3).cast("double").alias("b")).withColumn("y", F.col("a") * 2 + F.col("b"))
+    groups = {"a": ["a"], "b": ["b"]}
+    got = X.contributions(rows, groups, X.boosted(rows, ["a", "b"], "y", rounds=5)).collect()
+    assert len(got) <= 32 * 3 and sum(r.weight for r in got) == 3000
+    assert all(r.predicted - r.base == pytest.approx(r.phi_a + r.phi_b) for r in got)
+
+
+def test_isotonic_fit_on_counted_chances_is_the_same(spark):
+    cal = spark.createDataFrame([(i % 7 / 10, int(i * i % 11 < i % 7)) for i in range(200)], "prob double, label int")
+    plain = IsotonicRegression(featuresCol="prob", labelCol="label", predictionCol="calibrated").fit(cal).transform(cal)
+    want, got = ({r.prob: r.calibrated for r in t.collect()} for t in (plain, K.isotonic_calibration(cal)(cal)))
+    assert got == pytest.approx(want)
+    with pytest.raises(Exception):
+        K.isotonic_calibration(cal.unionAll(spark.createDataFrame([(0.5, None)], cal.schema)))
