@@ -6,10 +6,13 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from rollcall.functions.keys import exact_sum
+from rollcall.operators import answers as A
 from rollcall.operators import explain as X
 from rollcall.operators import panel as P
 from rollcall.operators import pay as E
+from rollcall.operators import quality as Q
 from rollcall.operators import risk as K
+from rollcall.plans import record_checks, texts
 
 
 def test_run_off_does_not_broadcast_the_index(spark):
@@ -67,3 +70,37 @@ def test_isotonic_fit_on_counted_chances_is_the_same(spark):
     assert got == pytest.approx(want)
     with pytest.raises(Exception):
         K.isotonic_calibration(cal.unionAll(spark.createDataFrame([(0.5, None)], cal.schema)))
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """Spark's own broadcasts off: what is broadcast then was counted."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_asked_often_are_routed_once(spark, monkeypatch):
+    seen, route = [], A.route_questions
+    monkeypatch.setattr(A, "route_questions", lambda df, *a: seen.append(df.count()) or route(df, *a))
+    asked = ["What if the retirement age rises to 60?", "What is the rate of red widget?", None]
+    monkeypatch.setattr(texts, "both_languages", lambda spark, d: spark.createDataFrame([(i, asked[i % 3]) for i in range(30)], "id long, q string"))
+    monkeypatch.setattr(texts, "units", lambda spark, d: ("Kampot",))
+    monkeypatch.setattr(texts, "topics", lambda spark, d: spark.createDataFrame([("red widget", "red widget"), ("inflation", "inflation")], "entry string, text string"))
+    got = {r.id: r for r in texts.clean_both(spark, "").collect()}
+    assert seen == [3] and len(got) == 30
+    for i, r in got.items():
+        assert (r.tool, r.retirement_age) == (("run_reform", 60), ("explain_assumption", None), ("none", None))[i % 3]
+
+
+def test_values_worked_on_once_reach_all_rows(spark):
+    from rollcall.functions.keys import per_distinct
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else i % 4, [i % 2]) for i in range(40)], "id int, k int, l array<int>")
+    for most in (100, 0):       # broadcast, and joined by key
+        out = per_distinct(rows, ["k", "l"], lambda t: t.withColumn("twice", F.col("k") * 2), most)
+        assert sorted((r.id, r.twice) for r in out.collect()) == [(i, None if i % 4 == 0 else i % 4 * 2) for i in range(40)]
\ No newline at end of file
