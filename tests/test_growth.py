@@ -103,4 +103,12 @@ def test_values_worked_on_once_reach_all_rows(spark):
     rows = spark.createDataFrame([(i, None if i % 4 == 0 else i % 4, [i % 2]) for i in range(40)], "id int, k int, l array<int>")
     for most in (100, 0):       # broadcast, and joined by key
         out = per_distinct(rows, ["k", "l"], lambda t: t.withColumn("twice", F.col("k") * 2), most)
-        assert sorted((r.id, r.twice) for r in out.collect()) == [(i, None if i % 4 == 0 else i % 4 * 2) for i in range(40)]
\ No newline at end of file
+        assert sorted((r.id, r.twice) for r in out.collect()) == [(i, None if i % 4 == 0 else i % 4 * 2) for i in range(40)]
+
+
+def test_few_lists_of_sources_go_to_the_rows(spark, no_small_tables):
+    stated = A.source_numbers(spark.createDataFrame([("A1", "in 1,250 cases"), ("A2", "7.50")], "s string, t string"), "s", "t")
+    rows = spark.createDataFrame([(1, ["A1"]), (2, ["A1", "A2"]), (3, ["A9"]), (4, None)], "id int, sources array<string>")
+    out = A.numbers_of_sources(rows, "sources", stated)
+    assert "SortMergeJoin" not in executed(out)
+    assert {r.id: sorted(r._from_sources) for r in out.collect()} == {1: ["1250"], 2: ["1250", "7.5"], 3: [], 4: []}
\ No newline at end of file
