@@ -88,7 +88,8 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
     ids = {t: i for i, t in enumerate(sorted(nodes["tree"].unique()))}
     t, k = nodes["tree"].map(ids).to_numpy(), nodes["node"].to_numpy()
     shape = (len(ids), int(k.max()) + 1)
-    feat, cut, child, length = (np.zeros(shape, dtype=d) for d in (np.int32, np.float64, np.int32, np.float64))
+    # index arrays of numpy's own index type, or each look-up converts them first
+    feat, cut, child, length = (np.zeros(shape, dtype=d) for d in (np.intp, np.float64, np.intp, np.float64))
     feat[t, k], cut[t, k], child[t, k], length[t, k] = (nodes[c].to_numpy() for c in ("feature", "threshold", "child", "length"))
     # a leaf sends every value to itself, so scoring needs no test for it
     leaf = feat < 0
@@ -103,10 +104,11 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
         flat, start = values.ravel(), np.arange(len(values)) * values.shape[1]
         total = np.zeros(len(values))
         for f, c, nxt, size in zip(feat, cut, child, length):
-            at = np.zeros(len(values), dtype=np.int64)
-            for _ in range(depth):
-                at = nxt.take(at) + (flat.take(start + f.take(at)) > c.take(at))
-            total += size.take(at)
+            at = nxt[0] + (values[:, f[0]] > c[0])      # all rows are at the root
+            for _ in range(depth - 1):
+                # every index lies in its array; clipping spares the look-ups a test and a copy
+                at = nxt.take(at, mode="clip") + (flat.take(start + f.take(at, mode="clip"), mode="clip") > c.take(at, mode="clip"))
+            total += size.take(at, mode="clip")
         return pd.Series(2.0 ** (-total / len(feat) / scale))
 
     scored = x.select(key, F.round(score(F.struct(*features)), 9).alias("anomaly_score")).checkpoint()
