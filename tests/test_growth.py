@@ -130,4 +130,12 @@ def test_persons_are_counted_without_the_join_for_ids(spark, monkeypatch, no_sma
     out = record_checks.flagged(spark, "")
     assert executed(out).count("SortMergeJoin") == 2
     assert {r.record_id: (r.dup_national_id, r.matched, r.flag) for r in out.collect()} == {
-        "a": (False, False, False), "b": (True, True, True), "c": (False, True, True), "d": (False, False, True)}
\ No newline at end of file
+        "a": (False, False, False), "b": (True, True, True), "c": (False, True, True), "d": (False, False, True)}
+
+
+def test_parts_of_scores_are_added_up_where_they_arise(spark):
+    c = spark.createDataFrame([(1, "red ring"), (2, "blue ring"), (3, "red bolt")], "e int, text string")
+    q = spark.createDataFrame([(7, "a red ring"), (8, "blue")], "q int, text string")
+    out = A.tfidf_search(c, q, "e", "q", "text", k=1)
+    assert "hashpartitioning(q#" in executed(out) and not any("hashpartitioning(q#" in x and ", e#" in x for x in executed(out).splitlines())
+    assert {r.q: r.e for r in out.collect()} == {7: 1, 8: 2}
