@@ -139,3 +139,12 @@ def test_parts_of_scores_are_added_up_where_they_arise(spark):
     out = A.tfidf_search(c, q, "e", "q", "text", k=1)
     assert "hashpartitioning(q#" in executed(out) and not any("hashpartitioning(q#" in x and ", e#" in x for x in executed(out).splitlines())
     assert {r.q: r.e for r in out.collect()} == {7: 1, 8: 2}
+
+
+def test_values_are_rounded_only_for_numbers_left(spark):
+    facts = [("share", 0.1234, "pct", "12.3%")]
+    rows = spark.createDataFrame([(1, "It is 12.3%.", facts), (2, "It is 12.34%.", facts), (3, "It is 12.35%.", facts)],
+                                 "id int, text string, shown array<struct<key:string,value:double,kind:string,shown:string>>")
+    out = A.grounding_check(rows.withColumns({"q": F.lit("?"), "sources": F.array().cast("array<string>")}), "text", "q", "shown", "sources")
+    assert "CASE WHEN (size(_left" in executed(out)
+    assert {r.id: r.grounded for r in out.collect()} == {1: True, 2: True, 3: False}
