@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import keyed_lookup, with_small_table
+from ..functions.keys import keyed_lookup, parameter_structs, with_small_table
 from ..functions.ordered import exact_quantiles
 from .quality import expected_pay
 
@@ -56,10 +56,15 @@ def survival(df: DataFrame, life: DataFrame, age: str, years: str, level: Column
             .drop("_s", "_e", "_a0", "_h0", "_a1", "_h1"))
 
 
+def rate_rise(t: Column) -> Column:
+    """A stepwise rise up to a cap, the same for employees and employers."""
+    return F.when(F.col("contribution_step") > 0, F.least(
+        F.floor(t / F.col("contribution_every")) * F.col("contribution_step"), F.col("contribution_cap"))).otherwise(0.0)
+
+
 def contribution_rates(df: DataFrame) -> DataFrame:
     """Add employee and employer rates: a stepwise rise up to a cap, the same on both sides."""
-    extra = F.when(F.col("contribution_step") > 0, F.least(
-        F.floor(F.col("t") / F.col("contribution_every")) * F.col("contribution_step"), F.col("contribution_cap"))).otherwise(0.0)
+    extra = rate_rise(F.col("t"))
     return df.withColumns({"employee": F.col("employee_rate") + extra, "employer": F.col("employer_rate") + extra})
 
 
@@ -166,12 +171,16 @@ def register_payments(by_age: DataFrame, runs: DataFrame, life: DataFrame) -> Da
             .select("scenario", "run", "t", (F.col("_due") * F.col("pidx_all")).alias("payments")))
 
 
+def nominal_return() -> Column:
+    return (1 + F.col("real_return")) * (1 + F.col("inflation")) - 1
+
+
 def fund_ledger(flows: DataFrame, reserve: float) -> DataFrame:
     """Fund balance with nominal return, never below zero; a shortfall is a top-up.
 
     One array per (scenario, run) with one entry per year of the horizon, folded in year order.
     """
-    r = (1 + F.col("real_return")) * (1 + F.col("inflation")) - 1
+    r = nominal_return()
     net = F.col("contrib_employee") + F.col("contrib_employer") - F.col("pension_spending")
     packed = flows.groupBy("scenario", "run").agg(
         F.array_sort(F.collect_list(F.struct("t", r.alias("r"), net.alias("net")))).alias("_y"))
@@ -193,6 +202,29 @@ def depletion_year(ledger: DataFrame, base_year: int) -> DataFrame:
     return ledger.groupBy("scenario", "run").agg(F.coalesce(first, F.lit(0)).alias("depletion_year"))
 
 
+def run_out_years(payroll: DataFrame, by: str, rates: dict, schema: str, reserve: float, base_year: int) -> DataFrame:
+    """``depletion_year`` of the fund per (setting, run), without a row for each year of its balance. The reserve is not negative.
+
+    ``payroll`` has a row per (``by``, run, t) with basic_payroll, pension_spending and the returns. ``rates`` maps a value of
+    ``by`` to its parameter rows (``schema``: the setting's name, then its contribution rates). A run's years are packed once for
+    each value of ``by``; its settings are unfolded from there, inside the task.
+    """
+    packed = payroll.groupBy(by, "run").agg(F.array_sort(F.collect_list(F.struct(
+        "t", nominal_return().alias("r"), F.col("basic_payroll").alias("pay"), F.col("pension_spending").alias("out")))).alias("_y"))
+    rows = F.create_map(*[c for value, some in rates.items() for c in (F.lit(value), F.array(*parameter_structs(some, schema)))])
+    unfolded = packed.select("run", "_y", F.explode(rows[F.col(by)]).alias("_p")).select("run", "_y", "_p.*")
+
+    def fold(acc: Column, y: Column) -> Column:
+        rise = rate_rise(y["t"])
+        net = y["pay"] * (F.col("employee_rate") + rise) + y["pay"] * (F.col("employer_rate") + rise) - y["out"]
+        year = F.struct((acc["raw"] * (1 + y["r"]) + net).alias("raw"), y["t"].alias("t"))
+        return F.when(acc["raw"] < 0, acc).otherwise(year)          # stops at the first shortfall
+
+    start = F.struct(F.lit(float(reserve)).alias("raw"), F.lit(None).cast("int").alias("t"))
+    last = F.aggregate("_y", start, fold, lambda a: F.when(a["raw"] < 0, base_year + a["t"]).otherwise(0))
+    return unfolded.select(schema.split(" ")[0], "run", last.alias("depletion_year"))
+
+
 def outcome_series(flows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Wage bill, pensions, government cost and balance as shares of GDP or revenue."""
     gdp = F.col("gdp")

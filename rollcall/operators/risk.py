@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -54,12 +54,12 @@ def risk_classifier(train: DataFrame, rounds: int = 300, seed: int = 7):
 
 
 def logistic_risk(train: DataFrame):
-    """Scaled logistic regression, the simple alternative."""
+    """Scaled logistic regression, the simple alternative. The regression scales by itself, from its own pass over the rows."""
     names = [*FEATURES, "year"]
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_r"), StandardScaler(inputCol="_r", outputCol="_x", withMean=True),
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_x"),
                              LogisticRegression(featuresCol="_x", labelCol="label", maxIter=2000, regParam=1e-4)]).fit(train)
     return lambda df: (model.transform(df).withColumn("prob", vector_to_array("probability")[1])
-                       .drop("_r", "_x", "rawPrediction", "probability", "prediction"))
+                       .drop("_x", "rawPrediction", "probability", "prediction"))
 
 
 def base_rate(train: DataFrame) -> DataFrame:

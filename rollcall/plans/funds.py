@@ -35,6 +35,10 @@ def start_units(spark, d):
                             (F.col("total_units") / F.col("_all")).alias("total_units")))
 
 
+def pension_spending():
+    return 0.16 * F.pow(F.lit(1.05), F.col("t")) * (2 - F.col("mortality_mult"))
+
+
 def flows(spark, d, rows=None):
     """Pay, contributions and pension spending per scenario, run and year, relative to base-year basic pay."""
     idx = index(spark, d, rows)
@@ -45,7 +49,7 @@ def flows(spark, d, rows=None):
         F.sum(F.col("total_units") * F.col("idx")).alias("wage_bill"), F.sum(F.col("basic_units") * F.col("idx")).alias("basic_payroll"),
         *[F.first(c).alias(c) for c in keep]))
     return E.contributions(E.contribution_rates(bill)).withColumns({
-        "pension_spending": 0.16 * F.pow(F.lit(1.05), F.col("t")) * (2 - F.col("mortality_mult")), "gdp": 20 * F.col("gdp")})
+        "pension_spending": pension_spending(), "gdp": 20 * F.col("gdp")})
 
 
 def flow_table(spark, d, rows=None):
@@ -59,6 +63,37 @@ def ledger(spark, d, rows=None):
     return f, E.fund_ledger(f, 1.0)
 
 
+PAY_FIELDS = ("salary_rule", "recent_raise", "raise_priority", "raise_other")        # what pay depends on in a setting
+RATE_FIELDS = ("employee_rate", "employer_rate", "contribution_step", "contribution_every", "contribution_cap")
+
+
+def run_out_years(spark, d, rows):
+    """First year with a top-up per setting and run, the same as from the ledger.
+
+    Pay is worked out once for settings that agree in its rule, and a fund once for those that agree in pay and rates. Each part
+    gets only the parameters it is keyed by, so that no other can enter it.
+    """
+    names, kinds = S.column_names(S.SCENARIO_SCHEMA), S.SCENARIO_SCHEMA.split(", ")
+    kind = dict(zip(names, kinds))
+    pays, funds = {}, {}
+    for row in rows:
+        at = dict(zip(names, row))
+        pay = pays.setdefault(tuple(at[c] for c in PAY_FIELDS), len(pays))
+        funds.setdefault((pay, *[at[c] for c in RATE_FIELDS]), []).append(at["scenario"])
+    idx = E.salary_index(with_parameters(V.level_paths(spark, d), [(i, *p) for p, i in pays.items()],
+                                         ", ".join(["pay int", *[kind[c] for c in PAY_FIELDS]])), SECTORS, S.PRIORITY)
+    payroll = (idx.join(start_units(spark, d), "sector").groupBy("pay", "run", "t").agg(
+        F.sum(F.col("basic_units") * F.col("idx")).alias("basic_payroll"),
+        *[F.first(c).alias(c) for c in ("inflation", "real_return", "mortality_mult")])
+        .withColumn("pension_spending", pension_spending()))
+    rates = {i: [] for i in pays.values()}
+    for number, key in enumerate(funds):
+        rates[key[0]].append((number, *key[1:]))
+    out = E.run_out_years(payroll, "pay", rates, ", ".join(["fund int", *[kind[c] for c in RATE_FIELDS]]), 1.0, S.BASE_YEAR)
+    shared = F.array(*[F.array(*[F.lit(s) for s in some]) for some in funds.values()])
+    return out.select(F.explode(shared[F.col("fund")]).alias("scenario"), "run", "depletion_year")
+
+
 def outcomes(spark, d):
     f, led = ledger(spark, d)
     return E.outcome_series(f, led), E.depletion_year(led, S.BASE_YEAR)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keys import ensure_checkpoint_dir
-from ..operators import pay as E
 from ..operators import risk as K
 from ..operators import scenarios as R
 from ..operators.waves import importance
@@ -36,7 +35,7 @@ def training(spark, d, rows=None):
     """Settings x runs with levers, drivers and run-out year, written out for the models that read it."""
     ensure_checkpoint_dir(spark)
     rows = rows or S.SCENARIOS
-    dep = E.depletion_year(funds.ledger(spark, d, rows)[1], S.BASE_YEAR)
+    dep = funds.run_out_years(spark, d, rows)
     settings = F.broadcast(spark.createDataFrame(rows, S.SCENARIO_SCHEMA))
     return K.risk_training_table(settings, R.run_drivers(V.paths(spark, d), 19), dep, NEVER).checkpoint()
 

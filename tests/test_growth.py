@@ -148,3 +148,37 @@ def test_values_are_rounded_only_for_numbers_left(spark):
     out = A.grounding_check(rows.withColumns({"q": F.lit("?"), "sources": F.array().cast("array<string>")}), "text", "q", "shown", "sources")
     assert "CASE WHEN (size(_left" in executed(out)
     assert {r.id: r.grounded for r in out.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_run_out_years_are_worked_out_once_for_equal_pay_and_rates(spark, monkeypatch):
+    from rollcall.plans import funds, risks
+    from rollcall.plans import settings as S
+    x = [(r, t, ((r * 37 + t * 11) % 23) * (20.0 + 30 * r)) for r in range(6) for t in range(S.PATH_YEARS)]
+    paths = spark.createDataFrame(x, "run long, t int, x double").selectExpr(
+        "run", "t", f"{S.BASE_YEAR} + t AS year", "x", "x * 0.0001 AS real_growth", "x * 0.00005 AS inflation", "x * 0.00002 AS real_return",
+        "0.2 + x * 0.00001 AS revenue_share", "0.9 + 0.02 * (run % 11) AS mortality_mult")
+    units = spark.createDataFrame([("ASIA", 0.7, 0.8), ("AFRICA", 0.3, 0.4)], "sector string, basic_units double, total_units double")
+    monkeypatch.setattr(funds.V, "paths", lambda spark, d: paths)
+    monkeypatch.setattr(funds, "start_units", lambda spark, d: F.broadcast(units))
+    want = E.depletion_year(funds.ledger(spark, "", risks.SETTINGS)[1], S.BASE_YEAR)
+    want = {(r.scenario, r.run): r.depletion_year for r in want.collect()}
+    assert len(want) == 49 * 6 and 0 in want.values() and len(set(want.values())) > 5
+    seen, index = [], E.salary_index
+    monkeypatch.setattr(E, "salary_index", lambda paths, *rest: seen.append(paths.count()) or index(paths, *rest))
+    monkeypatch.setattr(funds, "flow_table", lambda *given: pytest.fail("a row per setting, run and year is written"))
+    rows = risks.training(spark, "", risks.SETTINGS).collect()
+    assert {(r.scenario, r.run): r.run_out for r in rows} == {k: v or risks.NEVER for k, v in want.items()}
+    assert len(rows) == len(want) and seen == [3 * 6 * S.PATH_YEARS]            # three rules of pay, not 49 settings
+
+
+def test_logistic_risk_scales_without_a_pass_of_its_own(spark, monkeypatch):
+    import pyspark.ml.feature
+    rows = [tuple(float((i * (j + 3)) % (5 + j)) for j in range(len(K.FEATURES) + 1)) + (int(i % 7 < 3),) for i in range(200)]
+    train = spark.createDataFrame(rows, [*K.FEATURES, "year", "label"])
+
+    def mean():
+        return K.logistic_risk(train)(train).agg(F.avg("prob"), F.avg((F.col("prob") - F.col("label")) ** 2)).first()
+    one = mean()
+    assert one[0] == pytest.approx(87 / 200, abs=0.005) and one[1] < 0.25
+    monkeypatch.setattr(pyspark.ml.feature.StandardScaler, "fit", lambda *given: pytest.fail("another pass over the rows"))
+    assert mean() == one
