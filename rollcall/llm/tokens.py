@@ -5,6 +5,10 @@ blanks and line ends, one after the other. Each distinct part is given to the li
 Texts that hold the start of a special token are given to the library whole. ``check_tokenizer`` refuses tokenizers
 for which parts, closing marks or the case of ASCII letters do change a neighbour's ids.
 
+Where the tokenizer cuts texts into runs of letters, digits and other signs (``LETTER_RUNS``), a word of Latin letters is one
+such run, whatever its case, and the signs after it are another. Such words go to the library's own model without the
+general cutting; the ids are the same.
+
 Caches have two generations: what was not used while one filled goes with the next, and frequent words stay. A stage
 that holds its caches between tasks learns a frequent word once a worker, not once a task; ``release`` drops them
 when the worker's next task is another operator's.
@@ -12,9 +16,12 @@ when the worker's next task is another operator's.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 from array import array
+from itertools import compress
 
 import numpy as np
 
@@ -22,6 +29,11 @@ from .common import worker_state
 
 CACHE_WORDS = 120_000               # words of a generation; two generations of words and two of their cores are held
 MARKS = ".,;:!?"
+LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch      # composed letters, in lower case too
+LETTER_RUNS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 class Recent(dict):
@@ -59,6 +71,20 @@ def check_tokenizer(lib) -> None:
         raise ValueError("this tokenizer does not cut texts at blanks, line ends and closing marks, or has cased letters")
 
 
+def letter_runs(lib):
+    """The model of a tokenizer that cuts texts as ``LETTER_RUNS``, for lower-case words between blanks: ASCII ones, which are
+    their own bytes, and all. None for tokenizers that cut otherwise."""
+    from tokenizers import Tokenizer, pre_tokenizers
+    parts = json.loads(lib.to_str())
+    cut, normal = ((parts[k] or {}).get(of) for k, of in (("pre_tokenizer", "pretokenizers"), ("normalizer", "normalizers")))
+    if cut != LETTER_RUNS or normal != NORMALIZERS or parts["model"].get("dropout"):
+        return None
+    plain, words = Tokenizer(lib.model), Tokenizer(lib.model)
+    plain.pre_tokenizer = blanks = pre_tokenizers.Split(" ", "removed")
+    words.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return plain, words
+
+
 class WordEncoder:
     """ids(text) -> little-endian unsigned 32-bit ids of the text, without added special tokens."""
 
@@ -74,6 +100,7 @@ class WordEncoder:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         check_tokenizer(self.lib)
+        self.letters = letter_runs(self.lib)
         self.words, self.ends_in_letter = words, {}
         self.forget()
 
@@ -87,53 +114,76 @@ class WordEncoder:
             self.ends_in_letter[c] = c.isalpha() and made[-1:].isalpha()
         return self.ends_in_letter[c]
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, words: list[str], latin: list[str]) -> None:
         """Distinct parts: words of letters in one text, each ending in one closing id; others one by one."""
         rest = [w for w in words if not w.isalpha()]
-        plain = [w for w in words if w.isalpha()]
-        for at in range(0, len(plain), 4096):
-            some = plain[at:at + 4096]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                data, stops = ids.tobytes(), (ends * 4).tolist()
-                self.cores.update(zip(some, [data[a:b] for a, b in zip([0, *stops], stops)]))
-            else:                                   # a vocabulary without word ends
-                rest += some
+        ways = [(self.lib, [w for w in words if w.isalpha()])]
+        if latin:
+            ways += [(self.letters[0], [w for w in latin if w.isascii()]), (self.letters[1], [w for w in latin if not w.isascii()])]
+        for lib, plain in ways:
+            for at in range(0, len(plain), 1024):
+                some = plain[at:at + 1024]
+                ids = np.array(lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(some) and ends[-1] == len(ids):
+                    data, stops = ids.tobytes(), (ends * 4).tolist()
+                    self.cores.update(zip(some, [data[a:b] for a, b in zip([0, *stops], stops)]))
+                else:                                   # a vocabulary without word ends
+                    rest += some
         for at in range(0, len(rest), 4096):
             some = rest[at:at + 4096]
             for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
                 self.cores[w] = array("I", e.ids).tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
-        cores, split, new = self.cores, [], set()
-        for p in parts:
+    def _learn(self, parts: list[str]) -> None:
+        """Lists of strings side by side: a tuple for each part would have the garbage collector look through the caches."""
+        cores, known = self.cores, self.known
+        if self.letters:
+            lows = "\n".join(parts).lower().split("\n")
+            bodies = [w.rstrip(string.punctuation) for w in lows]
+            fine = [LATIN(w) is not None for w in bodies]
+            parts, others = list(compress(parts, fine)), [p for p, f in zip(parts, fine) if not f]
+            lows, bodies = list(compress(lows, fine)), list(compress(bodies, fine))
+            tails = [w[len(b):] for w, b in zip(lows, bodies)]
+            latin = set(bodies)
+        else:
+            parts, bodies, tails, others, latin = [], [], [], parts, set()
+        new = set(tails)
+        for p in others:
             low = p.lower() if p.isascii() else p   # ASCII case and closing marks never change a neighbour's ids
             core = low.rstrip(MARKS)
             if core is low or len(core) == len(low) or not core or not self._letter_end(core):
-                split.append((p, low, ""))
-                new.add(low)
+                core, tail = low, ""
             else:
                 tail = low[len(core):]
-                split.append((p, core, tail))
-                new.add(core)
-                new.add(tail)
-        self._encode([c for c in new if not cores.held(c)])
-        self.known.update([(p, cores[c] + cores[t] if t else cores[c]) for p, c, t in split])
+            parts.append(p)
+            bodies.append(core)
+            tails.append(tail)
+            new.add(core)
+            new.add(tail)
+        self._encode(*[[c for c in some if not cores.held(c)] for some in (new - latin, latin)])
+        known.update(zip(parts, [cores[c] + cores[t] if t else cores[c] for c, t in zip(bodies, tails)]))
 
     def many(self, some: list[str]) -> list[bytes]:
         """Ids of each text; call it with some megabytes of text at a time."""
-        parts = [None if self.special.search(t) else t.replace("\n", " ").split(" ") for t in some]
+        parts = [() if self.special.search(t) else t.replace("\n", " ").split(" ") for t in some]
         self.known, self.cores = self.known.aged(), self.cores.aged()
-        new = set()
-        for p in parts:
-            if p:
-                new.update(p)
         known, old = self.known, self.known.old
-        new = {w for w in new if w not in known and w not in old}
+        found = [list(map(known.get, p)) for p in parts]        # None: not in this generation
+        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        new = []
+        for w in {p[i] for p, gap in zip(parts, gaps) for i in gap}:
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
         if new:
             self._learn(new)
-        return [b"".join(map(known.__getitem__, p)) if p is not None else self.whole(t) for t, p in zip(some, parts)]
+        for p, f, gap in zip(parts, found, gaps):
+            for i in gap:
+                f[i] = known[p[i]]
+        return [b"".join(f) if p else self.whole(t) for t, p, f in zip(some, parts, found)]
 
     def forget(self) -> None:
         """Give the caches' memory back; the next task may be another operator's."""

@@ -84,6 +84,34 @@ def test_marks_after_every_letter():
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.many(again)] == [lib.encode(again[0], add_special_tokens=False).ids] * 3
 
 
+def test_letters_and_signs_go_to_the_model_by_themselves(monkeypatch):
+    """Latin words and the signs after them: the ids of the whole text, without a word given to the general tokenizer."""
+    from tokenizers import Tokenizer
+
+    from rollcall.llm import tokens
+    lib = Tokenizer.from_file(WORD)
+    words = ["Über", "straße", "STRASSE", "éÈê", "Ÿx", "\u212Bm", "\u212Aelvin", "x\u0130y", "\u1E9Ea", "ab\u0301c", "o'clock", "it's", "a1b", "ǅ", "ΣΑΣ", "日本"]
+    tails = ["", ".", "'", "''", "###", ".%%%", ",&&&", "$$$!", "'s", "\"),", "-", "|", "<", "=", "~\u0301"]
+    text = " ".join(w + t for w in words for t in tails) + " " + " ".join(t + w for w in words for t in tails)
+    some = [text, text.upper(), text.replace(" ", "\n"), ""]
+    enc = tokens.WordEncoder(WORD)
+    assert enc.letters
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.many(some)] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+    monkeypatch.setattr(tokens, "LETTER_RUNS", [])
+    old = tokens.WordEncoder(WORD)
+    assert old.letters is None and old.many(some) == enc.many(some)
+
+    given = []
+
+    class Seen:
+        def encode_batch_fast(self, some, **given_too):
+            given.extend(some)
+            return lib.encode_batch_fast(some, **given_too)
+    enc.lib = Seen()
+    enc.many(["Never seen, words### here.%%% größer$$$ éÈê"])
+    assert all(not any(c.isalpha() for c in t) for t in given)
+
+
 def test_cased_tokenizers_are_refused():
     from tokenizers import Tokenizer
 
