@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import ensure_checkpoint_dir, hash_unit
+from ..functions.keys import bounded, ensure_checkpoint_dir, hash_unit
 from ..functions.ordered import exact_quantiles, ordered_scan
 from .boosting import boost
 from .metrics import auc, brier, ece_bins, log_loss
@@ -152,7 +152,8 @@ def group_split(df: DataFrame, key: str, parts: dict[str, float]) -> DataFrame:
     part = None
     for name, top in parts.items():
         part = F.when(pos < top, name) if part is None else part.when(pos < top, name)
-    return df.join(keys.join(scan, "_h").select(key, part.alias("part")), key)
+    # written and counted: few groups are broadcast, and the rows of a large group stay where they are
+    return df.join(bounded(keys.join(scan, "_h").select(key, part.alias("part"))), key)
 
 
 def risk_scores(pred: DataFrame, by: str = "model", eps: float = 1e-6) -> DataFrame:

@@ -182,3 +182,12 @@ def test_logistic_risk_scales_without_a_pass_of_its_own(spark, monkeypatch):
     assert one[0] == pytest.approx(87 / 200, abs=0.005) and one[1] < 0.25
     monkeypatch.setattr(pyspark.ml.feature.StandardScaler, "fit", lambda *given: pytest.fail("another pass over the rows"))
     assert mean() == one
+
+
+def test_few_groups_are_split_without_moving_their_rows(spark):
+    rows = spark.range(2000).select((F.col("id") % 7).cast("string").alias("g"), "id").checkpoint()
+    out = K.group_split(rows, "g", {"train": 0.7, "cal": 0.85, "test": 1.01})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "hashpartitioning" not in plan
+    parts = {(r.g, r.part) for r in out.select("g", "part").distinct().collect()}
+    assert out.count() == 2000 and len(parts) == 7 and {p for _, p in parts} == {"train", "cal", "test"}
