@@ -450,6 +450,26 @@ def test_boosted_trees_train_in_full(spark, monkeypatch):
     assert e.value.args == (300, 0.05, 5)
 
 
+def years_at_risk(spark):
+    """Forty people over seven years; every ninth person-year ends in a separation, every eleventh in retirement."""
+    rows = [(p, 1995 + y, 25 + p % 30 + y, y, ("ASIA", "AFRICA")[p % 2], "ABCD"[p % 4], p % 8 == 0,
+             "separation" if (p * 7 + y) % 9 == 0 else "retirement" if (p * 7 + y) % 11 == 0 else "") for p in range(40) for y in range(7)]
+    return spark.createDataFrame(rows, "person_id long, year int, age int, service int, sector string, framework string, eligible60 boolean, exit_type string")
+
+
+def test_boosted_hazard_trains_on_every_year_at_risk(spark, monkeypatch):
+    from rollcall.operators import panel
+    from rollcall.plans import catalog, panels
+
+    seen = []
+    monkeypatch.setattr(panels.V, "panel", lambda spark, d: years_at_risk(spark))
+    monkeypatch.setattr(panel, "gbt_hazard", lambda train, *rest: seen.append(train) or (lambda df: df.withColumn("gbt_hazard", F.lit(0.5))))
+    catalog.QUERIES["d06_gbt_hazard"](spark, "")
+    rows = years_at_risk(spark).where("exit_type <> 'retirement'")
+    assert seen[0].count() == rows.where("year <= 1997").count() > 100
+    assert sorted(r.y for r in seen[0].collect()) == sorted(int(r.exit_type == "separation") for r in rows.where("year <= 1997").collect())
+
+
 def test_short_series_are_forecast_too(spark):
     rows = [(f"s{n}", t, 1.0 + t * t) for n in (1, 2, 5, 6, 9) for t in range(n)]
     tasks = FC.pack_series(spark.createDataFrame(rows, "series string, t int, value double"), ["series"]).withColumns(
