@@ -27,11 +27,11 @@ scored AS (SELECT r.*, COALESCE(rate, o) AS cohort_ratio FROM risk r LEFT JOIN r
 """
 
 
-def split(spark, d, frac=1.0):
-    """The panel, written once because training and scoring read it several times, and its two parts."""
+def split(spark, d):
+    """The panel, written once because training and scoring read it several times, and its two parts: no year at risk is left out."""
     ensure_checkpoint_dir(spark)
     p = V.panel(spark, d).checkpoint()
-    s = P.temporal_split(P.at_risk(p), 4, frac)
+    s = P.temporal_split(P.at_risk(p), 4)
     return p, s.where("part = 'train'"), s.where("part = 'test'")
 
 
@@ -146,7 +146,7 @@ def backtest_p(spark, d):
 
 @query("d09_model_backtest")
 def model_backtest(spark, d):
-    p, train, test = split(spark, d, 0.5)
+    p, train, test = split(spark, d)
     ensure_checkpoint_dir(spark)
     scored = P.cohort_ratio(train, test)
     scored = P.logit_hazard(train, SECTORS, S.FRAMEWORKS)(scored)

@@ -470,6 +470,23 @@ def test_boosted_hazard_trains_on_every_year_at_risk(spark, monkeypatch):
     assert sorted(r.y for r in seen[0].collect()) == sorted(int(r.exit_type == "separation") for r in rows.where("year <= 1997").collect())
 
 
+def test_backtest_of_models_trains_on_every_year_at_risk(spark, monkeypatch):
+    from rollcall.operators import panel
+    from rollcall.plans import catalog, panels
+
+    seen = []
+
+    def model(name):
+        return lambda train, *rest: seen.append(train.count()) or (lambda df: df.withColumn(name, F.lit(0.5)))
+
+    monkeypatch.setattr(panels.V, "panel", lambda spark, d: years_at_risk(spark))
+    monkeypatch.setattr(panel, "logit_hazard", model("logit_hazard"))
+    monkeypatch.setattr(panel, "gbt_hazard", model("gbt_hazard"))
+    rates = {r.model: r.auc for r in catalog.QUERIES["d09_model_backtest"](spark, "").collect()}
+    assert seen == [years_at_risk(spark).where("exit_type <> 'retirement' AND year <= 1997").count()] * 2
+    assert set(rates) == {"cohort_ratio", "logit_hazard", "gbt_hazard"} and rates["gbt_hazard"] == 0.5
+
+
 def test_short_series_are_forecast_too(spark):
     rows = [(f"s{n}", t, 1.0 + t * t) for n in (1, 2, 5, 6, 9) for t in range(n)]
     tasks = FC.pack_series(spark.createDataFrame(rows, "series string, t int, value double"), ["series"]).withColumns(
