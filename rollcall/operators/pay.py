@@ -102,6 +102,14 @@ def average_salary_factor(index: DataFrame, step: float, revalue: bool) -> DataF
     return rows.select(*keys, "t", "idx", one(F.col("t"), F.col("idx")).alias("factor"))
 
 
+def counted_index(index: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows of the index that agree in ``fields`` as one row, with their number as ``runs``.
+
+    Pay that follows no run's own path is the same in all runs; equal rows meet in the task that holds them, before the shuffle.
+    """
+    return index.groupBy(*fields).agg(F.count("*").alias("runs"))
+
+
 def initial_benefit(retirees: DataFrame, index: DataFrame, scale: dict[str, float], step: float, min_service: int,
                     replacement: float, min_pension: float, cap: float) -> DataFrame:
     """First-year benefit of each retiring cohort per scenario and run.

@@ -19,8 +19,12 @@ CUM = "(SELECT h.age, SUM(-ln(1 - LEAST(l.qx, 0.999999))) AS cumhaz FROM range(1
 CUMHAZ = f"cum AS (SELECT age, COALESCE(cumhaz, 0) AS cumhaz FROM {CUM})"
 
 
-def index(spark, d, rows=None):
-    return E.salary_index(with_parameters(V.level_paths(spark, d), rows or S.SCENARIOS, S.SCENARIO_SCHEMA), SECTORS, S.PRIORITY)
+def index(spark, d, rows=None, years=None):
+    """The pay index; ``years`` is a table of the year indexes ``t`` to keep, which are picked before runs are unfolded."""
+    paths = V.level_paths(spark, d)
+    if years is not None:
+        paths = paths.join(years, "t", "left_semi")
+    return E.salary_index(with_parameters(paths, rows or S.SCENARIOS, S.SCENARIO_SCHEMA), SECTORS, S.PRIORITY)
 
 
 def units(spark, d):
@@ -178,19 +182,36 @@ BENEFIT = f"""ben AS (
 
 
 def benefits(spark, d):
-    idx = E.average_salary_factor(index(spark, d), S.STEP, revalue=True).withColumn("pidx", F.col("idx"))
-    return E.initial_benefit(bounded(V.retirees(spark, d)), idx, S.BASE_SALARY, S.STEP, MIN_SERVICE, S.RULES["replacement"],
-                             S.RULES["min_pension"], S.RULES["cap"])
+    return first_benefit(bounded(V.retirees(spark, d)), pension_index(spark, d))
+
+
+def pension_index(spark, d, years=None):
+    return E.average_salary_factor(index(spark, d, years=years), S.STEP, revalue=True).withColumn("pidx", F.col("idx"))
+
+
+def first_benefit(retirees, idx):
+    return E.initial_benefit(retirees, idx, S.BASE_SALARY, S.STEP, MIN_SERVICE, S.RULES["replacement"], S.RULES["min_pension"], S.RULES["cap"])
+
+
+def counted_benefits(spark, d):
+    """The benefits of all runs and retirees, worked out once for those that agree in all that a benefit depends on.
+
+    Ages are added up first; a row stands for ``n`` retirees in each of ``runs`` runs.
+    """
+    people = bounded(V.retirees(spark, d).groupBy("t", "sector", "framework", "service").agg(F.sum("n").alias("n")))
+    years = F.broadcast(people.select("t").distinct())      # at most one row per calendar year
+    idx = pension_index(spark, d, years)
+    return first_benefit(people, E.counted_index(idx, ["scenario", "t", "sector", "pension_formula", "accrual_rate", "idx", "pidx", "factor"]))
 
 
 @query("e07_initial_benefit", sql("index retirees", f"""
 WITH {BENEFIT} SELECT scenario, t, sector, ROUND(SUM(n * benefit) / 1e9, 6) AS benefit, ROUND(SUM(n * final) / 1e9, 6) AS final,
   CAST(SUM(CASE WHEN formula <= floor THEN n ELSE 0 END) AS BIGINT) AS on_floor FROM ben GROUP BY 1, 2, 3"""))
 def initial(spark, d):
-    n = F.col("n")
-    return benefits(spark, d).groupBy("scenario", "t", "sector").agg(
-        F.round(exact_sum(n * F.col("benefit")) / 1e9, 6).alias("benefit"), F.round(exact_sum(n * F.col("final")) / 1e9, 6).alias("final"),
-        F.sum(F.when(F.col("formula") <= F.col("floor"), n).otherwise(0)).alias("on_floor"))
+    n, runs = F.col("n"), F.col("runs")
+    return counted_benefits(spark, d).groupBy("scenario", "t", "sector").agg(
+        F.round(exact_sum(n * F.col("benefit"), runs) / 1e9, 6).alias("benefit"), F.round(exact_sum(n * F.col("final"), runs) / 1e9, 6).alias("final"),
+        F.sum(F.when(F.col("formula") <= F.col("floor"), n * runs).otherwise(0)).alias("on_floor"))
 
 
 @query("e08_lump_sums", sql("index retirees", f"""

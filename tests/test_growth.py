@@ -191,3 +191,25 @@ def test_few_groups_are_split_without_moving_their_rows(spark):
     assert plan.count("BroadcastHashJoin") == 1 and "hashpartitioning" not in plan
     parts = {(r.g, r.part) for r in out.select("g", "part").distinct().collect()}
     assert out.count() == 2000 and len(parts) == 7 and {p for _, p in parts} == {"train", "cal", "test"}
+
+
+def test_first_benefits_are_worked_out_once_for_equal_pay(spark, monkeypatch):
+    from rollcall.plans import catalog, funds
+    retired = [(t, s, "AB"[a % 2], a, 2 + a % 3, 1 + a % 4) for t in (2, 3) for s in ("ASIA", "AFRICA") for a in range(50, 62)] + [(2, "ASIA", "A", None, None, 5)]
+    paths = spark.range(9).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("t")).selectExpr(
+        "run", "t", "0.9D AS mortality_mult", "CASE WHEN run < 8 THEN pow(1.0 + 0.01 * (run % 3), t) END AS cpi")
+    monkeypatch.setattr(funds.V, "retirees", lambda spark, d: spark.createDataFrame(retired, "t int, sector string, framework string, age int, service int, n long"))
+    monkeypatch.setattr(funds.V, "level_paths", lambda spark, d: paths)
+    n = F.col("n")
+    want = funds.benefits(spark, "").groupBy("scenario", "t", "sector").agg(
+        F.round(exact_sum(n * F.col("benefit")) / 1e9, 6).alias("benefit"), F.round(exact_sum(n * F.col("final")) / 1e9, 6).alias("final"),
+        F.sum(F.when(F.col("formula") <= F.col("floor"), n).otherwise(0)).alias("on_floor"))
+    want = {(r.scenario, r.t, r.sector): r for r in want.collect()}
+    seen, benefit = [], E.initial_benefit
+    monkeypatch.setattr(E, "initial_benefit", lambda people, index, *rest: seen.append((people, index)) or benefit(people, index, *rest))
+    got = catalog.QUERIES["e07_initial_benefit"](spark, "").collect()
+    assert len(got) == len(want) == 7 * 2 * 2 and all(r == want[r.scenario, r.t, r.sector] for r in got)
+    people, index = seen[0]
+    assert people.count() == 25 and people.agg(F.sum("n")).first()[0] == sum(r[-1] for r in retired)
+    assert index.where("t NOT IN (2, 3)").count() == 0 and index.agg(F.sum("runs")).first()[0] == 9 * 7 * 2 * 5
+    assert index.count() == (5 * 1 + 2 * 4) * 2 * 5         # pay of five presets is the same in all runs, two follow prices
