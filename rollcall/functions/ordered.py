@@ -9,6 +9,8 @@ partitions, so a very common value does not meet in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +120,29 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     got = {f"{side}_{name}": F.max(F.when(F.col("_what") == f"{side}_{name}", F.col("_v"))) for name in probs for side in ("lo", "hi")}
     share = {name: F.max(F.when(F.col("_what") == f"lo_{name}", F.col("_share"))) for name in probs}
     return found.groupBy(*by).agg(*[(got[f"lo_{name}"] + (got[f"hi_{name}"] - got[f"lo_{name}"]) * share[name]).alias(name) for name in probs])
+
+
+NARROW = 10_000
+
+
+def narrow_quantile(df: DataFrame, value: str, p: float) -> float | None:
+    """The exact quantile (linear interpolation) of one column of numbers from 0 to 1; nulls are ignored.
+
+    Rows are counted in ``NARROW`` equal steps of the value first, so only those in the steps around the quantile are put in order.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.floor(F.col(value) * NARROW).alias("_s"))
+    counts = sorted(map(tuple, rows.groupBy("_s").agg(F.count("*")).collect()))      # at most NARROW + 1 rows
+    pos = round(p * (sum(n for _, n in counts) - 1), 9)
+    before, first, last, upto = 0, None, None, 0
+    for step, n in counts:
+        if first is None and upto + n > math.floor(pos):
+            first, before = step, upto
+        upto += n
+        if upto > math.ceil(pos):
+            last = step
+            break
+    if last is None:
+        return None
+    inside = pos - before
+    share = F.lit(inside) / F.greatest(F.col("_n") - 1, F.lit(1))
+    return exact_quantiles(rows.where(F.col("_s").between(first, last)).select("_v"), [], "_v", {"q": share}).first()[0]

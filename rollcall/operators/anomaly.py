@@ -10,11 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import ensure_checkpoint_dir
-from ..functions.ordered import exact_quantiles
+from ..functions.ordered import narrow_quantile
 
 EULER = 0.5772156649
 NODES = "tree int, node int, feature int, threshold double, child int, length double"
@@ -76,11 +76,26 @@ def _grower(features: list[str], sample: int):
 def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int = 300, sample: int = 256,
                      contamination: float = 0.02) -> DataFrame:
     """Anomaly score and flag per record key: the top ``contamination`` share of scores is flagged."""
+    ensure_checkpoint_dir(df.sparkSession)
+    x = df.select(key, *_numbers(features)).checkpoint()  # read for the count, the samples and the scores
+    return flag_highest(forest_scores(x, key, features, trees, sample).select(key, "anomaly_score").checkpoint(), contamination)
+
+
+def _numbers(features: list[str]) -> list[Column]:
+    return [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
+
+
+def flag_highest(scored: DataFrame, contamination: float = 0.02) -> DataFrame:
+    """``iforest_flag`` for the top share of ``anomaly_score``. ``scored`` should be stored."""
+    top = narrow_quantile(scored, "anomaly_score", 1 - contamination)
+    return scored.withColumn("iforest_flag", F.col("anomaly_score") > top)
+
+
+def forest_scores(df: DataFrame, key: str, features: list[str], trees: int = 300, sample: int = 256, rows: int | None = None) -> DataFrame:
+    """``df``, which should be stored, with ``anomaly_score``: read once for the samples and once for the scores. ``rows`` is its count, if known."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    x = df.select(key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-    x = x.checkpoint()  # read for the count, the samples and the scores
-    n = x.count()
+    x = df.select(key, *_numbers(features))
+    n = x.count() if rows is None else rows
     grow, depth = _grower(features, sample)
     picked = tree_samples(x, key, n, trees, sample)
     # at most 2 x sample nodes per tree, whatever the size of the table
@@ -111,6 +126,4 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
             total += size.take(at, mode="clip")
         return pd.Series(2.0 ** (-total / len(feat) / scale))
 
-    scored = x.select(key, F.round(score(F.struct(*features)), 9).alias("anomaly_score")).checkpoint()
-    top = exact_quantiles(scored, [], "anomaly_score", {"cut": 1 - contamination}).scalar()
-    return scored.withColumn("iforest_flag", F.col("anomaly_score") > top)
+    return df.withColumn("anomaly_score", F.round(score(F.struct(*_numbers(features))), 9))

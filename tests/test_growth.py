@@ -213,3 +213,51 @@ def test_first_benefits_are_worked_out_once_for_equal_pay(spark, monkeypatch):
     assert people.count() == 25 and people.agg(F.sum("n")).first()[0] == sum(r[-1] for r in retired)
     assert index.where("t NOT IN (2, 3)").count() == 0 and index.agg(F.sum("runs")).first()[0] == 9 * 7 * 2 * 5
     assert index.count() == (5 * 1 + 2 * 4) * 2 * 5         # pay of five presets is the same in all runs, two follow prices
+
+
+def test_rows_that_share_a_key_are_told_apart_without_moving_the_rows(spark):
+    rows = [(i, f"n{i}", i % 500 if i < 505 else 1000 + i, None if i in (700, 701) else i) for i in range(800)] + [(900, None, 5000, 900)]
+    df = spark.createDataFrame(rows, "id long, name string, a long, b long").repartition(3).checkpoint()
+    alone, others = Q.repeated_apart(df, [["id"], ["name", "b"], ["a"], ["b"]])
+    assert "Exchange" not in executed(alone) and "Exchange" not in executed(others)
+    got = {r.id for r in others.collect()}
+    assert {r.id for r in alone.collect()} == {r[0] for r in rows} - got
+    shared = {i for i in range(5)} | {i for i in range(500, 505)} | {700, 701}
+    assert shared <= got and len(got) < 30
+
+
+def test_a_quantile_is_looked_for_in_its_step_only(spark, monkeypatch):
+    from rollcall.functions import ordered as O
+    df = spark.range(2000).select((F.pmod(F.xxhash64("id"), F.lit(997)) / 997).alias("v")).unionAll(spark.sql("SELECT CAST(NULL AS DOUBLE)"))
+    seen, placed = [], O.placed
+    for p in (0.0, 0.5, 0.98, 0.9803, 1.0):
+        want = O.exact_quantiles(df, [], "v", {"q": p}).first()[0]
+        with monkeypatch.context() as m:
+            m.setattr(O, "placed", lambda rows, *rest: seen.append(rows.count()) or placed(rows, *rest))
+            assert O.narrow_quantile(df, "v", p) == pytest.approx(want, abs=1e-12)
+    assert max(seen) < 20
+    assert O.narrow_quantile(spark.sql("SELECT 0.25D AS v"), "v", 0.98) == 0.25
+
+
+def test_flags_meet_scores_without_a_join_of_the_records(spark, monkeypatch, no_small_tables):
+    rows = [(f"r{i}", i if i > 3 else 1, i, f"x{i % 57}", i % 60, "FM"[i % 2], "s", "ANR"[i % 3], "m", "p", i % 9, 30 + i % 40, i % 2 == 0,
+             100.0 + i, 3.0, i % 7, 20.0) for i in range(60)]
+    rows += [(*rows[7][:11], 70, *rows[7][12:15], 0, 20.0), ("r90", None, None, None, 1, "F", "s", "A", "m", "p", 1, 30, True, 5.0, None, None, 20.0)]
+    rows.append((None, *rows[8][1:]))
+    schema = ("record_id string, national_id long, bank_account long, full_name string, birth_date int, sex string, sector string, framework string, ministry string, "
+              "province string, service int, age int, eligible60 boolean, basic_salary double, allowance double, attendance_days_q int, expected double")
+    monkeypatch.setattr(record_checks.V, "records", lambda spark, d: spark.createDataFrame(rows, schema))
+    f = record_checks.flagged(spark, "").join(record_checks.forest(spark, ""), "record_id")
+    f = Q.flag_and_split(f, list(Q.RULES), ["past_retirement", "no_attendance", "off_scale_salary"], ["matched", "iforest_flag"])
+    want = {(r.flag, r.iforest_flag): (r.n, r.pay) for r in f.groupBy("flag", "iforest_flag").agg(F.count("*").alias("n"), F.sum(record_checks.PAY()).alias("pay")).collect()}
+    joined, join = [], type(f).join
+
+    def counted(self, other, *rest):
+        joined.append(max(self.count(), other.count()))
+        return join(self, other, *rest)
+
+    monkeypatch.setattr(type(f), "join", counted)
+    got = {(r.flag, r.iforest_flag): (r.n, r.pay) for r in record_checks.flag_with_forest(spark, "").collect()}
+    assert sum(n for n, _ in got.values()) == sum(n for n, _ in want.values()) == 60 - 1 + 4 + 1 and set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert joined and max(joined) < 20
