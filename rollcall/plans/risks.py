@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import ensure_checkpoint_dir
+from ..functions.keys import ensure_checkpoint_dir, side_by_side
 from ..operators import risk as K
 from ..operators import scenarios as R
 from ..operators.waves import importance
@@ -176,21 +176,28 @@ def range_scores(spark, d):
 
 
 def fitted(spark, d):
-    """Stacked test rows, models fitted on other packages, and the three parts."""
+    """Four models of the chance, the linear one of the year with its width, and the three parts.
+
+    Trees take most of the time, in many short jobs that leave executors idle, so the other models are fitted meanwhile.
+    """
     train, cal, test = parts(spark, d)
     stacked = K.stack_random_years(train, PER_RUN, S.BASE_YEAR, NEVER - 1)
-    score = K.risk_classifier(stacked)
-    fix = K.isotonic_calibration(score(K.stack_random_years(cal, PER_RUN, S.BASE_YEAR, NEVER - 1, "cal")))
-    return score, fix, K.logistic_risk(stacked), K.base_rate(stacked), (train, cal, test)
+
+    def trees():
+        score = K.risk_classifier(stacked)
+        return score, K.isotonic_calibration(score(K.stack_random_years(cal, PER_RUN, S.BASE_YEAR, NEVER - 1, "cal")))
+
+    (score, fix), logit, line = side_by_side(spark, trees, lambda: K.logistic_risk(stacked), lambda: K.linear_conformal(train, cal, 0.10))
+    return score, fix, logit, K.base_rate(stacked), line, (train, cal, test)
 
 
 @query("j09_model_scores")
 def model_scores(spark, d):
     """Scores of four models on packages none of them saw, and of the ranges of two; long: (model, score, value)."""
-    score, fix, logit, rates, (train, cal, test) = fitted(spark, d)
-    pred = K.model_predictions(K.stack_years(test, CHECK), score, fix, logit, rates).checkpoint()
-    curve, _ = K.conformal_years(cal, test, score, 0.10, S.BASE_YEAR, NEVER - 1)
-    line, w = K.linear_conformal(train, cal, 0.10)
+    score, fix, logit, rates, (line, w), (_, cal, test) = fitted(spark, d)
+    pred, (curve, _) = side_by_side(
+        spark, lambda: K.model_predictions(K.stack_years(test, CHECK), score, fix, logit, rates).checkpoint(),
+        lambda: K.conformal_years(cal, test, score, 0.10, S.BASE_YEAR, NEVER - 1))
     half = w.scalar()
     flat = line(test).select("run_out", F.col("linear").alias("median"), (F.col("linear") - half).alias("low"), (F.col("linear") + half).alias("high"))
     ranges_ = [K.range_scores(r).withColumn("model", F.lit(m)) for m, r in (("boosted_conformal", curve), ("linear_conformal", flat))]

@@ -261,3 +261,29 @@ def test_flags_meet_scores_without_a_join_of_the_records(spark, monkeypatch, no_
     assert sum(n for n, _ in got.values()) == sum(n for n, _ in want.values()) == 60 - 1 + 4 + 1 and set(got) == set(want)
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
     assert joined and max(joined) < 20
+
+
+def test_other_models_are_fitted_while_trees_train(spark, monkeypatch):
+    from threading import Event
+
+    from rollcall.plans import risks
+    few = spark.createDataFrame([(1, "a", 2030)], "run long, scenario string, run_out int")
+    begun = {"logit": Event(), "line": Event()}
+
+    def other(name):
+        return lambda *given: begun[name].set() or name
+
+    def trees(train, *rest):
+        assert all(e.wait(20) for e in begun.values())       # they begin while trees are still training
+        return lambda df: df.withColumn("prob", F.lit(0.5))
+
+    monkeypatch.setattr(risks, "parts", lambda spark, d: [few] * 3)
+    monkeypatch.setattr(K, "risk_classifier", trees)
+    monkeypatch.setattr(K, "logistic_risk", other("logit"))
+    monkeypatch.setattr(K, "linear_conformal", other("line"))
+    monkeypatch.setattr(K, "isotonic_calibration", lambda cal: cal.columns)
+    score, fix, logit, rates, line, _ = risks.fitted(spark, "")
+    assert (logit, line) == ("logit", "line") and "prob" in fix and rates.count() > 0
+    from rollcall.functions.keys import side_by_side
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, lambda: 1, lambda: 1 / 0)
